@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.config import CHUNK_ROWS, LEVEL_VARIANCE, OBSERVATION_VARIANCE, SMOOTHER_HALO, SPLINE_HALO
 from tidemark.functions.types import DOUBLES, record
-from tidemark.operators.panel import chunk_of, running_before, with_halo
+from tidemark.operators.panel import chunk_arrays, chunk_of, running_before, with_halo
 
 
 def padded(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +129,6 @@ def _spline_arrays(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"b": cut(b), "c": cut(c), "d": cut(d), "elapsed_ms": share})
 
 
-def chunk_arrays(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """One row per (keys, chunk) with the rows of the chunk as position-ordered array ``a`` of structs."""
-    return df.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("a"))
-
-
 def smooth_groups(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
     """Smoothed arrays per (keys, chunk), halo included: ``a`` (pos, value, core), ``fit`` (smooth, elapsed_ms)."""
     halo = with_halo(panel.filter(F.col("value").isNotNull()), SMOOTHER_HALO, SMOOTHER_HALO, size)

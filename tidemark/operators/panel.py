@@ -63,6 +63,11 @@ def with_halo(df: DataFrame, before: int, after: int = 0, size: int = CHUNK_ROWS
     return df.select("*", F.inline(F.array(*targets))).filter(F.col("chunk").isNotNull())
 
 
+def chunk_arrays(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One row per (keys, chunk) with the rows of the chunk as position-ordered array ``a`` of structs."""
+    return df.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("a"))
+
+
 def running_before(totals: DataFrame, keys: list[str], value: str, out: str, fan: int = CHUNK_ROWS) -> DataFrame:
     """Sum of ``value`` over all earlier chunks, from one row per (keys, chunk).
 
@@ -82,6 +87,16 @@ def running_before(totals: DataFrame, keys: list[str], value: str, out: str, fan
     )
 
 
+def renumber(df: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
+    """Close the gaps in ``pos`` left by filtered rows: count inside a chunk, lift by the rows of earlier chunks."""
+    chunked = df.withColumn("chunk", chunk_of("pos", size))
+    totals = chunked.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("_n"))
+    lifted = running_before(totals, keys, "_n", "_before").drop("_n")
+    inside = Window.partitionBy(*keys, "chunk").orderBy("pos")
+    counted = chunked.withColumn("_in", F.row_number().over(inside)).join(lifted, [*keys, "chunk"])
+    return counted.withColumn("pos", F.col("_before") + F.col("_in") - 1).drop("_before", "_in", "chunk")
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
     """Join one row of ``stats`` per series to its rows, spread over the chunks of the series.
 
