@@ -34,11 +34,12 @@ def deviated_quality(bars: DataFrame, columns=None, alpha: dict = ALPHA) -> Data
             stale = Q.timeliness_relation(bars)
         else:
             stale = Q.timeliness_relation_partial(bars, columns)
-        for source, scores in (("noise", noised), ("incompleteness", gappy), ("timeliness", stale)):
-            label = "partially" if source == "timeliness" and columns else range_
-            if source == "timeliness" and columns and range_ == "all":
-                continue
-            part = _labelled(scores, source, label, "N")
+        found = {"noise": noised, "incompleteness": gappy, "timeliness": stale}
+        if columns and range_ == "all":
+            # Timeliness of chosen columns exists for partial damage only.
+            del found["timeliness"]
+        for source, scores in found.items():
+            part = _labelled(scores, source, range_, "N")
             out = part if out is None else out.unionByName(part)
     return out
 
