@@ -68,18 +68,23 @@ def array_method(fit_predict):
     return run
 
 
-def fit_arrays(train: DataFrame, keys: list[str], horizon, method, shocks=None, max_rows: int = MAX_TRAINING_ROWS,
-               extra: list[str] | None = None) -> DataFrame:
-    """Run an array method on every group of ``train`` (``keys, pos, value``)."""
-    short = F.collect_list(F.when(F.col("pos") < max_rows, F.struct("pos", "value")))
-    grouped = train.groupBy(*keys).agg(
-        F.transform(F.array_sort(short), lambda s: s["value"]).alias("_values"),
-        F.max("pos").alias("last_train_pos"),
-    )
-    too_long = F.col("last_train_pos") >= max_rows
+def fit_arrays(train: DataFrame, keys: list[str], horizon, method, shocks=None,
+               max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """Run an array method on every group of ``train`` (``keys, pos, value``).
+
+    Fitting costs far more than its bytes suggest, so the groups are spread over all shuffle partitions instead of
+    being merged by size. Of a group longer than ``max_rows`` one row more is read, which is how it is noticed.
+    """
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = train.select(*keys, "pos", "value").filter(F.col("pos") <= max_rows).repartition(parts, *keys)
+    grouped = spread.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_rows"))
+    last = F.element_at("_rows", -1)["pos"]
+    too_long = last >= max_rows
+    given = F.when(~too_long, F.transform("_rows", lambda s: s["value"])).otherwise(F.array().cast("array<double>"))
     z = F.array(F.lit(0.0)) if shocks is None else shocks
-    given = F.when(~too_long, F.col("_values")).otherwise(F.array().cast("array<double>"))
     fitted = grouped.withColumn("fit", method(given, horizon, z))
     reason = F.when(too_long, F.lit(f"more than {max_rows} training rows, slice the series first"))
-    return fitted.select(*keys, *(extra or []), "fit.yhat", "fit.p", "fit.q", "fit.prepare_ms", "fit.fit_ms",
-                         "fit.predict_ms", F.coalesce(reason, "fit.error").alias("error"), "last_train_pos")
+    return fitted.select(
+        *keys, "fit.yhat", "fit.p", "fit.q", "fit.prepare_ms", "fit.fit_ms", "fit.predict_ms",
+        F.coalesce(reason, "fit.error").alias("error"), F.when(~too_long, last).alias("last_train_pos"),
+    )

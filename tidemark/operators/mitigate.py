@@ -29,6 +29,24 @@ def padded(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+# Series handled at once inside a Python batch; bounds the padded matrices.
+ROWS_AT_ONCE = 256
+
+
+def in_slices(solve, *columns: pd.Series) -> pd.DataFrame:
+    """Apply ``solve`` to slices of a batch and stack the results; adds the time share of every row by its length."""
+    parts = []
+    for at in range(0, len(columns[0]), ROWS_AT_ONCE):
+        piece = [c.iloc[at : at + ROWS_AT_ONCE] for c in columns]
+        start = time.perf_counter_ns()
+        found = solve(*piece)
+        elapsed = (time.perf_counter_ns() - start) / 1e6
+        lengths = piece[0].map(len)
+        found["elapsed_ms"] = (elapsed * lengths / max(1, lengths.sum())).to_numpy()
+        parts.append(found)
+    return pd.concat(parts, ignore_index=True)
+
+
 def smooth_level(y: np.ndarray, lengths: np.ndarray, r: float = OBSERVATION_VARIANCE,
                  q: float = LEVEL_VARIANCE) -> np.ndarray:
     """Local-level filter and backward smoother of every row of ``y``; row i has ``lengths[i]`` values.
@@ -107,33 +125,36 @@ def spline_intervals(x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> tuple
     return b, c, d
 
 
-@F.pandas_udf(record(smooth=DOUBLES, elapsed_ms=T.DoubleType()))
-def _smooth_arrays(values: pd.Series) -> pd.DataFrame:
-    start = time.perf_counter_ns()
+def _smooth_slice(values: pd.Series) -> pd.DataFrame:
     y, lengths = padded(values)
     smooth = smooth_level(y, lengths)
-    elapsed = (time.perf_counter_ns() - start) / 1e6
-    share = elapsed * lengths / max(1, lengths.sum())
-    return pd.DataFrame({"smooth": [smooth[i, :n] for i, n in enumerate(lengths)], "elapsed_ms": share})
+    return pd.DataFrame({"smooth": [smooth[i, :n] for i, n in enumerate(lengths)]})
 
 
-@F.pandas_udf(record(b=DOUBLES, c=DOUBLES, d=DOUBLES, elapsed_ms=T.DoubleType()))
-def _spline_arrays(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
-    start = time.perf_counter_ns()
+def _spline_slice(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     x, lengths = padded(xs)
     y, _ = padded(ys)
-    b, c, d = spline_intervals(x - x[:, :1], y, lengths)
-    elapsed = (time.perf_counter_ns() - start) / 1e6
-    share = elapsed * lengths / max(1, lengths.sum())
-    cut = lambda m: [m[i, :n] for i, n in enumerate(lengths)]
-    return pd.DataFrame({"b": cut(b), "c": cut(c), "d": cut(d), "elapsed_ms": share})
+    found = spline_intervals(x - x[:, :1], y, lengths)
+    return pd.DataFrame({k: [m[i, :n] for i, n in enumerate(lengths)] for k, m in zip("bcd", found)})
+
+
+@F.pandas_udf(record(smooth=DOUBLES, elapsed_ms=T.DoubleType()))
+def _smooth_arrays(values: pd.Series) -> pd.DataFrame:
+    return in_slices(_smooth_slice, values)
+
+
+@F.pandas_udf(record(b=DOUBLES, c=DOUBLES, d=DOUBLES, elapsed_ms=T.DoubleType()))
+def _spline_arrays(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    return in_slices(_spline_slice, xs, ys)
 
 
 def smooth_groups(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
     """Smoothed arrays per (keys, chunk), halo included: ``a`` (pos, value, core), ``fit`` (smooth, elapsed_ms)."""
-    halo = with_halo(panel.filter(F.col("value").isNotNull()), SMOOTHER_HALO, SMOOTHER_HALO, size)
+    halo = with_halo(panel, SMOOTHER_HALO, SMOOTHER_HALO, size)
     grouped = chunk_arrays(halo.select(*keys, "chunk", "pos", "value", "core"), keys, ["pos", "value", "core"])
-    with_core = grouped.filter(F.exists("a", lambda s: s["core"]))
+    # Missing values are dropped from the arrays: a row filter would compute every damaged value a second time.
+    present = grouped.withColumn("a", F.filter("a", lambda s: s["value"].isNotNull()))
+    with_core = present.filter(F.exists("a", lambda s: s["core"]))
     return with_core.withColumn("fit", _smooth_arrays(F.transform("a", lambda s: s["value"])))
 
 

@@ -34,6 +34,8 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     parts = sorted_rows.groupBy(*keys, "_part").agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(*keys, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    # One row per series and part it touches: written too, so that its size is known to every join that reads it.
+    starts = materialize(starts, "starts")
     return (
         sorted_rows.join(starts, [*keys, "_part"])
         .withColumn("pos", F.col("_before") + F.col("_rid") - F.col("_first"))

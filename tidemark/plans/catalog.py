@@ -347,7 +347,7 @@ def pct_change(spark, sf_dir):
 def lag_features(spark, sf_dir):
     rows = X.lag_features(long_bars(spark, sf_dir), ["series_id", "col"])
     return rows.select("series_id", "col", pos64(), "real", "lag_1", "lag_7", "lag_14", "rolling_max", "rolling_min",
-                       *rounded("rolling_mean", digits=3), "weekday", "month")
+                       *rounded("rolling_mean", digits=6), "weekday", "month")
 
 
 def acf(spark, sf_dir):

@@ -314,7 +314,7 @@ SELECT series_id, pos, round(c, 6) AS pct_change FROM g WHERE c IS NOT NULL"""
 SELECT series_id, col, pos, real, lag(real, 1) {w} AS lag_1, lag(real, 7) {w} AS lag_7, lag(real, 14) {w} AS lag_14,
   CASE WHEN pos >= 7 THEN max(real) {span} END AS rolling_max,
   CASE WHEN pos >= 7 THEN min(real) {span} END AS rolling_min,
-  round(CASE WHEN pos >= 7 THEN avg(real) {span} END, 3) AS rolling_mean,
+  round(CASE WHEN pos >= 7 THEN avg(real) {span} END, 6) AS rolling_mean,
   CAST(isodow(dt) - 1 AS INTEGER) AS weekday, CAST(month(dt) AS INTEGER) AS month FROM panel"""
     acf = lambda k: f"""{TICKS}, mu AS (SELECT series_id, avg(real) AS m FROM t GROUP BY series_id),
 c AS (SELECT t.series_id, pos, real - m AS c FROM t JOIN mu USING (series_id)),
