@@ -7,27 +7,31 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the first eight hex digits of the hash span 2^32 values.
-HASH_SPAN = 4294967296.0
+# Fixed value: each draw uses two words of 32 hash bits.
+WORD_SPAN = 4294967296.0
+WORD_MASK = 0xFFFFFFFF
 
 
-def draw_key(seed: str, source, scale, col, series_id, pos) -> Column:
+def draw_key(seed: str, source: str, scale, col, series_id, pos) -> Column:
     """Text key ``seed|source|scale|col|series|pos`` of one draw."""
-    parts = [seed if isinstance(seed, Column) else F.lit(seed)]
-    parts += [p if isinstance(p, Column) else F.lit(p) for p in (source, scale, col, series_id, pos)]
-    return F.concat_ws("|", *[p.cast("string") for p in parts])
+    parts = [p if isinstance(p, Column) else F.lit(p) for p in (scale, col, series_id, pos)]
+    return F.concat_ws("|", F.lit(f"{seed}|{source}"), *[p.cast("string") for p in parts])
 
 
-def _hash_word(key: Column, word: int) -> Column:
-    return F.conv(F.substring(F.md5(key), 1 + 8 * word, 8), 16, 10).cast("bigint")
+def bits(key: Column) -> Column:
+    """First 64 bits of the hash of a key as a signed number.
 
+    Select this as a column of its own before using :func:`normal`, which reads it twice.
+    """
+    return F.conv(F.substring(F.md5(key), 1, 16), 16, -10).cast("bigint")
 
-def uniform(key: Column) -> Column:
-    """Uniform draw in (0, 1)."""
-    return (_hash_word(key, 0) + F.lit(0.5)) / F.lit(HASH_SPAN)
 
+def uniform(drawn: Column) -> Column:
+    """Uniform draw in (0, 1) from the upper word of :func:`bits`."""
+    return (F.shiftrightunsigned(drawn, 32) + F.lit(0.5)) / F.lit(WORD_SPAN)
 
-def normal(key: Column) -> Column:
-    """Standard normal draw by the Box-Muller transform."""
-    angle = _hash_word(key, 1) / F.lit(HASH_SPAN)
-    return F.sqrt(F.lit(-2.0) * F.log(uniform(key))) * F.cos(F.lit(2.0 * math.pi) * angle)
+
+def normal(drawn: Column) -> Column:
+    """Standard normal draw from both words of :func:`bits`, by the Box-Muller transform."""
+    angle = drawn.bitwiseAND(F.lit(WORD_MASK)) / F.lit(WORD_SPAN)
+    return F.sqrt(F.lit(-2.0) * F.log(uniform(drawn))) * F.cos(F.lit(2.0 * math.pi) * angle)

@@ -16,22 +16,22 @@ from tidemark.functions import rng
 from tidemark.functions.scoring import by_key
 from tidemark.operators.panel import attach, chunk_of
 
-# A deviation turns (value, strength, draw key, low, high) into the damaged value.
+# A deviation turns (value, strength, random bits, low, high) into the damaged value.
 Deviation = Callable[[Column, Column, Column, Column, Column], Column]
 
 
-def add_noise(value: Column, strength: Column, key: Column, low: Column, high: Column) -> Column:
+def add_noise(value: Column, strength: Column, drawn: Column, low: Column, high: Column) -> Column:
     """Value plus normal noise whose deviation is ``strength`` percent of the range of the series."""
-    noisy = value + F.lit(0.01) * strength * (high - low) * rng.normal(key)
+    noisy = value + F.lit(0.01) * strength * (high - low) * rng.normal(drawn)
     return F.when(strength == 0, value).otherwise(noisy)
 
 
-def add_gaps(value: Column, strength: Column, key: Column, low: Column, high: Column) -> Column:
+def add_gaps(value: Column, strength: Column, drawn: Column, low: Column, high: Column) -> Column:
     """Value dropped with probability ``strength``."""
-    return F.when((strength == 0) | (rng.uniform(key) >= strength), value)
+    return F.when((strength == 0) | (rng.uniform(drawn) >= strength), value)
 
 
-def keep(value: Column, strength: Column, key: Column, low: Column, high: Column) -> Column:
+def keep(value: Column, strength: Column, drawn: Column, low: Column, high: Column) -> Column:
     """Stale copies keep their values; their strength is a delay in rows."""
     return value
 
@@ -82,8 +82,9 @@ def deviate(panel: DataFrame, source: str, range_: str = "all", grid: dict | Non
     method = method or DEVIATIONS[source]
     scaled = scale_rows(ranged).withColumn("strength", strength_of(grid, F.col("col"), F.col("scale")))
     key = rng.draw_key(seed_for(range_, shift), source, F.col("scale"), F.col("col"), F.col("series_id"), F.col("pos"))
-    value = method(F.col("real"), F.col("strength"), key, F.col("low_bound"), F.col("high_bound"))
-    return scaled.withColumn("value", value).drop("low_bound", "high_bound")
+    drawn = scaled.withColumn("_bits", F.when(F.col("strength") != 0, rng.bits(key)))
+    value = method(F.col("real"), F.col("strength"), F.col("_bits"), F.col("low_bound"), F.col("high_bound"))
+    return drawn.withColumn("value", value).drop("low_bound", "high_bound", "_bits")
 
 
 def deviate_wide(bars: DataFrame, source: str, range_: str = "all", grid: dict | None = None, shift: int = 0,
@@ -106,17 +107,23 @@ def deviate_wide(bars: DataFrame, source: str, range_: str = "all", grid: dict |
     ids = [c for c in bars.columns if c not in COLUMNS]
     seed = seed_for(range_, shift)
     none = F.lit(None).cast("double")
+    damaged = [c for c in columns if any(grid[s][c] != 0 for s in SCALES)]
+    per_scale = [F.struct(F.lit(s).alias("scale"), *[F.lit(float(grid[s][c])).alias(f"_s_{c}") for c in damaged])
+                 for s in SCALES]
+    scaled = ranged.select("*", F.inline(F.array(*per_scale)))
+    if source != "timeliness":
+        keys = {c: rng.draw_key(seed, source, F.col("scale"), c, F.col("series_id"), F.col("pos")) for c in damaged}
+        scaled = scaled.withColumns({f"_b_{c}": rng.bits(k) for c, k in keys.items()})
     out = []
     for c in columns:
-        key = rng.draw_key(seed, source, F.col("scale"), c, F.col("series_id"), F.col("pos"))
-        strength = strength_of({s: {c: grid[s][c]} for s in SCALES}, F.lit(c), F.col("scale"))
-        if all(grid[s][c] == 0 for s in SCALES):
+        if c not in damaged:
             value = F.col(c)
         else:
             lo, hi = (F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) if source == "noise" else (none, none)
-            value = method(F.col(c), strength, key, lo, hi)
+            drawn = F.lit(None).cast("bigint") if source == "timeliness" else F.col(f"_b_{c}")
+            value = method(F.col(c), F.col(f"_s_{c}"), drawn, lo, hi)
         out.append(value.alias(c))
-    return scale_rows(ranged).select(*ids, "scale", *[F.col(c).alias(f"real_{c}") for c in columns], *out)
+    return scaled.select(*ids, "scale", *[F.col(c).alias(f"real_{c}") for c in columns], *out)
 
 
 def delays(panel: DataFrame, range_: str = "all", grid: dict | None = None) -> DataFrame:

@@ -88,6 +88,6 @@ def forecast_garch(train: DataFrame, keys: list[str], horizon, p: int = 2, q: in
     """``simulate=False`` forecasts the mean return, which is zero, so the last training values are replayed."""
     steps = F.sequence(F.lit(1), horizon)
     group = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    shocks = F.transform(steps, lambda k: rng.normal(rng.draw_key(seed, "garch", "-", "-", group, k))
+    shocks = F.transform(steps, lambda k: rng.normal(rng.bits(rng.draw_key(seed, "garch", "-", "-", group, k)))
                          if simulate else F.lit(0.0))
     return fit_arrays(train, keys, horizon, array_method(Garch(p, q, cumulative)), shocks=shocks, **limits)
