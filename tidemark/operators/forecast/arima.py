@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.config import CHUNK_ROWS
 from tidemark.functions.types import DOUBLES, record
 from tidemark.operators.features import with_lags
 from tidemark.operators.forecast.arrays import FIT, finite_or_error, fit_frame, to_fit
@@ -64,10 +65,10 @@ def forecast_ar1(train: DataFrame, keys: list[str], horizon) -> DataFrame:
     )
 
 
-def value_chunks(train: DataFrame, keys: list[str]) -> DataFrame:
+def value_chunks(train: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
     """One row per (keys, chunk): ``v``, the values of the chunk after ``skip`` rows of the chunk before it."""
-    dense = renumber(train.select(*keys, "pos", "value"), keys)
-    grouped = chunk_arrays(with_halo(dense, LOOK_BACK), keys, ["pos", "value", "core"])
+    dense = renumber(train.select(*keys, "pos", "value"), keys, size)
+    grouped = chunk_arrays(with_halo(dense, LOOK_BACK, 0, size), keys, ["pos", "value", "core"])
     return grouped.filter(F.exists("a", lambda s: s["core"])).select(
         *keys, "chunk",
         F.transform("a", lambda s: s["value"]).alias("v"),
@@ -120,7 +121,8 @@ def sum_arrays(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return sums.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_x"]).alias(column))
 
 
-def choose_difference(chunks: DataFrame, keys: list[str], max_d: int, fixed: bool) -> DataFrame:
+def choose_difference(chunks: DataFrame, keys: list[str], max_d: int, fixed: bool,
+                      size: int = CHUNK_ROWS) -> DataFrame:
     """Smallest difference that passes the level-stationarity test: ``keys, d, mean, rows``.
 
     Running sums of a chunk start at zero; with the total ``b`` of all earlier chunks their squares add up to
@@ -133,7 +135,7 @@ def choose_difference(chunks: DataFrame, keys: list[str], max_d: int, fixed: boo
     if fixed:
         return stats.select(*keys, F.lit(max_d).alias("d"), F.col("means")[max_d].alias("mean"), "rows")
     width = 4 + KPSS_LAGS + 1
-    parts = attach(chunks, stats, keys).select(
+    parts = attach(chunks, stats, keys, size).select(
         *keys, "chunk", _level_parts("v", "skip", "means").alias("parts"),
     )
     per_d = F.transform(F.sequence(F.lit(0), F.lit(max_d)), lambda d: F.slice("parts", d * width + 1, F.lit(width)))
@@ -316,7 +318,8 @@ def select_and_forecast(orders, max_p: int, max_q: int):
 
 
 def forecast_arima(train: DataFrame, keys: list[str], horizon, order: tuple | None = None, max_p: int = MAX_P,
-                   max_q: int = MAX_Q, max_order: int = MAX_ORDER, max_d: int = MAX_D) -> DataFrame:
+                   max_q: int = MAX_Q, max_order: int = MAX_ORDER, max_d: int = MAX_D,
+                   size: int = CHUNK_ROWS) -> DataFrame:
     """Forecast with the best (p, d, q) per group, or with a fixed ``order``.
 
     Refitting after every step on one's own predictions does not change a least-squares fit (those rows have zero
@@ -330,13 +333,13 @@ def forecast_arima(train: DataFrame, keys: list[str], horizon, order: tuple | No
     if max_d > MAX_D or max(max_p, max_q) > max(MAX_P, MAX_Q):
         raise ValueError(f"orders are limited to p, q <= {max(MAX_P, MAX_Q)} and d <= {MAX_D}")
     # Read by several passes below: written once, so that no pass repeats the work before it.
-    chunks = materialize(value_chunks(train, keys), "chunks")
-    chosen = choose_difference(chunks, keys, max_d, fixed=order is not None)
-    ready = materialize(attach(chunks, chosen, keys), "centred")
+    chunks = materialize(value_chunks(train, keys, size), "chunks")
+    chosen = choose_difference(chunks, keys, max_d, fixed=order is not None, size=size)
+    ready = materialize(attach(chunks, chosen, keys, size), "centred")
     parts = ready.select(*keys, _long_products("v", "skip", "d", "mean").alias("products"))
     phi = sum_arrays(parts, keys, "products").select(*keys, _long_solution("products").alias("phi"))
     sizes = ready.groupBy(*keys).agg(F.max("rows").alias("rows"))
-    with_phi = attach(ready.drop("rows"), phi.join(sizes, keys), keys)
+    with_phi = attach(ready.drop("rows"), phi.join(sizes, keys), keys, size)
 
     run = short_products(max_p, max_q)
     fits = with_phi.select(*keys, "chunk", "d", "mean", F.slice("v", -2, 2).alias("tail_v"),
