@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from helpers import frame, long_panel, values_of
 
+from tidemark.config import strengths
 from tidemark.operators import mitigate as M
 
 KEYS = ["series_id", "col"]
@@ -29,6 +30,14 @@ def test_smoother_minimises_the_penalised_squares(spark):
     assert found == pytest.approx(list(np.linalg.solve(a, b)), abs=1e-9)
 
 
+def test_smoother_keeps_rows_without_a_value(spark):
+    panel = long_panel(spark, {"a": [10, None, 12, 11, 13, 12, None], "b": [None, None]}, name="value")
+    found = frame(M.mitigate_kalman(panel, KEYS), "series_id", "pos")
+    assert found["value"].isna().tolist() == [False, True, False, False, False, False, True, True, True]
+    assert found["value"].dropna().tolist() == pytest.approx(
+        [10.94784959, 11.25116146, 11.43465916, 11.68770233, 11.73077787], abs=1e-8)
+
+
 def test_smoother_chunks_equal_whole(spark):
     rng = np.random.default_rng(5)
     series = {"a": rng.normal(0, 1, 900).cumsum() + 100, "b": rng.normal(0, 1, 130).cumsum() + 50}
@@ -75,11 +84,9 @@ def test_spline_chunks_equal_whole(spark):
 
 
 def test_partial_repair_takes_real_values_of_undamaged_columns(spark):
-    deviated = spark.sql("""select 'a' series_id, 'close' col, 'highly' scale, 0 pos, 1.0D real, 6.0D strength
-                            union all select 'a', 'high', 'highly', 0, 2.0D, 0.0D""")
-    mitigated = spark.sql("""select 'a' series_id, 'close' col, 'highly' scale, 0 pos, 10.0D value
-                             union all select 'a', 'high', 'highly', 0, 20.0D""")
-    assert values_of(M.mitigated_partial(deviated, mitigated), "value", "col") == [10.0, 2.0]
+    repaired = spark.sql("""select 'a' series_id, 'close' col, 'highly' scale, 0 pos, 1.0D real, 10.0D value
+                            union all select 'a', 'high', 'highly', 0, 2.0D, 20.0D""")
+    assert values_of(M.mitigated_partial(repaired, strengths("noise", "partially")), "value", "col") == [10.0, 2.0]
 
 
 def test_repair_time_is_positive(spark):

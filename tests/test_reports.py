@@ -43,8 +43,9 @@ def test_scenario_panel_counts(spark):
 
 
 def test_train_split_takes_the_delay_off(spark):
-    panel = S.with_border(S.scenario_panel(long_panel(spark, {"a": range(100)}), mitigated=False, columns=["close"]), 15)
-    found = S.train_split(panel).filter("source = 'timeliness' and scale = 'highly'").groupBy("role").agg(
+    panel = S.with_border(long_panel(spark, {"a": range(100)}), 15)
+    scen = S.scenario_panel(panel, mitigated=False, columns=["close"])
+    found = S.train_split(scen).filter("source = 'timeliness' and scale = 'highly'").groupBy("role").agg(
         F.min("pos"), F.max("pos"), F.count("*")).orderBy("role").collect()
     assert [tuple(r) for r in found] == [("train", 0, 34, 35), ("validate", 85, 99, 15)]
     assert S.max_delay() == 50 and S.max_delay("partially", scale="slightly") == 5
@@ -119,15 +120,36 @@ def test_csv_round_trips(spark, sf, tmp_path):
     assert (row["series_id"], str(row["dt"]), row["high"], row["adj_close"]) == ("A B", "2020-01-02", 3.0, 1.9)
 
 
+SCORES = "range string, scale string, improve string, score double"
+
+
 def test_report_round_trip_and_empty_input(spark, tmp_path):
-    df = spark.createDataFrame([("all", "highly", "N", 0.5)], "range string, scale string, improve string, score double")
-    B.write_report(df, str(tmp_path / "r"))
-    back = B.read_reports(spark, str(tmp_path / "r"), "range string, scale string, improve string, score double")
-    assert back.select("range", "score").first() == ("all", 0.5) and back.first()["file_name"].startswith("part-")
+    df = spark.createDataFrame([("IBM", "all", "highly", "N", 0.5), ("HP", "all", "highly", "N", 0.7)], "c string, " + SCORES)
+    B.write_report(R.named(df, F.col("c"), ["open", "close"], F.lit("noised")).drop("c"), str(tmp_path / "r"))
+    back = B.read_reports(spark, str(tmp_path / "r"), SCORES)
+    assert values_of(back, "file_name", "file_name") == ["HP_open-close_noised", "IBM_open-close_noised"]
+    row = R.AVERAGES["metric"](back).first()
+    assert row["score"] == pytest.approx(0.6) and row["files"] == 2
     with pytest.raises(ValueError):
         B.require_rows(df.filter("score > 1"), "nowhere")
 
 
+def test_saved_runs_add_up_and_average(spark, tmp_path):
+    panel = long_panel(spark, {"a": [100 + (i * 7) % 13 for i in range(140)], "b": range(1, 141)})
+    for _ in range(2):
+        J.save_prediction_reports(panel, "ces", str(tmp_path / "p"), ["a"], unique=True, iterations=2)
+    schema = ("series_id string, num int, dev string, scale string, improve string, time_text string, time_sd double, "
+              "mitigation_ms double, rmse double, mae double, mape double, order string, iterations int")
+    back = B.read_reports(spark, str(tmp_path / "p"), schema)
+    assert back.count() == 32 and {r["file_name"] for r in back.collect()} == {"a_close_ces_15"}
+
+
+def test_prepared_data(spark, tmp_path):
+    J.prepare_data(long_panel(spark, {"a": range(40)}), str(tmp_path), columns=["close"])
+    assert spark.read.parquet(str(tmp_path / "series")).count() == 640
+    assert spark.read.parquet(str(tmp_path / "mitigation_time")).filter("elapsed_ms > 0").count() == 6
+
+
 def test_scenario_table_prunes_by_folder(spark, tmp_path):
     panel = long_panel(spark, {"a": range(40)})
     B.write_scenarios(S.scenario_panel(panel, columns=["close"]), str(tmp_path / "s"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.config import CHUNK_ROWS, LEVEL_VARIANCE, OBSERVATION_VARIANCE, SMOOTHER_HALO, SPLINE_HALO
 from tidemark.functions.types import DOUBLES, record
+from tidemark.operators.deviate import strength_of
 from tidemark.operators.panel import chunk_arrays, chunk_of, running_before, with_halo
 
 
@@ -126,9 +127,13 @@ def spline_intervals(x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> tuple
 
 
 def _smooth_slice(values: pd.Series) -> pd.DataFrame:
-    y, lengths = padded(values)
+    present = [~np.isnan(v) for v in values]
+    y, lengths = padded(pd.Series([v[p] for v, p in zip(values, present)]))
     smooth = smooth_level(y, lengths)
-    return pd.DataFrame({"smooth": [smooth[i, :n] for i, n in enumerate(lengths)]})
+    out = [np.full(len(p), np.nan) for p in present]
+    for i, p in enumerate(present):
+        out[i][p] = smooth[i, : lengths[i]]
+    return pd.DataFrame({"smooth": out})
 
 
 def _spline_slice(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
@@ -148,21 +153,26 @@ def _spline_arrays(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     return in_slices(_spline_slice, xs, ys)
 
 
-def smooth_groups(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
-    """Smoothed arrays per (keys, chunk), halo included: ``a`` (pos, value, core), ``fit`` (smooth, elapsed_ms)."""
-    halo = with_halo(panel, SMOOTHER_HALO, SMOOTHER_HALO, size)
-    grouped = chunk_arrays(halo.select(*keys, "chunk", "pos", "value", "core"), keys, ["pos", "value", "core"])
-    # Missing values are dropped from the arrays: a row filter would compute every damaged value a second time.
-    present = grouped.withColumn("a", F.filter("a", lambda s: s["value"].isNotNull()))
-    with_core = present.filter(F.exists("a", lambda s: s["core"]))
+def smooth_groups(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS, carry=()) -> DataFrame:
+    """Smoothed arrays per (keys, chunk), halo included: ``a`` (pos, value, core, carry), ``fit`` (smooth, elapsed_ms)."""
+    fields = ["pos", "value", "core", *carry]
+    halo = with_halo(panel.select(*keys, "pos", "value", *carry), SMOOTHER_HALO, SMOOTHER_HALO, size)
+    with_core = chunk_arrays(halo, keys, fields).filter(F.exists("a", lambda s: s["core"]))
     return with_core.withColumn("fit", _smooth_arrays(F.transform("a", lambda s: s["value"])))
 
 
-def mitigate_kalman(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
-    """Smooth ``value`` per series: ``keys, pos, value``. Missing values are left out of the result."""
-    fitted = smooth_groups(panel, keys, size)
-    rows = fitted.select(*keys, F.inline(F.arrays_zip("a", F.col("fit.smooth").alias("value"))))
-    return rows.filter("a.core").select(*keys, F.col("a.pos").alias("pos"), "value")
+def mitigate_kalman(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS, carry=()) -> DataFrame:
+    """Smooth ``value`` per series: ``keys, pos, value`` and the ``carry`` columns of the row.
+
+    ``damaged`` is the value before. Rows without a value are stepped over and stay without one.
+    """
+    fitted = smooth_groups(panel, keys, size, carry)
+    rows = fitted.select(*keys, F.inline(F.arrays_zip("a", F.col("fit.smooth").alias("smooth"))))
+    damaged = F.col("a.value")
+    kept = [F.col(f"a.{c}").alias(c) for c in carry]
+    return rows.filter("a.core").select(*keys, F.col("a.pos").alias("pos"),
+                                        F.when(damaged.isNotNull(), F.col("smooth")).alias("value"),
+                                        damaged.alias("damaged"), *kept)
 
 
 def knot_positions(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
@@ -200,13 +210,13 @@ def spline_coefficients(knots: DataFrame, keys: list[str], size: int = CHUNK_ROW
                        "b", "c", "d", "elapsed_ms")
 
 
-def mitigate_spline(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
-    """Fill missing ``value`` rows by a cubic spline over positions: ``keys, pos, value, error``.
+def mitigate_spline(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS, carry=()) -> DataFrame:
+    """Fill missing ``value`` rows by a cubic spline over positions: ``keys, pos, value, error`` and ``carry``.
 
-    Present values stay as they are. Both ends are extrapolated. With fewer than four present values the gaps stay
-    null and ``error`` says why.
+    Present values stay as they are, ``damaged`` is the value before. Both ends are extrapolated. With fewer than
+    four present values the gaps stay null and ``error`` says why.
     """
-    numbered = knot_positions(panel.select(*keys, "pos", "value"), keys, size)
+    numbered = knot_positions(panel.select(*keys, "pos", "value", *carry), keys, size)
     knots = numbered.filter(F.col("value").isNotNull()).select(*keys, "knot", "pos", "value")
     curve = spline_coefficients(knots, keys, size).drop("elapsed_ms")
     joined = numbered.join(curve, [*keys, "knot"], "left")
@@ -214,13 +224,12 @@ def mitigate_spline(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -
     filled = F.col("y") + t * (F.col("b") + t * (F.col("c") + t * F.col("d")))
     value = F.coalesce(F.col("value"), filled)
     error = F.when(value.isNull(), F.lit("fewer than 4 present values"))
-    return joined.select(*keys, "pos", value.alias("value"), error.alias("error"))
+    return joined.select(*keys, "pos", value.alias("value"), F.col("value").alias("damaged"), error.alias("error"),
+                         *carry)
 
 
-MITIGATIONS = {
-    "noise": lambda panel, keys, size=CHUNK_ROWS: mitigate_kalman(panel, keys, size),
-    "incompleteness": lambda panel, keys, size=CHUNK_ROWS: mitigate_spline(panel, keys, size).drop("error"),
-}
+# A repair turns (panel, keys, chunk size, carried columns) into ``keys, pos, value, damaged`` and the carried columns.
+MITIGATIONS = {"noise": mitigate_kalman, "incompleteness": mitigate_spline}
 
 
 def mitigation_time(panel: DataFrame, source: str, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
@@ -234,13 +243,11 @@ def mitigation_time(panel: DataFrame, source: str, keys: list[str], size: int =
     return fits.groupBy(*keys).agg(F.sum("elapsed_ms").alias("elapsed_ms"))
 
 
-def mitigated_partial(deviated: DataFrame, mitigated: DataFrame) -> DataFrame:
+def mitigated_partial(repaired: DataFrame, grid: dict) -> DataFrame:
     """Repaired set of partial damage: the repaired value where the column was damaged, else the real value.
 
-    ``deviated`` carries the partial ``strength`` per row with the real value, ``mitigated`` the repaired values.
+    ``repaired`` is the repaired set of full damage with ``real`` carried along. Which column is damaged at which
+    scale is a fixed grid, so this is a projection.
     """
-    keys = ["series_id", "col", "scale", "pos"]
-    damaged = F.col("strength") != 0
-    repaired = mitigated.select(*keys, F.col("value").alias("repaired"))
-    joined = deviated.select(*keys, "real", "strength").join(repaired, keys, "left")
-    return joined.select(*keys, F.when(damaged, F.col("repaired")).otherwise(F.col("real")).alias("value"))
+    damaged = strength_of(grid, F.col("col"), F.col("scale")) != 0
+    return repaired.withColumn("value", F.when(damaged, F.col("value")).otherwise(F.col("real")))

@@ -25,6 +25,12 @@ def first_dates(bars: DataFrame) -> DataFrame:
     return bars.groupBy("series_id").agg(F.min("dt").alias("first_date")).orderBy("first_date", "series_id")
 
 
+def named(report: DataFrame, *parts) -> DataFrame:
+    """Add ``file_name``, the ``_``-joined parts a report is stored under; a list of columns is joined with ``-``."""
+    flat = [F.lit("-".join(p)) if isinstance(p, (list, tuple)) else p for p in parts]
+    return report.withColumn("file_name", F.concat_ws("_", *flat))
+
+
 def avg_quality_report(reports: DataFrame) -> DataFrame:
     """Mean score over report files per (Range, Scale, Improve).
 
@@ -64,6 +70,9 @@ def avg_prediction_report(reports: DataFrame) -> DataFrame:
     return averaged.withColumn("time_text", text).drop("prepare_ms", "fit_ms", "predict_ms")
 
 
+AVERAGES = {"metric": avg_quality_report, "prediction": avg_prediction_report}
+
+
 def skipped_files(reports: DataFrame) -> DataFrame:
     """Names of the files that :func:`avg_prediction_report` leaves out."""
     parts = split_times(reports)

@@ -119,11 +119,11 @@ def noise_reports(spark, sf_dir) -> DataFrame:
 
 def replay_setup(spark, sf_dir):
     """Damaged close and open series, their tail-replay forecasts and the real validation values."""
-    panel = long_bars(spark, sf_dir, once=True)
+    panel = S.with_border(long_bars(spark, sf_dir, once=True), N_VALID)
     scen = materialize(S.scenario_panel(panel, mitigated=False), "scenarios")
-    train = S.training(S.with_border(scen, N_VALID)).select(*S.GROUP, "pos", "value")
+    train = S.training(scen).select(*S.GROUP, "pos", "value")
     fits = forecast_panel(train, "tail_replay", F.col("delay") + N_VALID, S.GROUP)
-    actual = S.validation(S.with_border(panel, N_VALID)).select("series_id", "col", "step", "pos", "real")
+    actual = S.validation(panel).select("series_id", "col", "step", "pos", "real")
     return panel, train, forecast_rows(fits, S.GROUP), actual
 
 
@@ -153,8 +153,8 @@ def series_tail(spark, sf_dir):
 
 
 def train_split(spark, sf_dir):
-    panel = long_bars(spark, sf_dir, once=True)
-    split = S.train_split(S.with_border(S.scenario_panel(panel, mitigated=False), N_VALID))
+    panel = S.with_border(long_bars(spark, sf_dir, once=True), N_VALID)
+    split = S.train_split(S.scenario_panel(panel, mitigated=False))
     return split.select("series_id", "col", "source", "scale", "improve", "delay", pos64(), "role",
                         *rounded("value", digits=4))
 
@@ -297,10 +297,8 @@ def mitigate_kalman(spark, sf_dir):
 
 
 def mitigated_partial(spark, sf_dir):
-    panel = typed_ticks(spark, sf_dir)
-    full = D.deviate(panel, "noise", columns=TYPE_COLUMNS)
-    part = D.deviate(panel, "noise", "partially", TYPE_PARTIAL["noise"])
-    fixed = M.mitigated_partial(part, M.mitigate_kalman(full, REPAIR_KEYS))
+    full = D.deviate(typed_ticks(spark, sf_dir), "noise", columns=TYPE_COLUMNS)
+    fixed = M.mitigated_partial(M.mitigate_kalman(full, REPAIR_KEYS, carry=["real"]), TYPE_PARTIAL["noise"])
     return fixed.select("series_id", "col", "scale", pos64(), *rounded("value", digits=6))
 
 
@@ -403,7 +401,7 @@ def forecast_overlay(spark, sf_dir):
     panel, train, rows, _ = replay_setup(spark, sf_dir)
     keys = ["series_id", "col", "source", "scale", "improve"]
     stale = lambda df: df.filter((F.col("source") == "timeliness") & (F.col("scale") == "moderately"))
-    edge = S.with_border(panel, N_VALID).groupBy("series_id").agg(F.max("border").alias("border"))
+    edge = panel.groupBy("series_id").agg(F.max("border").alias("border"))
     placed = E.forecast_align(stale(rows), N_VALID).join(edge, "series_id").withColumn("pos", F.col("border") + F.col("step") - 1)
     labels = {"source": F.lit("timeliness"), "scale": F.lit("moderately"), "improve": F.lit("N")}
     drawn = E.forecast_overlay(panel.withColumns(labels), stale(train), placed, keys, 1300)

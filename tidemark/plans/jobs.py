@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ from tidemark.operators.deviate import deviate, deviate_wide
 from tidemark.operators.forecast import forecast_panel, forecast_rows
 from tidemark.operators.mitigate import MITIGATIONS, mitigated_partial, mitigation_time
 from tidemark.operators.panel import rolling_windows, unpivot
+from tidemark.operators.report import named
 from tidemark.plans.scenarios import GROUP, scenario_panel, scenarios, training, validation, with_border
 from tidemark.session import materialize
+from tidemark.sources.bars import write_report, write_scenarios
 
 REPORT = ["series_id", "source", "range", "scale", "improve", "score"]
 
@@ -52,17 +56,13 @@ def mitigated_quality(bars: DataFrame, columns=None, alpha: dict = ALPHA) -> Dat
     out = None
     for source in ("noise", "incompleteness"):
         damaged = deviate(panel, source, "all", strengths(source, "all"))
-        repaired = materialize(
-            MITIGATIONS[source](damaged.select(*keys, "pos", "value"), keys).select(*keys, "pos", "value"), "repaired")
-        partial = deviate(panel, source, "partially", strengths(source, "partially")).select(*keys, "pos", "real", "strength")
-        real = panel.select("series_id", "col", "pos", "real")
+        repaired = materialize(MITIGATIONS[source](damaged, keys, carry=["real"]).drop("damaged"), "repaired")
         for range_ in ("all", "partially"):
-            fixed = repaired if range_ == "all" else mitigated_partial(partial, repaired)
-            with_real = fixed.join(real, ["series_id", "col", "pos"])
+            fixed = repaired if range_ == "all" else mitigated_partial(repaired, strengths(source, "partially"))
             if source == "noise":
-                scores = Q.correctness_relation_long(with_real, columns, alpha)
+                scores = Q.correctness_relation_long(fixed, columns, alpha)
             else:
-                scores = Q.completeness_relation_long(with_real, columns)
+                scores = Q.completeness_relation_long(fixed, columns)
             part = _labelled(scores, source, range_, "Y")
             out = part if out is None else out.unionByName(part)
     return out
@@ -85,8 +85,8 @@ def scenario_forecast(panel: DataFrame, method: str, n_valid: int = N_VALID, ran
     """
     columns = columns or COLUMNS
     chosen = panel.filter(F.col("col").isin(list(columns)))
-    scen = scenario_panel(chosen, range_, sources, scales, columns=columns)
-    train = training(with_border(scen, n_valid))
+    chosen = with_border(chosen, n_valid)
+    train = training(scenario_panel(chosen, range_, sources, scales, columns=columns))
     keys = list(GROUP)
     if iterations:
         train = E.repeat_rows(train, iterations)
@@ -95,7 +95,7 @@ def scenario_forecast(panel: DataFrame, method: str, n_valid: int = N_VALID, ran
     # A stale column makes every column of its scenario forecast as far as the longest delay.
     longest = _longest_delay(range_, columns)
     fits = forecast_panel(train.select(*kept), method, longest + n_valid, keys, **params)
-    return fits, validation(with_border(chosen, n_valid)).select("series_id", "col", "step", "pos", "real")
+    return fits, validation(chosen).select("series_id", "col", "step", "pos", "real")
 
 
 def _longest_delay(range_: str, columns):
@@ -147,6 +147,29 @@ def prediction_report(panel: DataFrame, method: str, iterations: int = 3, n_vali
     ).orderBy("series_id", "num")
 
 
+def prepare_data(panel: DataFrame, folder: str, **choice) -> None:
+    """Store real, damaged and repaired series of all companies, and beside them the time each repair took."""
+    write_scenarios(scenario_panel(panel, **choice), f"{folder}/series")
+    times = None
+    for source in MITIGATIONS:
+        damaged = deviate(panel, source, "all", strengths(source, "all"))
+        part = mitigation_time(damaged, source, ["series_id", "col", "scale"]).withColumn("source", F.lit(source))
+        times = part if times is None else times.unionByName(part)
+    times.write.mode("overwrite").parquet(f"{folder}/mitigation_time")
+
+
+def save_prediction_reports(panel: DataFrame, method: str, folder: str, companies=None, columns=("close",),
+                            n_valid: int = N_VALID, unique: bool = False, **params) -> None:
+    """Prediction reports of all or some companies as CSV, one directory each.
+
+    ``unique`` keeps earlier runs: every run is added under an id of its own.
+    """
+    chosen = panel if companies is None else panel.filter(F.col("series_id").isin(list(companies)))
+    report = prediction_report(chosen, method, n_valid=n_valid, columns=list(columns), **params)
+    stored = named(report, F.col("series_id"), list(columns), F.lit(method), F.lit(str(n_valid)))
+    write_report(stored, folder, run_id=str(uuid.uuid4()) if unique else None)
+
+
 def rolling_origin(bars: DataFrame, method: str, shifts: int, n: int, n_valid: int = N_VALID, column: str = "close",
                    **params) -> DataFrame:
     """Errors of one method on real values over windows that start at positions 0 .. ``shifts``."""

@@ -56,30 +56,37 @@ def scenario_panel(panel: DataFrame, range_: str = "all", sources=None, scales=N
                    columns=None, shift: int = 0, size: int = CHUNK_ROWS) -> DataFrame:
     """Real, damaged and repaired rows of a long panel in one table.
 
-    ``series_id, col, pos, [dt,] real, source, scale, improve, delay, value``. Repairs belong to the fully damaged
-    set. Restrict columns, sources and scales here: what is not asked for is never built.
+    ``series_id, col, pos, [dt, border,] real, source, scale, improve, delay, value``. Repairs belong to the fully
+    damaged set. Restrict columns, sources and scales here: what is not asked for is never built. A repair hands
+    its damaged input on, so each damaged set is drawn once and the panel is never joined back.
     """
     sources, scales = sources or SOURCES, scales or SCALES
-    ids = [c for c in panel.columns if c in ("series_id", "col", "pos", "dt", "real")]
-    none = F.lit(0).cast("int")
+    ids = [c for c in ("series_id", "col", "pos", "dt", "border", "real") if c in panel.columns]
+    carry = [c for c in ids if c not in ("series_id", "col", "pos")]
+    zero = F.lit(0).cast("int")
 
-    def shape(df, source, improve):
-        return df.select(*ids, F.lit(source).alias("source"), F.col("scale"), F.lit(improve).alias("improve"),
-                         F.col("delay"), F.col("value"))
+    def damage(source, kind):
+        df = deviate(panel, source, kind, strengths(source, kind, columns), shift)
+        return df if set(scales) == set(SCALES) else df.filter(F.col("scale").isin(list(scales)))
 
-    out = shape(panel.withColumns({"scale": F.lit("-"), "delay": none, "value": F.col("real")}), "none", "N")
+    def shape(df, source, improve="N", delay=zero):
+        df = df.withColumns({"source": F.lit(source), "delay": delay})
+        df = df if improve is None else df.withColumn("improve", F.lit(improve))
+        return df.select(*ids, "source", "scale", "improve", "delay", "value")
+
+    out = shape(panel.withColumns({"scale": F.lit("-"), "value": F.col("real")}), "none")
     for source in sources:
-        damaged = deviate(panel, source, range_, strengths(source, range_, columns), shift)
-        damaged = damaged.filter(F.col("scale").isin(list(scales)))
-        delay = F.col("strength").cast("int") if source == "timeliness" else none
-        out = out.unionByName(shape(damaged.withColumn("delay", delay), source, "N"))
-        if mitigated and source in MITIGATIONS:
-            full = damaged if range_ == "all" else deviate(panel, source, "all", strengths(source, "all", columns), shift)
-            full = full.filter(F.col("scale").isin(list(scales)))
-            keys = ["series_id", "col", "scale"]
-            fixed = MITIGATIONS[source](full.select(*keys, "pos", "value"), keys, size)
-            back = fixed.join(panel.select(*ids), ["series_id", "col", "pos"])
-            out = out.unionByName(shape(back.withColumn("delay", none), source, "Y"))
+        repair = MITIGATIONS.get(source) if mitigated else None
+        if repair:
+            fixed = repair(damage(source, "all"), ["series_id", "col", "scale"], size, carry)
+            if range_ == "all":
+                both = F.array(F.struct(F.lit("N").alias("improve"), F.col("damaged").alias("value")),
+                               F.struct(F.lit("Y").alias("improve"), F.col("value").alias("value")))
+                out = out.unionByName(shape(fixed.select(*ids, "scale", F.inline(both)), source, None))
+                continue
+            out = out.unionByName(shape(fixed, source, "Y"))
+        delay = F.col("strength").cast("int") if source == "timeliness" else zero
+        out = out.unionByName(shape(damage(source, range_), source, "N", delay))
     return out
 
 

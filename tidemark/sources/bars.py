@@ -22,9 +22,9 @@ def _file_stem():
     return F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.csv$", "")
 
 
-def _series_name():
-    """Series of a price file: its ``series_id=`` directory when written here, else its file name."""
-    in_path = F.url_decode(F.regexp_extract("_metadata.file_path", r"series_id=([^/]+)/", 1))
+def _name_of(key: str):
+    """Name of the data in a file: its ``<key>=`` directory when written here, else the file name."""
+    in_path = F.url_decode(F.regexp_extract("_metadata.file_path", rf"{key}=([^/]+)/", 1))
     return F.when(in_path != "", in_path).otherwise(_file_stem())
 
 
@@ -33,7 +33,7 @@ def read_bars_csv(spark: SparkSession, folder: str) -> DataFrame:
     schema = T.StructType([BARS_CSV[c] for c in CSV_HEADER])
     reader = spark.read.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd")
     raw = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder)
-    return raw.select(_series_name().alias("series_id"), F.col("Date").alias("dt"), *COLUMNS)
+    return raw.select(_name_of("series_id").alias("series_id"), F.col("Date").alias("dt"), *COLUMNS)
 
 
 def rename_downloaded(df: DataFrame) -> DataFrame:
@@ -52,15 +52,19 @@ def write_scenarios(panel: DataFrame, folder: str, fmt: str = "parquet") -> None
     panel.write.mode("overwrite").partitionBy("source", "scale", "improve").format(fmt).save(folder)
 
 
-def write_report(df: DataFrame, folder: str, by=()) -> None:
-    """Write a report as CSV with a header, optionally one directory per company."""
-    df.write.mode("overwrite").partitionBy(*by).option("header", True).csv(folder)
+def write_report(df: DataFrame, folder: str, by=("file_name",), run_id: str | None = None) -> None:
+    """Write a report as CSV with a header, one directory per value of ``by``; runs add up under their ids."""
+    if run_id is not None:
+        df, by = df.withColumn("run_id", F.lit(run_id)), (*by, "run_id")
+    mode = "overwrite" if run_id is None else "append"
+    df.write.mode(mode).partitionBy(*by).option("header", True).csv(folder)
 
 
 def read_reports(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """All report CSVs of a folder in one scan, each row with the name of its file."""
-    raw = spark.read.schema(schema).option("header", True).csv(folder)
-    return require_rows(raw.select(_file_stem().alias("file_name"), "*"), folder)
+    reader = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
+    raw = reader.option("pathGlobFilter", "*.csv").csv(folder)
+    return require_rows(raw.select(_name_of("file_name").alias("file_name"), "*"), folder)
 
 
 def require_rows(df: DataFrame, name: str) -> DataFrame:
