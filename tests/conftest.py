@@ -5,14 +5,15 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidemark.session import local_session  # noqa: E402
+from tidemark.session import local_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("4", shuffle_partitions=4, memory="4g")
     session.sparkContext.setLogLevel("OFF")
-    return session
+    yield session
+    release(session)
 
 
 @pytest.fixture(scope="session")

@@ -28,6 +28,7 @@ TYPE_PARTIAL = {
 }
 TICK_VALID = 5
 TICK_HORIZON = 5
+ROLLING_STEPS = 10
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,12 +278,16 @@ def deviated_quality(spark, sf_dir):
     return scores.select("series_id", "source", "range", "scale", "improve", *rounded("score", digits=6))
 
 
+REPORT_COLUMNS = ["series_id", "source", "metric", "range", "scale", "improve"]
+
+
 def quality_report(spark, sf_dir):
-    return J.quality_report(bars_once(spark, sf_dir))
+    return J.quality_report(bars_once(spark, sf_dir)).select(*REPORT_COLUMNS, *rounded("score", digits=6))
 
 
 def quality_report_close(spark, sf_dir):
-    return J.quality_report(bars_once(spark, sf_dir), ["close"])
+    report = J.quality_report(bars_once(spark, sf_dir), ["close"])
+    return report.select(*REPORT_COLUMNS, *rounded("score", digits=6))
 
 
 # ---- repairs --------------------------------------------------------------------------------------------------
@@ -446,13 +451,24 @@ def forecast_gbt(spark, sf_dir):
     return forecast_rows(forecast_panel(train, "gbt", TICK_HORIZON, FIT_KEYS, longest=TICK_HORIZON), FIT_KEYS)
 
 
+def _returns(spark, sf_dir) -> DataFrame:
+    """Training part of the close returns of all series."""
+    returns = X.pct_change(long_bars(spark, sf_dir, ["close"], once=True), FIT_KEYS).drop("real")
+    return real_training(returns.withColumnRenamed("pct_change", "real"), ROLLING_STEPS)
+
+
+def forecast_rolling_ar1(spark, sf_dir):
+    """Rolling one-step forecasts of returns at order (1, 0, 0)."""
+    fits = forecast_panel(_returns(spark, sf_dir), "arima", ROLLING_STEPS, FIT_KEYS, order=(1, 0, 0))
+    return forecast_rows(fits, FIT_KEYS).select("series_id", "step", *rounded("yhat", digits=6))
+
+
 def forecast_rolling(spark, sf_dir):
     """Rolling one-step forecasts of returns at three fixed orders."""
-    returns = X.pct_change(long_bars(spark, sf_dir, ["close"], once=True), FIT_KEYS).drop("real")
-    train = materialize(real_training(returns.withColumnRenamed("pct_change", "real"), 10), "returns")
+    train = materialize(_returns(spark, sf_dir), "returns")
     out = None
     for order in ((1, 0, 0), (5, 0, 0), (5, 0, 5)):
-        rows = forecast_rows(forecast_panel(train, "arima", 10, FIT_KEYS, order=order), FIT_KEYS)
+        rows = forecast_rows(forecast_panel(train, "arima", ROLLING_STEPS, FIT_KEYS, order=order), FIT_KEYS)
         part = rows.withColumn("order", F.lit("({},{},{})".format(*order)))
         out = part if out is None else out.unionByName(part)
     return out
@@ -465,6 +481,14 @@ def scenario_forecast(spark, sf_dir):
     return J.scenario_errors(fits, actual, S.GROUP)
 
 
+def scenario_forecast_replay(spark, sf_dir):
+    """The same sweep with the replay forecast on all columns, for noise, its repair and staleness."""
+    panel = long_bars(spark, sf_dir, once=True)
+    fits, actual = J.scenario_forecast(panel, "tail_replay", sources=["noise", "timeliness"])
+    found = J.scenario_errors(fits, actual, S.GROUP)
+    return found.select(*S.GROUP, "n", "mape_n", *rounded("rmse", "mae", "mape", digits=4))
+
+
 def prediction_report(spark, sf_dir):
     return J.prediction_report(long_bars(spark, sf_dir, ["close"], once=True), "ces", iterations=3)
 
@@ -545,8 +569,8 @@ QUERIES = {
         completeness_values, completeness_tuples, completeness_relation, weights_normalized, deviated_quality,
         quality_report, quality_report_close, mitigate_kalman, mitigated_partial, mitigate_spline, mitigation_time,
         log_returns, pct_change, lag_features, acf, pacf, forecast_ar1, tail_replay, forecast_align, forecast_eval,
-        forecast_eval_weighted, forecast_overlay, avg_predictions, rolling_origin, forecast_gbt, forecast_rolling,
-        scenario_forecast, prediction_report, repeat_stats, forecast_timing, first_dates, series_stats,
+        forecast_eval_weighted, forecast_overlay, avg_predictions, rolling_origin, forecast_gbt, forecast_rolling, forecast_rolling_ar1,
+        scenario_forecast, scenario_forecast_replay, prediction_report, repeat_stats, forecast_timing, first_dates, series_stats,
         relative_change, relative_change_summary, report_scan, split_times, avg_quality_report,
         avg_prediction_report, common_labels,
     )
@@ -554,3 +578,4 @@ QUERIES = {
 QUERIES["forecast_panel"] = forecast_panel_fits
 for _method in ("arima", "ces", "garch", "esn"):
     QUERIES[f"forecast_{_method}"] = forecast_method(_method)
+QUERIES["forecast_garch11"] = forecast_method("garch", p=1, q=1)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from tidemark.config import (
     ALL_STRENGTHS, ALPHA, COLUMNS, DECLINES, MEASUREMENT_DAYS, N_VALID, PARTIAL_STRENGTHS, SCALES, SCALE_SHORT,
-    SEED, PARTIAL_SEED, SOURCE_SHORT, SOURCES, WEIGHTS, strengths,
+    SEED, PARTIAL_SEED, SOURCE_LABELS, SOURCE_SHORT, SOURCES, WEIGHTS, strengths,
 )
-from tidemark.plans.catalog import COMPARED, TICK_HORIZON, TICK_VALID, TYPE_PARTIAL
+from tidemark.plans.catalog import COMPARED, ROLLING_STEPS, TICK_HORIZON, TICK_VALID, TYPE_PARTIAL
 from tidemark.plans.scenarios import scenarios
 
 BARS = """r AS (
@@ -103,6 +103,13 @@ def score(c: str) -> str:
             f"greatest(abs({c}), abs(real_{c})), {ALPHA[c]}::DOUBLE) END)")
 
 
+def score_long() -> str:
+    """Value score on long rows ``col, value, real``."""
+    alpha = "CASE col " + " ".join(f"WHEN '{c}' THEN {a}::DOUBLE" for c, a in ALPHA.items()) + " END"
+    return (f"(CASE WHEN value = real THEN 1.0 ELSE 1.0 - pow(abs(value - real) / "
+            f"greatest(abs(value), abs(real)), {alpha}) END)")
+
+
 TOTAL = sum(WEIGHTS.values())
 TUPLE = "(" + " + ".join(f"{WEIGHTS[c] / TOTAL!r}::DOUBLE * {score(c)}" for c in COLUMNS) + ")"
 DECAY = "(" + " + ".join(f"{WEIGHTS[c] / TOTAL!r}::DOUBLE * exp(-{DECLINES[c]}::DOUBLE * age)" for c in COLUMNS) + ")"
@@ -122,19 +129,24 @@ def noise_relation(range_: str, name: str) -> str:
         f",\n{name}_rel AS (SELECT series_id, scale, avg({TUPLE}) AS score FROM {name} GROUP BY series_id, scale)")
 
 
-def partial_timeliness() -> str:
-    stale = sum(WEIGHTS[c] for c in PARTIAL_STRENGTHS["timeliness"]) / TOTAL
+def partial_timeliness(stale: float | None = None) -> str:
+    if stale is None:
+        stale = sum(WEIGHTS[c] for c in PARTIAL_STRENGTHS["timeliness"]) / TOTAL
     return f"""ages0 AS (SELECT series_id, avg(CASE WHEN scale = 'now' THEN {DECAY} END) AS fresh FROM ages GROUP BY series_id),
 stale AS (SELECT series_id, scale, {1 - stale!r}::DOUBLE * fresh + {stale!r}::DOUBLE * avg({DECAY}) AS score
   FROM ages JOIN ages0 USING (series_id) WHERE scale <> 'now' GROUP BY series_id, scale, fresh)"""
 
 
-def scen_rows(n_valid: int = N_VALID) -> str:
-    """Unrepaired scenario rows with the border of their series."""
-    parts = [f"{damaged(s, 'all', s)}" for s in SOURCES]
+def scen_rows(n_valid: int = N_VALID, sources=tuple(SOURCES), smoothed: bool = False) -> str:
+    """Scenario rows, split at the border of their series; with smoothed noise rows if asked for."""
+    parts = [f"{damaged(s, 'all', s)}" for s in sources]
     pick = " UNION ALL ".join(
         f"SELECT series_id, col, pos, dt, real, '{s}' AS source, scale, 'N' AS improve, "
-        f"CAST({'strength' if s == 'timeliness' else '0'} AS INTEGER) AS delay, value FROM {s}" for s in SOURCES)
+        f"CAST({'strength' if s == 'timeliness' else '0'} AS INTEGER) AS delay, value FROM {s}" for s in sources)
+    if smoothed:
+        parts.append(kalman("SELECT series_id, col, scale, pos, value AS y FROM noise", ["series_id", "col", "scale"]))
+        pick += (" UNION ALL SELECT k.series_id, k.col, k.pos, dt, real, 'noise', scale, 'Y', 0, ms "
+                 "FROM back k JOIN panel USING (series_id, col, pos)")
     return PANEL + ",\n" + ",\n".join(parts) + f""",
 scen AS (SELECT series_id, col, pos, dt, real, 'none' AS source, '-' AS scale, 'N' AS improve, 0 AS delay,
   real AS value FROM panel UNION ALL {pick}),
@@ -147,8 +159,8 @@ actual AS (SELECT series_id, col, CAST(pos - (n_rows - {n_valid}) + 1 AS INTEGER
 GROUP = "series_id, col, source, scale, improve, delay"
 
 
-def replay() -> str:
-    return scen_rows() + f""",
+def replay(**choice) -> str:
+    return scen_rows(**choice) + f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {GROUP} ORDER BY pos DESC) AS rk FROM train),
 replay AS (SELECT {GROUP}, CAST(delay + {N_VALID} - rk + 1 AS INTEGER) AS step, value AS yhat FROM ranked
   WHERE rk <= delay + {N_VALID}),
@@ -205,6 +217,51 @@ chg AS (SELECT series_id, row, """ + ", ".join(
     f"({c} - open) / nullif(open, 0) AS {c}" for c in COMPARED) + " FROM m)"
 
 
+def quality_sql(columns) -> str:
+    """Damaged and repaired relation scores; the smoother runs as recursion over every column and scale."""
+    chosen = columns or COLUMNS
+    listed = ", ".join(f"'{c}'" for c in chosen)
+    total = sum(WEIGHTS[c] for c in chosen)
+    weight = "CASE col " + " ".join(f"WHEN '{c}' THEN {WEIGHTS[c] / total!r}::DOUBLE" for c in chosen) + " END"
+    stale = sum(WEIGHTS[c] for c in chosen if c in PARTIAL_STRENGTHS["timeliness"]) / total
+    hit = ", ".join(f"'{c}'" for c in PARTIAL_STRENGTHS["noise"])
+
+    def noise(rows: str) -> str:
+        return f"""(SELECT series_id, scale, sum({weight} * q) AS score FROM (
+  SELECT series_id, scale, col, avg({score_long()}) AS q FROM ({rows}) WHERE col IN ({listed})
+  GROUP BY series_id, scale, col) GROUP BY series_id, scale)"""
+
+    def gaps(rows: str) -> str:
+        return f"""(SELECT series_id, scale, avg(CASE WHEN whole THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM (
+  SELECT series_id, scale, pos, bool_and(value IS NOT NULL) AS whole FROM {rows} WHERE col IN ({listed})
+  GROUP BY series_id, scale, pos) GROUP BY series_id, scale)"""
+
+    def part(source: str, range_: str, improve: str, rows: str) -> str:
+        return (f"SELECT series_id, '{source}' AS source, '{SOURCE_LABELS[source]}' AS metric, '{range_}' AS range, "
+                f"scale, '{improve}' AS improve, round(score, 6) AS score FROM {rows}")
+
+    full = "SELECT series_id, col, scale, value, real FROM fixed"
+    some = f"SELECT series_id, col, scale, CASE WHEN col IN ({hit}) THEN value ELSE real END AS value, real FROM fixed"
+    whole = "(SELECT DISTINCT series_id, scale, 1.0::DOUBLE AS score FROM ia)"
+    rows = [
+        part("noise", "all", "N", noise("SELECT * FROM na")), part("noise", "partially", "N", noise("SELECT * FROM np")),
+        part("noise", "all", "Y", noise(full)), part("noise", "partially", "Y", noise(some)),
+        part("incompleteness", "all", "N", gaps("ia")), part("incompleteness", "partially", "N", gaps("ip")),
+        part("incompleteness", "all", "Y", whole), part("incompleteness", "partially", "Y", whole),
+        part("timeliness", "partially", "N", "stale"),
+    ]
+    if columns is None:
+        rows.append(part("timeliness", "all", "N", "fresh"))
+    return f"""WITH RECURSIVE {PANEL},
+{damaged('noise', 'all', 'na')}, {damaged('noise', 'partially', 'np')},
+{damaged('incompleteness', 'all', 'ia')}, {damaged('incompleteness', 'partially', 'ip')},
+{ages({'now': 0, **MEASUREMENT_DAYS})}, {partial_timeliness(stale)},
+fresh AS (SELECT series_id, scale, avg({DECAY}) AS score FROM ages WHERE scale <> 'now' GROUP BY series_id, scale),
+{kalman('SELECT series_id, col, scale, pos, value AS y FROM na', ['series_id', 'col', 'scale'])},
+fixed AS (SELECT k.series_id, k.col, k.scale, k.ms AS value, p.real FROM back k JOIN panel p USING (series_id, col, pos))
+""" + " UNION ALL ".join(rows)
+
+
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql["scan_bars"] = f"WITH {BARS} SELECT series_id, dt, open, close, adj_close, high, low, volume FROM b"
@@ -280,6 +337,9 @@ fresh AS (SELECT series_id, scale, avg({DECAY}) AS score FROM ages WHERE scale <
         part("incompleteness", "all", gaps("ia")), part("incompleteness", "partially", gaps("ip")),
         part("timeliness", "all", "fresh"), part("timeliness", "partially", "stale")])
 
+    sql["quality_report"] = quality_sql(None)
+    sql["quality_report_close"] = quality_sql(["close"])
+
     tick_panel = TICKS + ",\ntp AS (SELECT series_id, 'value' AS col, pos, real FROM t)"
     grid = {s: {"value": v} for s, v in ALL_STRENGTHS["noise"].items()}
     sql["mitigate_kalman"] = f"""WITH RECURSIVE {tick_panel},
@@ -340,9 +400,21 @@ fit AS (SELECT series_id, regr_slope(real, prev) AS phi, regr_intercept(real, pr
 SELECT series_id, CAST(h AS INTEGER) AS step, round(CASE WHEN phi = 1 THEN c * h + y
   ELSE c * (1 - pow(phi, h)) / nullif(1 - phi, 0) + pow(phi, h) * y END, 6) AS yhat
 FROM fit CROSS JOIN (SELECT unnest(range(1, {TICK_HORIZON + 1})) AS h)"""
+    sql["forecast_rolling_ar1"] = f"""WITH RECURSIVE {BARS},
+g AS (SELECT series_id, pos - 1 AS pos, close / nullif(lag(close) OVER (PARTITION BY series_id ORDER BY pos), 0) - 1 AS y FROM b),
+n AS (SELECT series_id, max(pos) + 1 AS n FROM b GROUP BY series_id),
+tr AS (SELECT g.series_id, pos, y, lag(y) OVER (PARTITION BY g.series_id ORDER BY pos) AS prev FROM g
+  WHERE y IS NOT NULL),
+cut AS (SELECT tr.* FROM tr JOIN n USING (series_id) WHERE pos + 1 < n - {ROLLING_STEPS}),
+fit AS (SELECT series_id, regr_slope(y, prev) AS phi, regr_intercept(y, prev) AS c, max_by(y, pos) AS y FROM cut GROUP BY series_id),
+go AS (SELECT series_id, 1 AS step, c + phi * y AS v, phi, c FROM fit
+  UNION ALL SELECT series_id, step + 1, c + phi * v, phi, c FROM go WHERE step < {ROLLING_STEPS})
+SELECT series_id, CAST(step AS INTEGER) AS step, round(v, 6) AS yhat FROM go"""
     sql["tail_replay"] = f"WITH {replay()} SELECT {GROUP}, step, round(yhat, 4) AS yhat FROM replay"
     sql["forecast_align"] = f"WITH {replay()} SELECT {GROUP}, step, round(yhat, 4) AS yhat FROM aligned"
     sql["forecast_eval"] = f"""WITH {replay()}
+SELECT {GROUP}, n, mape_n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 4) AS mape FROM evals"""
+    sql["scenario_forecast_replay"] = f"""WITH RECURSIVE {replay(sources=('noise', 'timeliness'), smoothed=True)}
 SELECT {GROUP}, n, mape_n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 4) AS mape FROM evals"""
     weights = values([(c, WEIGHTS[c] / TOTAL) for c in COLUMNS], ["g_col", "weight"])
     sql["forecast_eval_weighted"] = f"""WITH {replay()}, g AS (SELECT * FROM {weights})
