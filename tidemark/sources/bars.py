@@ -79,24 +79,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bars_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """Daily bars per return flag.
+    """Daily bars per return flag; rows without a flag or date belong to no bar.
 
-    First and last trade of a day come from ``min_by``/``max_by`` over a full row order, so the day is reduced
-    before the shuffle and no flag, however frequent, is ever sorted as a whole.
+    The first and last trade of a day are the ends of a six-column row order. Comparing whole rows takes a sorting
+    aggregate, so a first pass finds the ends of the leading order key and the other measures with plain hash
+    aggregates, and only the few rows on those keys enter the full comparison. Both passes reduce a day before the
+    shuffle, so a flag that holds most rows costs no more than others. The joined side has one row per flag and
+    calendar day.
     """
-    px, discount = F.col("l_extendedprice"), F.col("l_discount")
+    px = F.col("l_extendedprice")
+    trades = lineitem.withColumns({"series_id": F.col("l_returnflag"), "dt": F.col("l_shipdate").cast("date")})
+    days = trades.groupBy("series_id", "dt").agg(
+        F.min("l_orderkey").alias("_first"), F.max("l_orderkey").alias("_last"), F.max(px).alias("high"),
+        F.min(px).alias("low"), F.sum("l_quantity").alias("volume"),
+    )
+    ends = trades.join(days, ["series_id", "dt"]).filter(F.col("l_orderkey").isin(F.col("_first"), F.col("_last")))
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount")
     last = F.max(order)
-    return (
-        lineitem.groupBy(F.col("l_returnflag").alias("series_id"), F.col("l_shipdate").cast("date").alias("dt"))
-        .agg(
-            F.min(order)["l_extendedprice"].alias("open"),
-            last["l_extendedprice"].alias("close"),
-            (last["l_extendedprice"] * (F.lit(1.0) - last["l_discount"])).alias("adj_close"),
-            F.max(px).alias("high"),
-            F.min(px).alias("low"),
-            F.sum("l_quantity").alias("volume"),
-        )
+    return ends.groupBy("series_id", "dt").agg(
+        F.min(order)["l_extendedprice"].alias("open"),
+        last["l_extendedprice"].alias("close"),
+        (last["l_extendedprice"] * (F.lit(1.0) - last["l_discount"])).alias("adj_close"),
+        *[F.first(c).alias(c) for c in ("high", "low", "volume")],
     )
 
 
