@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import ALL_STRENGTHS, COLUMNS, N_VALID, PARTIAL_STRENGTHS, SCALES, SOURCE_LABELS
+from tidemark.config import COLUMNS, N_VALID, PARTIAL_STRENGTHS, SCALES, SOURCE_LABELS
 from tidemark.functions import scoring
 from tidemark.operators import deviate as D
 from tidemark.operators import evaluate as E
@@ -66,7 +66,6 @@ def rounded(*names: str, digits: int):
 
 def monthly(b: DataFrame) -> DataFrame:
     """Monthly means of the bars, months of a series numbered from 0."""
-    from pyspark.sql import Window
     month = b.groupBy("series_id", F.trunc("dt", "month").alias("month")).agg(*[F.avg(c).alias(c) for c in COLUMNS])
     order = Window.partitionBy("series_id").orderBy("month")
     return month.withColumn("row", (F.row_number().over(order) - 1).cast("bigint"))
