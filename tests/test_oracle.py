@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import normal_form  # noqa: E402
+from tidemark.plans import oracle  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def con(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_query_matches_sql(spark, sf, con, name):
     a = normal_form(entry.queries()[name](spark, sf).toPandas())
     b = normal_form(con.execute(entry.oracle_sql()[name]).df())
