@@ -222,7 +222,7 @@ def _blocks(docs: DataFrame, folds: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def fit(words: DataFrame, ends: float, vocabulary: str, steps: int = 1) -> tuple[np.ndarray, float]:
+def fit(words: DataFrame, ends: float, vocabulary: str, steps: int = 4) -> tuple[np.ndarray, float]:
     """Log weights of the pieces and of the end, from ``words(word, c)`` and the number of training texts.
 
     Every step adds up the expected use of each piece over all words; what reaches the driver is one number per piece.
@@ -249,7 +249,7 @@ def fit(words: DataFrame, ends: float, vocabulary: str, steps: int = 1) -> tuple
     return np.log((use + PRIOR * own.prior) / total), math.log((ends + 1.0) / total)
 
 
-def score(docs: DataFrame, vocabulary: str, folds: int = 5, steps: int = 1) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, folds: int = 5, steps: int = 4) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row of ``docs(doc_id, text)``.
 
     ``base_score`` is the smoothed word unigram of the training rows, ``score`` the lattice; both are log10 probabilities of
