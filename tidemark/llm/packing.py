@@ -25,7 +25,8 @@ from .common import spread
 
 CAPACITY = 2048
 BLOCK = 4096
-CACHE = 300_000
+CACHE = 500_000
+MARKS = (b".", b",", b";", b":", b"!", b"?")
 
 
 class WordIds:
@@ -39,20 +40,45 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.ids: dict[bytes, bytes] = {}
 
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(
+            [w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of new chunks. A chunk of ASCII letters is one word of the tokenizer, so many are encoded in one text and told
+        apart by the pieces that close a word; a mark behind such a chunk is a word of its own."""
+        marked = [w for w in new if w[-1:] in MARKS and w[:-1].isalpha()]
+        other = [w for w in new if not w.isalpha() and not (w[-1:] in MARKS and w[:-1].isalpha())]
+        letters = list(({w for w in new if w.isalpha()} | {w[:-1] for w in marked}).difference(self.ids))
+        groups = [letters[lo:lo + 256] for lo in range(0, len(letters), 256)]
+        for at in range(0, len(groups), 32):
+            part = groups[at:at + 32]
+            for words, e in zip(part, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in part], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cuts = (np.flatnonzero(self.closes[ids]) + 1) * 4
+                flat = ids.tobytes()
+                self.ids.update(zip(words, [flat[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())], strict=True))
+        for at in range(0, len(other), 8192):
+            self.ids.update(zip(other[at:at + 8192], self._plain(other[at:at + 8192])))
+        marks = {m: i for m, i in zip(MARKS, self._plain(list(MARKS)))} if marked else {}
+        for w in marked:
+            self.ids[w] = self.ids[w[:-1]] + marks[w[-1:]]
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").split() for t in texts]
+        # Lower case saves look-ups; special tokens are told by case, so texts that may hold one stay as they are.
+        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         for lo in range(0, len(split), 256):
             some = split[lo:lo + 256]
             new = list(set().union(*some).difference(self.ids))
             if len(self.ids) + len(new) > CACHE:
                 self.ids.clear()
                 new = list(set().union(*some))
-            for at in range(0, len(new), 8192):
-                part = new[at:at + 8192]
-                for word, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    self.ids[word] = np.array(e.ids, "<u4").tobytes()
+            self._learn(new)
             for i, words in enumerate(some, lo):
                 split[i] = b"".join(map(self.ids.__getitem__, words))
         return split
