@@ -12,13 +12,13 @@ that hold them. A frequent word has one row per block, not per occurrence, so no
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ from tidemark.session import materialize
 
 from .common import spread
 
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 16_000_000
 BLOCK_DOCS = 60_000
 CELLS = 1 << 19
 PRIOR = 1000.0
@@ -170,13 +170,14 @@ def pieces(path: str) -> Pieces:
 
 
 def _blocks(docs: DataFrame, folds: int) -> DataFrame:
-    """Blocks of documents: a row per distinct word with its places, and a first row with the documents.
+    """Blocks of documents: a row per distinct word with its places, and one without a word for the documents.
 
-    ``places`` are 16-bit places of documents in the block, one per occurrence; ``c`` counts those in training documents.
+    ``places`` are 16-bit places of documents in the block, one per occurrence; ``c`` counts those in training documents. The
+    row of the documents holds ids, folds and numbers of words, and in ``c`` how many are training documents.
     """
-    schema = "block long, word string, c long, places binary, ids array<long>, held array<boolean>, sizes array<long>"
-    names = ["block", "word", "c", "places", "ids", "held", "sizes"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+    schema = "block long, word string, c long, places binary"
+    names = ["block", "word", "c", "places"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
     def close(block, vocabulary, tokens, ids, held):
         sizes = np.array([len(t) for t in tokens], np.int64)
@@ -191,12 +192,11 @@ def _blocks(docs: DataFrame, folds: int) -> DataFrame:
         cuts = ends.tolist()
         rows = pa.array([flat[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())
         n = len(vocabulary)
-        head = [[block], [None], [0], [None], [ids], [held], [sizes.tolist()]]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(head, kinds)], names)
+        head = pickle.dumps((ids, held, sizes.tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((block, None, len(ids) - sum(held), head), kinds)], names)
         if n:
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, block)), pa.array(list(vocabulary), pa.binary()).cast(pa.string()), pa.array(learned), rows,
-                *[pa.nulls(n, k) for k in kinds[4:]]], names)
+                pa.array(np.full(n, block)), pa.array(list(vocabulary), pa.binary()).cast(pa.string()), pa.array(learned), rows], names)
 
     def run(batches):
         from pyspark import TaskContext
@@ -259,7 +259,7 @@ def score(docs: DataFrame, vocabulary: str, folds: int = 5, steps: int = 4) -> D
     blocks = materialize(_blocks(docs, folds), "lattice-blocks")
     words = materialize(spread(blocks.where("word is not null").groupBy("word").agg(F.sum("c").alias("c"))), "lattice-words")
     known = words.where("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    ends = blocks.where("word is null").agg(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n")).first()["n"] or 0
+    ends = blocks.where("word is null").agg(F.sum("c").alias("n")).first()["n"] or 0
     train, distinct = known["n"] + ends, known["v"] + (ends > 0)
     weights, end_weight = fit(words, float(ends), vocabulary, steps)
     floor = math.log10(train + 0.5 * (distinct + 1))
@@ -271,26 +271,43 @@ def score(docs: DataFrame, vocabulary: str, folds: int = 5, steps: int = 4) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own)], ["word", "c", "score"])
 
     rated = materialize(words.select("word", "c").mapInArrow(rate, "word string, c long, score double"), "lattice-rated")
-    back = blocks.where("word is not null").select("block", "word", "places").join(rated, "word").select(
-        "block", rated["c"], "score", "places", *[F.lit(None).cast(t).alias(n) for n, t in (("ids", "array<long>"), ("held", "array<boolean>"), ("sizes", "array<long>"))])
-    heads = blocks.where("word is null").select("block", F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("score"), "places", "ids", "held", "sizes")
+    back = blocks.where("word is not null").select("block", "word", "places").join(rated, "word").select("block", "c", "score", "places")
+    heads = blocks.where("word is null").select("block", F.lit(-1).cast("long").alias("c"), F.lit(0.0).alias("score"), "places")
     end_base = math.log10(ends + 0.5) - floor
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        is_head = rows.places.isna().to_numpy()
-        head, own = rows[is_head].iloc[0], rows[~is_head]
-        n = len(head.ids)
-        repeats = own.places.map(len).to_numpy(dtype=np.int64) // 2
-        places = np.frombuffer(b"".join(own.places), "<u2")
-        c = own.c.to_numpy(dtype=float)
-        # Sorted by occurrence in the text or not, sums stay equal to within rounding.
-        base = np.bincount(places, np.repeat(np.log10(c + 0.5) - floor, repeats), n)
-        model = np.bincount(places, np.repeat(own.score.to_numpy(dtype=float), repeats), n)
-        seen = np.bincount(places, np.repeat(c > 0, repeats), n).astype(np.int64)
-        return pd.DataFrame({
-            "doc_id": pd.array([None if x is None or x != x else int(x) for x in head.ids], dtype="Int64"), "held_out": np.array(head.held, bool),
-            "n_tokens": np.array(head.sizes, np.int64) + 1, "n_known": seen + (ends > 0), "train_tokens": np.full(n, train, np.int64),
-            "base_score": base + end_base, "score": model + end_weight / math.log(10)})
-
-    return back.unionByName(heads).groupBy("block").applyInPandas(
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def close(counts, scores, parts):
+        c, own, places = np.concatenate(counts), np.concatenate(scores), pa.concat_arrays(parts)
+        ids, held, sizes = pickle.loads(places[int(np.flatnonzero(c < 0)[0])].as_py())
+        words = c >= 0
+        c, own, places = c[words], own[words], places.filter(pa.array(words))
+        ends_at = np.frombuffer(places.buffers()[1], np.int32, len(places) + 1, 4 * places.offset) if len(places) else np.zeros(1, np.int32)
+        at = np.frombuffer(places.buffers()[2], "<u2", (ends_at[-1] - ends_at[0]) // 2, ends_at[0]) if ends_at[-1] else np.zeros(0, "<u2")
+        repeats, n = np.diff(ends_at) // 2, len(ids)
+        base = np.bincount(at, np.repeat(np.log10(c + 0.5) - floor, repeats), n)
+        model = np.bincount(at, np.repeat(own, repeats), n)
+        seen = np.bincount(at, np.repeat(c > 0, repeats), n).astype(np.int64)
+        return pa.RecordBatch.from_arrays([
+            pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.array(sizes, np.int64) + 1), pa.array(seen + int(ends > 0)),
+            pa.array(np.full(n, train, np.int64)), pa.array(base + end_base), pa.array(model + end_weight / math.log(10))], names)
+
+    def gather(batches):
+        """Rows come sorted by block: one block is held at a time, its bytes as they came."""
+        block, held = None, ([], [], [])
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for lo, hi in zip(bounds, bounds[1:]):
+                if keys[lo] != block:
+                    if block is not None:
+                        yield close(*held)
+                    block, held = keys[lo], ([], [], [])
+                part = batch.slice(lo, hi - lo)
+                held[0].append(part.column(1).to_numpy())
+                held[1].append(part.column(2).to_numpy())
+                held[2].append(part.column(3))
+        if block is not None:
+            yield close(*held)
+
+    return spread(back.unionByName(heads), "block").sortWithinPartitions("block").mapInArrow(
         gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
