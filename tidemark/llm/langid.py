@@ -64,16 +64,20 @@ class Parser:
         tables, base, self.starts = [], 0, []
         for _, text in samples:
             moves = automaton(self.codes(text).tolist())
-            own = np.zeros((len(moves), self.width), np.int64)
+            # One more state stands between phrases: whatever comes next begins one.
+            between = len(moves)
+            own = np.zeros((between + 1, self.width), np.int64)
             for s, to in enumerate(moves):
                 own[s, list(to.keys())] = list(to.values())
-            # An entry is twice the next state, plus one where the phrase ends before this character.
-            missed = own == 0
-            own = np.where(missed, own[0], own) + base << 1 | missed
-            own[:, PAD] = np.arange(len(moves)) + base << 1
+            # An entry is twice the next state, plus one where a phrase begins with this character.
+            begins = own == 0
+            begins[between] = True
+            first = np.where(own[0] == 0, between, own[0])
+            own = np.where(begins, first, own) + base << 1 | begins
+            own[:, PAD] = np.arange(between + 1) + base << 1
             tables.append(own)
-            self.starts.append(base)
-            base += len(moves)
+            self.starts.append(base + between)
+            base += between + 1
         self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
         self.bits = np.log2([max(len(text), 2) for _, text in samples])
 
@@ -109,7 +113,7 @@ class Parser:
                 to = self.table[state[:, :n] * np.int32(self.width) + block[t, :n]]
                 found[:, :n] += to & 1
                 state[:, :n] = to >> 1
-            np.add.at(total, owner[lanes], found.T + 1)
+            np.add.at(total, owner[lanes], found.T)
         return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -63,4 +63,36 @@ QUERIES = {q.__name__: q for q in (
     op1_best_fit_packing, op2_language_id, op3_lattice_scores, op4_multi_index, op5_sentence_spans, op6_chat_format,
     op7_decontamination, op8_simhash, op9_url_filter, op10_fuzzy_lines)}
 
-ORACLE: dict[str, str] = {}
+_ESCAPED = r"""regexp_replace(regexp_replace(replace(%s, '\', '\\'), '<(\||s>|/s>|<SYS>>|</SYS>>)', '<\\\1', 'g'), '\[(INST\]|/INST\])', '[\\\1', 'g')"""
+
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+ORACLE: dict[str, str] = {
+    "op6_chat_format": f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m as (select *, coalesce(role = lag(role) over w, false) as same, coalesce(role = lead(role) over w, false) as more from t
+      window w as (partition by conv_id order by turn, role, text)),
+p as (select *, case when same then '<|part|>' else '<|turn|>' || {_ESCAPED % "role"} || '<|text|>' end || {_ESCAPED % "text"}
+      || case when more then '' else '<|end|>' end as piece from m)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(piece)) as bigint) as formatted_chars
+from p group by conv_id""",
+    "op7_decontamination": f"""
+with i as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark where item_id is not null),
+iw as (select item, w, least(len(w), 10) as n, unnest(range(1, len(w) - least(len(w), 10) + 2)) as s from i where len(w) > 0),
+win as (select distinct item, n, array_to_string(w[s:s + n - 1], ' ') as x from iw),
+d as (select doc_id, {_WORDS} as w from documents),
+dw as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from win) where len(w) >= n),
+hit as (select doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') as x from dw),
+met as (select doc_id, s, hit.n as n, item from hit join win on hit.x = win.x and hit.n = win.n),
+pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from met) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from met) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos using (doc_id) left join its using (doc_id)""",
+}

@@ -41,9 +41,10 @@ def _marks(grams: str, span: int) -> Column:
 def _fingerprints(texts: DataFrame, window: int, gram: int, short: list[int]) -> DataFrame:
     """``texts(key, words)`` to ``(key, length, mark)``, window lengths with the hashes kept for them."""
     marked = texts.withColumn("grams", _grams("words", gram))
-    kinds = [F.transform(_marks("grams", window - gram + 1), lambda h: F.struct(F.lit(window).alias("length"), h.alias("mark")))]
-    for n in short:
-        kinds.append(F.transform(F.array_distinct(_grams("words", n)), lambda h, n=n: F.struct(F.lit(n).alias("length"), h.alias("mark"))))
+
+    def labelled(hashes, length):
+        return F.transform(hashes, lambda h: F.struct(F.lit(length).alias("length"), h.alias("mark")))
+    kinds = [labelled(_marks("grams", window - gram + 1), window), *[labelled(F.array_distinct(_grams("words", n)), n) for n in short]]
     return marked.select("key", F.explode(F.concat(*kinds) if len(kinds) > 1 else kinds[0]).alias("f")).select("key", "f.length", "f.mark")
 
 
