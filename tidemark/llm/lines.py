@@ -24,6 +24,7 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 6, 12, 5, 0.8
 LANE, LANES = 256, 1024
 BLOCK = 4096
 CHARS = 1 << 21
+BLANKS = " \t\r\f\v\0"
 
 _draws = np.random.default_rng(11)
 FACTORS = _draws.integers(1, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
@@ -95,7 +96,7 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
 def lines_of(docs: DataFrame) -> DataFrame:
     """``(doc_id, pos, id, line)`` for every line that isn't blank; ``id`` is the hash of the line without outer blanks."""
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("line", F.regexp_replace("line", r"^[\s\x00]+|[\s\x00]+$", "")).where("line <> ''")
+    rows = rows.withColumn("line", F.trim("line", F.lit(BLANKS))).where("line <> ''")
     return rows.select("doc_id", "pos", F.xxhash64("line").alias("id"), "line")
 
 
