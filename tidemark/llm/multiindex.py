@@ -127,14 +127,18 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = 0.6, cells:
             return pd.DataFrame({"query": [], "entry": [], "low": [], "score": []}).astype({"query": "int64", "entry": "int64", "low": "int64", "score": "float64"})
         rows, c2, low, entry = np.stack(listed.vector.to_list()), listed.c2.to_numpy(), listed.low.to_numpy(), listed.entry.to_numpy()
         out = []
-        for query, vector, wanted_c2 in zip(asked["query"], asked.vector, asked.c2):
-            near = np.flatnonzero(np.isin(c2, wanted_c2))
-            scores = (rows[near] * vector).sum(1)
-            if len(near) > k + 1:
-                least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                near, scores = near[scores >= least], scores[scores >= least]
-            best = np.lexsort((low[near], -scores))[: k + 1]
-            out.append(pd.DataFrame({"query": query, "entry": entry[near[best]], "low": low[near[best]], "score": scores[best]}))
+        for lo in range(0, len(asked), 256):
+            part = asked.iloc[lo:lo + 256]
+            rough = np.stack(part.vector.to_list()) @ rows.T
+            for query, vector, wanted_c2, own in zip(part["query"], part.vector, part.c2, rough):
+                near = np.flatnonzero(np.isin(c2, wanted_c2))
+                if len(near) > k + 1:
+                    # Matrix products round differently by shape, so they only select, with room, what is summed exactly below.
+                    least = np.partition(own[near], len(near) - k - 1)[len(near) - k - 1]
+                    near = near[own[near] >= least - 1e-9 * max(1.0, abs(least))]
+                scores = (rows[near] * vector).sum(1)
+                best = np.lexsort((low[near], -scores))[: k + 1]
+                out.append(pd.DataFrame({"query": query, "entry": entry[near[best]], "low": low[near[best]], "score": scores[best]}))
         return pd.concat(out)
 
     found = probes.groupBy("c1", "block").cogroup(lists.groupBy("c1", "block")).applyInPandas(rank, "query long, entry long, low long, score double")
