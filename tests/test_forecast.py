@@ -158,3 +158,37 @@ def test_trees_follow_a_repeating_week(spark):
     fits = forecast_panel(train, "gbt", 7, KEYS, longest=7, trees=20, cut_every=3)
     for r in fits.collect():
         assert r["yhat"] == pytest.approx(y[:7], abs=4)
+
+
+def test_array_methods_count_rows_not_positions(spark):
+    """A hole at any place, a late start and a long series: fitted whole or refused, never cut."""
+    from pyspark.sql import functions as F
+    from tidemark.operators.forecast import arrays
+    rows = [("hole", i, float(i)) for i in range(41) if i != 20] + [("late", 500 + i, float(i)) for i in range(12)]
+    rows += [("spread", 5 * i, float(i)) for i in range(12)]
+    train = spark.createDataFrame(rows, "series_id string, pos int, value double")
+
+    def size_only(given, horizon, shocks):
+        return F.struct(F.array(F.size(given).cast("double")).alias("yhat"), *[F.lit(None).cast("int").alias(c) for c in "pq"],
+                        *[F.lit(None).cast("double").alias(c) for c in ("prepare_ms", "fit_ms", "predict_ms")], F.lit(None).cast("string").alias("error"))
+    got = {r["series_id"]: r for r in arrays.fit_arrays(train, ["series_id"], F.lit(1), size_only, max_rows=20).collect()}
+    assert got["late"]["yhat"] == [12.0] and got["spread"]["yhat"] == [12.0] and "more than 20" in got["hole"]["error"]
+    assert arrays.fit_arrays(train, ["series_id"], F.lit(1), size_only, max_rows=40).filter("series_id = 'hole'").first()["yhat"] == [40.0]
+
+
+def test_replay_takes_its_bound_from_the_horizon(spark):
+    from pyspark.sql import functions as F
+    from tidemark.operators.forecast.replay import tail_replay
+    train = spark.range(2000).selectExpr("'a' as series_id", "cast(id as int) as pos", "double(id) as value")
+    row = tail_replay(train, ["series_id"], F.lit(600)).first()
+    assert row["error"] is None and row["yhat"] == [float(x) for x in range(1400, 2000)]
+
+
+def test_trees_of_a_scenario_ignore_the_others(spark):
+    from pyspark.sql import functions as F
+    from tidemark.operators.forecast.gbt import forecast_gbt
+    rows = [(s, "a", i, float(50 + i % 7 + k * (i * 37 % 11))) for k, s in enumerate(["none", "noise"]) for i in range(60)]
+    train = spark.createDataFrame(rows, "source string, series_id string, pos int, value double").withColumn("dt", F.date_add(F.lit("2020-01-01").cast("date"), F.col("pos")))
+    keys = ["source", "series_id"]
+    both = forecast_gbt(train, keys, F.lit(3), trees=3, depth=2).filter("source = 'none'").first()["yhat"]
+    assert len(both) == 3 and both == forecast_gbt(train.filter("source = 'none'"), keys, F.lit(3), trees=3, depth=2).first()["yhat"]

@@ -14,7 +14,6 @@ RANGES = ["all", "partially"]
 # Column weights, sensitivities and declines.
 WEIGHTS = {"open": 0.2, "close": 0.2, "adj_close": 0.25, "high": 0.15, "low": 0.15, "volume": 0.05}
 ALPHA = {"open": 0.5, "close": 0.5, "adj_close": 0.5, "high": 0.5, "low": 0.5, "volume": 1.0}
-DEFAULT_ALPHA = {c: 0.5 for c in COLUMNS}
 DECLINES = {"open": 0.4, "close": 0.4, "adj_close": 0.5, "high": 1.0, "low": 1.0, "volume": 2.0}
 MEASUREMENT_DAYS = {"slightly": 5, "moderately": 100, "highly": 400}
 DAYS_IN_YEAR = 365.0

@@ -6,7 +6,7 @@ import time
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,13 +73,16 @@ def fit_arrays(train: DataFrame, keys: list[str], horizon, method, shocks=None,
     """Run an array method on every group of ``train`` (``keys, pos, value``).
 
     Fitting costs far more than its bytes suggest, so the groups are spread over all shuffle partitions instead of
-    being merged by size. Of a group longer than ``max_rows`` one row more is read, which is how it is noticed.
+    being merged by size. Of a group longer than ``max_rows`` one row more is read, which is how it is noticed; rows are
+    counted, so holes and late starts don't matter.
     """
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = train.select(*keys, "pos", "value").filter(F.col("pos") <= max_rows).repartition(parts, *keys)
+    oldest = Window.partitionBy(*keys).orderBy("pos")
+    numbered = train.select(*keys, "pos", "value").withColumn("_rank", F.row_number().over(oldest))
+    spread = numbered.filter(F.col("_rank") <= max_rows + 1).drop("_rank").repartition(parts, *keys)
     grouped = spread.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_rows"))
     last = F.element_at("_rows", -1)["pos"]
-    too_long = last >= max_rows
+    too_long = F.size("_rows") > max_rows
     given = F.when(~too_long, F.transform("_rows", lambda s: s["value"])).otherwise(F.array().cast("array<double>"))
     z = F.array(F.lit(0.0)) if shocks is None else shocks
     fitted = grouped.withColumn("fit", method(given, horizon, z))

@@ -1,4 +1,4 @@
-"""Boosted trees on lag features: one model over all series, recursive multi-step forecasts.
+"""Boosted trees on lag features: one model over all series of a scenario, recursive multi-step forecasts.
 
 Fitting is Spark ML on the distributed feature table. Forecasting keeps one row per series with its last fourteen
 values; each step predicts the next value of every series and pushes it into that state.
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import ROLLING_WIDTH, TREE_LAGS, lag_features
+from tidemark.operators.forecast.replay import longest_horizon
 from tidemark.operators.panel import renumber
 from tidemark.session import materialize
 
@@ -26,6 +27,9 @@ DEPTH = 6
 STEP = 0.3
 TREE_SEED = 0
 
+# Keys that tell training sets apart: what one of their values holds must not train the model of another.
+MODEL_KEYS = ["source", "range", "scale", "improve", "shift"]
+
 
 def training_features(train: DataFrame, keys: list[str]) -> DataFrame:
     """Feature rows of every training position that has its full look-back."""
@@ -56,11 +60,33 @@ def state_features(states: DataFrame, step: int) -> DataFrame:
     })
 
 
-def forecast_gbt(train: DataFrame, keys: list[str], horizon, longest: int, trees: int = TREES, depth: int = DEPTH,
-                 cut_every: int = 15) -> DataFrame:
-    """Forecast ``longest`` steps for all series, cut to the ``horizon`` of each.
+def forecast_gbt(train: DataFrame, keys: list[str], horizon, longest: int | None = None, **params) -> DataFrame:
+    """Forecast as many steps as the ``horizon`` of each series.
 
-    ``train`` carries ``dt``. The step loop runs over the forecast horizon, not over data; the plan of the state
+    ``train`` carries ``dt``. Every combination of the keys in `MODEL_KEYS` has a model of its own, so neither damaged or
+    repaired copies nor later windows train the model of another one. The loop is bounded by the scenario grid and the
+    shifts, not by data. ``longest``, the largest horizon, is read from ``horizon`` if not given.
+    """
+    by = [k for k in MODEL_KEYS if k in keys]
+    if longest is None:
+        longest = longest_horizon(train, horizon)
+    if not by:
+        return _one_model(train, keys, horizon, longest, **params)
+    done = None
+    for row in train.select(*by).distinct().orderBy(*by).toLocalIterator():
+        own = train
+        for k in by:
+            own = own.filter(F.col(k).eqNullSafe(F.lit(row[k])))
+        fits = _one_model(own, keys, horizon, longest, **params)
+        done = fits if done is None else done.unionByName(fits)
+    return _one_model(train, keys, horizon, longest, **params) if done is None else done
+
+
+def _one_model(train: DataFrame, keys: list[str], horizon, longest: int, trees: int = TREES, depth: int = DEPTH,
+               cut_every: int = 15) -> DataFrame:
+    """Forecast ``longest`` steps for all series with one model, cut to the ``horizon`` of each.
+
+    The step loop runs over the forecast horizon, not over data; the plan of the state
     table is cut every ``cut_every`` steps by writing it to the shared checkpoint folder.
     """
     began = time.perf_counter_ns()

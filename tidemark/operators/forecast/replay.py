@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def tail_replay(train: DataFrame, keys: list[str], horizon, longest: int = 512) -> DataFrame:
+def longest_horizon(train: DataFrame, horizon) -> int:
+    """Largest value of the column ``horizon`` over ``train``; 0 without rows."""
+    return train.agg(F.max(horizon).alias("h")).first()["h"] or 0
+
+
+def tail_replay(train: DataFrame, keys: list[str], horizon, longest: int | None = None) -> DataFrame:
     """Step i repeats training value ``n - h + i`` of the ``h = horizon`` last ones.
 
-    ``longest`` bounds the horizon of all groups, so only that many rows per group pass the shuffle.
+    Only as many rows per group as the ``longest`` horizon pass the shuffle; it is read from ``horizon`` if not given.
     """
+    if longest is None:
+        longest = longest_horizon(train, horizon)
     last_first = Window.partitionBy(*keys).orderBy(F.col("pos").desc())
     ranked = train.select(*keys, "pos", "value").withColumn("_rank", F.row_number().over(last_first))
     tail = ranked.filter(F.col("_rank") <= longest).withColumn("_h", horizon).filter(F.col("_rank") <= F.col("_h"))

@@ -84,8 +84,11 @@ def common_labels(names: DataFrame, parts: list[str], column: str = "file_name")
     pieces = F.split(F.regexp_replace(F.col(column), r"\.csv$", ""), "_")
     shared = names.agg(*[F.min(F.get(pieces, F.lit(i))).alias(f"_lo{i}") for i in range(len(parts))],
                        *[F.max(F.get(pieces, F.lit(i))).alias(f"_hi{i}") for i in range(len(parts))],
+                       *[F.count(F.get(pieces, F.lit(i))).alias(f"_n{i}") for i in range(len(parts))],
                        F.count(F.lit(1)).alias("files"))
-    same = {p: F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")) for i, p in enumerate(parts)}
+    # A part that some name lacks is not shared, whatever the others hold there.
+    same = {p: F.when((F.col(f"_lo{i}") == F.col(f"_hi{i}")) & (F.col(f"_n{i}") == F.col("files")), F.col(f"_lo{i}"))
+            for i, p in enumerate(parts)}
     named = shared.select("files", *[v.alias(p) for p, v in same.items()])
     return named.withColumn("name", F.concat_ws("_", F.lit("average"), *[F.col(p) for p in parts]))
 
