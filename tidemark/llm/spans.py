@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans: runs of consecutive sentences are hashed and joined globally.
 
-A span starts at every sentence and takes three sentences, or more until it has twenty words. Of each span that occurs more
+A span starts at every sentence and takes two sentences, or more until it has twenty words. Of each span that occurs more
 than once the first occurrence, by document id and place, stays; all sentences of the other occurrences are removed.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-SENTENCES, WORDS = 3, 20
+SENTENCES, WORDS = 2, 20
 #: A sentence ends after its marks and white space, or at the end of a line.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)\s*|[.!?]+|\n\s*|$)")
 
