@@ -23,12 +23,12 @@ from .components import components
 SHINGLE, BANDS, ROWS, SIMILARITY = 6, 12, 5, 0.8
 LANE, LANES = 256, 1024
 BLOCK = 4096
+FEW, FEW_CHARS = 8, 10_000
 CHARS = 1 << 21
 BLANKS = " \t\r\f\v\0"
 
 _draws = np.random.default_rng(11)
 FACTORS = _draws.integers(1, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
-MASKS = _draws.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,8 +75,7 @@ def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
         for t in range(longest):
             n = active[t]
             own = room[:, :n]
-            np.bitwise_xor(block[t, :n], MASKS, out=own)
-            np.multiply(own, FACTORS, out=own)
+            np.multiply(block[t, :n], FACTORS, out=own)
             np.minimum(low[:, :n], own, out=low[:, :n])
         lows[lanes] = low.T
     return np.minimum.reduceat(lows, np.cumsum(pieces) - pieces, axis=0) if len(lines) else lows
@@ -141,8 +140,27 @@ def _with_company(rows: DataFrame) -> DataFrame:
     return spread(rows, "key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long")
 
 
+def _few_links(ids: list[int], lines: list[str], least: float) -> list[tuple[int, int]]:
+    """``similar_links`` by sets of strings, which a few short lines need no arrays for."""
+    padded = [x.lower().ljust(SHINGLE, "\0") for x in lines]
+    sets = [{x[i:i + SHINGLE] for i in range(len(x) - SHINGLE + 1)} for x in padded]
+    links, waiting = [], list(range(len(sets)))
+    while len(waiting) > 1:
+        front = [waiting.pop(0)]
+        while front and waiting:
+            at = front.pop()
+            common = [len(sets[at] & sets[x]) for x in waiting]
+            near = [x for x, c in zip(waiting, common) if c >= least * (len(sets[at]) + len(sets[x]) - c) - 1e-9]
+            links += [(ids[at], ids[x]) for x in near]
+            front += near
+            waiting = [x for x in waiting if x not in near]
+    return links
+
+
 def similar_links(ids: list[int], lines: list[str], least: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links that connect what exact Jaccard similarity connects: a line that reaches others leaves only the rest to compare."""
+    if len(lines) <= FEW and sum(map(len, lines)) <= FEW_CHARS:
+        return _few_links(ids, lines, least)
     hashes, counts = shingles(lines)
     owner = np.repeat(np.arange(len(lines)), counts)
     # Ranks of distinct shingles, each once per line.
