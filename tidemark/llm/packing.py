@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import zlib
 from functools import lru_cache
 
@@ -26,7 +27,8 @@ from .common import spread
 CAPACITY = 2048
 BLOCK = 4096
 CACHE = 500_000
-MARKS = (b".", b",", b";", b":", b"!", b"?")
+#: Latin letters that no normalisation takes apart, and marks behind them.
+WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?$%&*#]*)")
 
 
 class WordIds:
@@ -50,11 +52,19 @@ class WordIds:
             [w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> None:
-        """Ids of new chunks. A chunk of ASCII letters is one word of the tokenizer, so many are encoded in one text and told
-        apart by the pieces that close a word; a mark behind such a chunk is a word of its own."""
-        marked = [w for w in new if w[-1:] in MARKS and w[:-1].isalpha()]
-        other = [w for w in new if not w.isalpha() and not (w[-1:] in MARKS and w[:-1].isalpha())]
-        letters = list(({w for w in new if w.isalpha()} | {w[:-1] for w in marked}).difference(self.ids))
+        """Ids of new chunks. A chunk of Latin letters is one word of the tokenizer, so many are encoded in one text and told
+        apart by the pieces that close a word; marks behind such a chunk are a word of their own."""
+        words, tailed, other = set(), [], []
+        for w in new:
+            m = WORD.fullmatch(w)
+            if m is None:
+                other.append(w)
+            elif m.end(1) == len(w):
+                words.add(w)
+            else:
+                tailed.append((w, w[:m.end(1)], w[m.end(1):]))
+        letters = list(words.union(stem for _, stem, _ in tailed).difference(self.ids))
+        other += {tail for _, _, tail in tailed}.difference(self.ids, other)
         groups = [letters[lo:lo + 256] for lo in range(0, len(letters), 256)]
         for at in range(0, len(groups), 32):
             part = groups[at:at + 32]
@@ -65,9 +75,8 @@ class WordIds:
                 self.ids.update(zip(words, [flat[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())], strict=True))
         for at in range(0, len(other), 8192):
             self.ids.update(zip(other[at:at + 8192], self._plain(other[at:at + 8192])))
-        marks = {m: i for m, i in zip(MARKS, self._plain(list(MARKS)))} if marked else {}
-        for w in marked:
-            self.ids[w] = self.ids[w[:-1]] + marks[w[-1:]]
+        for w, stem, tail in tailed:
+            self.ids[w] = self.ids[stem] + self.ids[tail]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         # Lower case saves look-ups; special tokens are told by case, so texts that may hold one stay as they are.
