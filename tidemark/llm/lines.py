@@ -21,14 +21,15 @@ from .common import spread
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 6, 12, 5, 0.8
-LANE, LANES = 256, 1024
+LANE, LANES = 128, 8192
 BLOCK = 4096
 FEW, FEW_CHARS = 8, 10_000
-CHARS = 1 << 21
+CHARS = 1 << 20
 BLANKS = " \t\r\f\v\0"
 
 _draws = np.random.default_rng(11)
 FACTORS = _draws.integers(1, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+FACTOR = 0x9E3779B97F4A7C15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -43,9 +44,16 @@ def shingles(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     if not len(codes):
         return np.zeros(0, np.uint64), lengths
-    hashes = np.zeros(len(codes) - size + 1, np.uint64)
-    for j in range(size):
-        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[j:len(codes) - size + 1 + j]
+    # Polynomial hashes of ``width`` characters, doubled along the binary digits of ``size``.
+    hashes, width = codes, 1
+    for digit in f"{size:b}"[1:]:
+        hashes, tail = hashes[:-width] * np.uint64(pow(FACTOR, width, 1 << 64)), hashes[width:]
+        hashes += tail
+        width *= 2
+        if digit == "1":
+            hashes = hashes[:-1] * np.uint64(FACTOR)
+            hashes += codes[width:]
+            width += 1
     ends = np.cumsum(lengths)
     kept = np.ones(len(hashes), bool)
     for j in range(1, size):
@@ -68,7 +76,7 @@ def signatures(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     for lo in range(0, len(order), LANES):
         lanes = order[lo:lo + LANES]
         longest = int(sizes[lanes[0]])
-        block = np.ascontiguousarray(flat[at[lanes, None] + np.arange(longest)].T)
+        block = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, longest)[at[lanes]].T)
         active = np.searchsorted(-sizes[lanes], -np.arange(longest), side="left")
         low = np.full((len(FACTORS), len(lanes)), 0xFFFFFFFF, np.uint32)
         room = np.empty_like(low)
@@ -87,7 +95,7 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
     for b in range(BANDS):
         key = np.full(len(signed), b + 1, np.uint64)
         for r in range(ROWS):
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + signed[:, b * ROWS + r].astype(np.uint64))
+            key = mixed(key * np.uint64(FACTOR) + signed[:, b * ROWS + r].astype(np.uint64))
         keys[:, b] = key
     return keys.view(np.int64)
 
