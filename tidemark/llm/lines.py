@@ -232,16 +232,17 @@ def _verified(groups: DataFrame, texts: DataFrame, least: float, block: int) ->
 def line_groups(lines: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``(node, root)`` for the ids of ``lines(id, line)`` that are similar to a different line."""
     crowded = materialize(_with_company(_banded(lines)), "lines-crowded")
-    texts = lines.join(crowded.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-    texts = materialize(texts, "lines-texts")
+    texts = materialize(lines.select("id", "line").join(crowded.select("id").distinct(), "id", "left_semi").distinct(), "lines-texts")
     lows = crowded.groupBy("key").agg(F.min("id").alias("low"))
     nearest = crowded.join(lows, "key").groupBy("id").agg(F.min("low").alias("gid"))
     clusters = nearest.select("gid", "id").unionByName(nearest.select("gid", F.col("gid").alias("id"))).distinct()
     first = materialize(_verified(clusters, texts, least, block), "lines-links")
     settled = materialize(components(first, "lines-first"), "lines-settled")
     rooted = crowded.join(settled, crowded["id"] == settled["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = crowded.join(open_keys, "key", "left_semi").select(F.col("key").alias("gid"), "id")
+    # Keys of the same lines get the same group, which is verified once.
+    same = F.xxhash64(F.bit_xor(F.xxhash64("id")), F.min("id"), F.max("id"), F.count("*")).alias("gid")
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), same).where("lo < hi").select("key", "gid")
+    rest = crowded.join(open_keys, "key").select("gid", "id").distinct()
     second = _verified(rest, texts, least, block)
     return components(settled.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second), "lines")
 
