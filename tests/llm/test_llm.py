@@ -119,6 +119,17 @@ def test_language_id_held_out_and_edges(spark, sf):
     assert set(frame(langid.identify(odd, ())).lang_pred) == {"und"} and langid.identify(odd.limit(0), (("a", "b"),)).count() == 0
 
 
+def test_language_id_of_large_alphabets():
+    rng = np.random.default_rng(12)
+    letters = {"zh": range(0x4E00, 0x5200), "ja": range(0x4E00, 0x5200), "k1": range(0xAC00, 0xAE00), "k2": range(0xAC00, 0xAE00), "th": range(0x0E01, 0x0E2F), "ka": range(0x10D0, 0x10F0)}
+    words = {lang: ["".join(map(chr, rng.choice(list(own), 3))) for _ in range(60)] for lang, own in letters.items()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    model = langid.Parser((("en", "the thing and of"), *((lang, text(lang, 400)) for lang in sorted(words))))
+    assert model.width > 256
+    for lang in words:
+        assert set(model.predict([text(lang, 30) for _ in range(10)])[0]) == {lang}
+
+
 def test_lattice_scores_match_brute_force(spark, corpus):
     docs, rows = corpus
     path = public_tokenizers.path("piece_bpe_32k.model")

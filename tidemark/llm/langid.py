@@ -1,8 +1,9 @@
 """Language identification by cross-parsing entropy (Ziv and Merhav 1993) with suffix automata of labelled text.
 
 Per language a suffix automaton is built over a bounded sample of labelled text. A text is parsed from left to right into the
-longest phrases that occur in that sample; the language that needs fewest phrases, normalised by length, wins. The automata are
-dense tables, so one vector step advances many text segments in all languages at once.
+longest phrases that occur in that sample; the language that needs fewest phrases, normalised by length, wins. Every letter of
+the samples has a code of its own. The transitions of all automata share one array: a state is placed where its letters find free
+slots, and a slot names its state, so one vector step advances many text segments in all languages at once.
 """
 
 from __future__ import annotations
@@ -49,36 +50,45 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def placed(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of sparse rows in one array: the transition of row ``s`` by ``c`` is at ``shift[s] + c`` if that slot's owner is ``s``."""
+    size = 3 * sum(map(len, rows)) + width
+    owner, to, shift = [-1] * (size + width), [0] * (size + width), np.zeros(len(rows), np.int64)
+    at = 0
+    for s in sorted(range(len(rows)), key=lambda s: -len(rows[s])):
+        codes = list(rows[s])
+        while any(owner[at + c] >= 0 for c in codes):
+            at = (at + 1) % size
+        shift[s] = at
+        for c in codes:
+            owner[at + c], to[at + c] = s, rows[s][c]
+        at = (at + 7919) % size
+    return shift, np.array(owner, np.int32), np.array(to, np.int32)
+
+
 class Parser:
     """Phrase counts of texts against the samples of all languages."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
         letters = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})
-        self.code_of = np.full(0x110000, BREAK, np.uint8)
+        self.width = len(letters) + 3
+        self.code_of = np.full(0x110000, BREAK, np.min_scalar_type(self.width))
         strange = np.fromiter((i for i in range(0x110000) if chr(i).isalpha()), np.int64)
         self.code_of[strange] = STRANGE
-        for i, c in enumerate(letters[:250]):
+        for i, c in enumerate(letters):
             self.code_of[[ord(x) for x in {c, c.upper()} if len(x) == 1]] = i + 3
-        self.width = min(len(letters), 250) + 3
-        tables, base, self.starts = [], 0, []
-        for _, text in samples:
-            moves = automaton(self.codes(text).tolist())
-            # One more state stands between phrases: whatever comes next begins one.
-            between = len(moves)
-            own = np.zeros((between + 1, self.width), np.int64)
-            for s, to in enumerate(moves):
-                own[s, list(to.keys())] = list(to.values())
-            # An entry is twice the next state, plus one where a phrase begins with this character.
-            begins = own == 0
-            begins[between] = True
-            first = np.where(own[0] == 0, between, own[0])
-            own = np.where(begins, first, own) + base << 1 | begins
-            own[:, PAD] = np.arange(between + 1) + base << 1
-            tables.append(own)
-            self.starts.append(base + between)
-            base += between + 1
-        self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
+        rows, self.starts = [], []
+        self.first = np.zeros((len(samples), self.width), np.int32)
+        for own, (_, text) in zip(self.first, samples):
+            base, moves = len(rows), automaton(self.codes(text).tolist())
+            rows += [{c: base + to for c, to in m.items()} for m in moves]
+            # One more state, without transitions, stands between phrases: whatever comes next begins one.
+            self.starts.append(len(rows))
+            own[:] = len(rows)
+            own[list(rows[base])] = list(rows[base].values())
+            rows.append({})
+        self.shift, self.owner, self.to = placed(rows, self.width)
         self.bits = np.log2([max(len(text), 2) for _, text in samples])
 
     def codes(self, text: str) -> np.ndarray:
@@ -94,7 +104,7 @@ class Parser:
         total = np.zeros((len(codes), len(self.langs)), np.int64)
         if not len(owner):
             return total
-        flat = np.concatenate([*codes, np.zeros(SEGMENT, np.uint8)])
+        flat = np.concatenate([*codes, np.zeros(SEGMENT, self.code_of.dtype)])
         text_at = np.concatenate([[0], np.cumsum([len(c) for c in codes])[:-1]]) if len(codes) else np.zeros(0)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = text_at[owner] + within * SEGMENT
@@ -110,9 +120,11 @@ class Parser:
             found = np.zeros(state.shape, np.int32)
             for t in range(longest):
                 n = active[t]
-                to = self.table[state[:, :n] * np.int32(self.width) + block[t, :n]]
-                found[:, :n] += to & 1
-                state[:, :n] = to >> 1
+                own, code = state[:, :n], block[t, :n]
+                slot = self.shift[own] + code
+                goes = self.owner[slot] == own
+                found[:, :n] += ~goes
+                state[:, :n] = np.where(goes, self.to[slot], self.first[:, code])
             np.add.at(total, owner[lanes], found.T)
         return total
 
