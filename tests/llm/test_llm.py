@@ -173,6 +173,17 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert got[got.query_id == 100].sort_values("rank").vec_id.tolist()[:4] == [7, 101, 102, 103]
 
 
+@pytest.mark.parametrize("sigma", [0.5, 1.0])
+def test_nearest_recall_of_different_norms(spark, sigma):
+    given = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet").embedding
+    data = np.stack(given.to_list()).astype(float) * np.random.default_rng(14).lognormal(0, sigma, len(given))[:, None]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(data.tolist())], "vec_id long, embedding array<double>")
+    hits, found = 0, frame(multiindex.search(table, queries.F.col("vec_id") % 20 == 0)).groupby("query_id")
+    for q, own in found:
+        hits += len(set([x for x in np.argsort(-(data @ data[q])) if x != q][:20]) & set(own.vec_id))
+    assert len(data) >= 2000 and hits / (len(found) * 20) >= 0.9
+
+
 def test_sentence_spans(spark):
     shared = "First of all the passage has many words in it. Then it goes on with a second sentence here. At last a third sentence ends it all."
     rows = [(1, f"Own start here. {shared} Own end of one."), (2, f"Other start now. {shared}\nOther end."), (3, shared), (4, "Clean. Text."), (None, None), (5, ""), (3, shared)]

@@ -2,7 +2,9 @@
 
 Both halves of the vectors are quantised separately; a cell is a pair of centroids. A query walks the pairs in order of the
 summed distance of its halves with a heap until the cells hold the wanted share of the entries, and their entries are
-ranked by the exact product. Equal vectors are one entry with its smallest ids, which is all that a result can need of them.
+ranked by the exact product. Cells are ordered by distance, so before quantising the inner product is made one: each entry gets
+``sqrt(M^2 - |x|^2)`` as one more component, ``M`` the largest norm of all entries, and a query gets 0. Then the squared distance is
+``|q|^2 + M^2 - 2qx``, and long vectors are near, as they should be. Equal vectors are one entry with its smallest ids, which is all that a result can need of them.
 """
 
 from __future__ import annotations
@@ -39,6 +41,12 @@ def nearest(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
     return ((own ** 2).sum(1)[None] - 2 * rows @ own.T).argmin(1)
 
 
+def extended(rows: np.ndarray, scale: float, most: float) -> np.ndarray:
+    """Entries divided by ``scale``, with the component that gives all of them the squared norm ``most``."""
+    rows = rows / scale
+    return np.hstack([rows, np.sqrt(np.maximum(most - (rows ** 2).sum(1), 0))[:, None]])
+
+
 def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: float) -> list[tuple[int, int]]:
     """Pairs in order of ``first[i] + second[j]`` until their cells hold ``wanted`` entries (multi-sequence algorithm)."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
@@ -84,17 +92,19 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = 0.6, cells:
     n = entries.count()
     if not n:
         return valid.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = np.array([r["vector"] for r in entries.orderBy(F.xxhash64("entry"), "entry").select("vector").head(SAMPLE)], np.float64)
-    half = max(1, sample.shape[1] // 2)
+    # Components are scaled to 1 at most, so no square of a finite one overflows.
+    scale = float(entries.agg(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x).cast("double"))))).first()[0])
+    square = F.aggregate("vector", F.lit(0.0), lambda held, x: held + (x.cast("double") / scale) * (x.cast("double") / scale))
+    most = float(entries.agg(F.max(square)).first()[0])
+    sample = extended(np.array([r["vector"] for r in entries.orderBy(F.xxhash64("entry"), "entry").select("vector").head(SAMPLE)], np.float64), scale, most)
+    width = sample.shape[1] - 1
+    half = max(1, width // 2)
     size = min(len(sample), cells or int(np.clip(round(math.sqrt(n) / 1.6), 4, 256)))
-    books = [centroids(part, size) for part in (sample[:, :half], sample[:, half:]) if part.shape[1]]
-    if len(books) == 1:
-        books.append(np.zeros((1, 0)))
-    first, second = books
+    first, second = (centroids(part, size) for part in (sample[:, :half], sample[:, half:]))
 
     def locate(batches):
         for pdf in batches:
-            rows = np.stack(pdf.vector.to_list()).astype(np.float64) if len(pdf) else np.zeros((0, sample.shape[1]))
+            rows = extended(np.stack(pdf.vector.to_list()).astype(np.float64) if len(pdf) else np.zeros((0, width)), scale, most)
             yield pd.DataFrame({"entry": pdf.entry, "c1": nearest(rows[:, :half], first), "c2": nearest(rows[:, half:], second), "vector": pdf.vector, "low": pdf.low})
 
     placed = materialize(entries.select("entry", "vector", F.col("ids")[0].alias("low")).mapInPandas(
@@ -109,7 +119,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = 0.6, cells:
         for pdf in batches:
             out = []
             for entry, vector in zip(pdf.entry, pdf.vector):
-                q = np.asarray(vector, np.float64)
+                q = np.append(np.asarray(vector, np.float64) / scale, 0.0)
                 d1, d2 = ((first - q[:half]) ** 2).sum(1), ((second - q[half:]) ** 2).sum(1)
                 lists: dict[int, list[int]] = {}
                 for i, j in walk(d1, d2, counts, wanted):
