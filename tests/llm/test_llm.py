@@ -311,6 +311,19 @@ def test_fuzzy_lines_match_brute_force(spark, block):
     assert got[50]["text"] is None and got[51]["text"] == "" and got[51]["n_removed"] == 0
 
 
+@pytest.mark.parametrize("cut, end", [(lines.drop_similar_lines, "\n"), (spans.drop_repeats, "\n")])
+def test_texts_without_an_id_or_with_the_same_are_cut_each_by_itself(spark, cut, end):
+    rng = np.random.default_rng(15)
+    shared, own = prose(rng, 25) + end + prose(rng, 25), [prose(rng, 25) + end + prose(rng, 25) for _ in range(6)]
+    rows = [(1, own[0] + end + shared), (2, own[1] + end + shared), (2, own[2] + end + own[3]), (None, own[4] + end + shared), (None, own[5] + end + own[5][::-1])]
+    got = sorted(r["text"].strip() for r in cut(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # A missing id comes first, so that row keeps what is shared; nothing else goes.
+    assert got == sorted([own[0], own[1], rows[2][1], rows[3][1], rows[4][1]])
+    rows = [(None, own[0] + end + shared), (None, own[1] + end + shared), (7, own[2] + end + shared), (7, own[3] + end + shared)]
+    got = [r["text"].strip() for r in cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(shared in t for t in got) == 1 and all(sum(o in t for t in got) == 1 for o in own[:4])
+
+
 def test_pipeline_stages(spark, sf, corpus):
     docs, rows = corpus
     benchmark = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]

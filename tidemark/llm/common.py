@@ -25,3 +25,8 @@ def held_out(doc_id: Column, folds: int) -> Column:
 def spread(df: DataFrame, *keys) -> DataFrame:
     """Deal rows to the configured number of shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def row_key() -> Column:
+    """Hash of id and text: repeated rows share it; rows without an id, or with the same id, and different texts don't."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), F.col("text").cast("string"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-from .common import spread
+from .common import row_key, spread
 from .components import components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 6, 12, 5, 0.8
@@ -101,10 +101,10 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos, id, line)`` for every line that isn't blank; ``id`` is the hash of the line without outer blanks."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    """``(doc_id, row, pos, id, line)`` for every line that isn't blank; ``id`` is the hash of the line without outer blanks."""
+    rows = docs.select("doc_id", row_key().alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     rows = rows.withColumn("line", F.trim("line", F.lit(BLANKS))).where("line <> ''")
-    return rows.select("doc_id", "pos", F.xxhash64("line").alias("id"), "line")
+    return rows.select("doc_id", "row", "pos", F.xxhash64("line").alias("id"), "line")
 
 
 def _banded(lines: DataFrame) -> DataFrame:
@@ -248,17 +248,17 @@ def line_groups(lines: DataFrame, least: float = SIMILARITY, block: int = BLOCK)
 
 
 def removals(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """``(key, gone, kept_in)`` per document id that loses lines: their places, and the documents that keep the like."""
+    """``(key, gone, kept_in)`` per row key that loses lines: their places, and the documents that keep the like."""
     lines = lines_of(docs)
-    places = materialize(lines.select("doc_id", "pos", "id"), "lines-places")
+    places = materialize(lines.select("doc_id", "row", "pos", "id"), "lines-places")
     groups = materialize(line_groups(lines, least, block), "lines-groups")
-    each = places.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("lo"), F.max(F.struct("doc_id", "pos")).alias("hi"))
+    each = places.groupBy("id").agg(F.min(F.struct("doc_id", "row", "pos")).alias("lo"), F.max(F.struct("doc_id", "row", "pos")).alias("hi"))
     rooted = each.join(groups, each["id"] == groups["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "lo", "hi")
     first = rooted.groupBy("root").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where(
         ~F.col("first").eqNullSafe(F.col("last"))).select("root", "first")
     affected = materialize(rooted.join(first, "root").select("id", "first"), "lines-first-places")
-    gone = places.join(affected, "id").where(~F.col("first").eqNullSafe(F.struct("doc_id", "pos")))
-    return materialize(gone.groupBy(F.col("doc_id").alias("key")).agg(
+    gone = places.join(affected, "id").where(~F.col("first").eqNullSafe(F.struct("doc_id", "row", "pos")))
+    return materialize(gone.groupBy(F.col("row").alias("key")).agg(
         F.collect_set("pos").alias("gone"), F.array_sort(F.collect_set("first.doc_id")).alias("kept_in")), "lines-gone")
 
 
@@ -274,12 +274,13 @@ def drop_similar_lines(docs: DataFrame, least: float = SIMILARITY, block: int =
 
     Lines are compared without outer blanks, similarity ignores case; blank lines always stay. The line kept of a component is
     the first by document id and place; ``kept_in`` lists the documents that keep what this one loses. Lines of fewer than six
-    characters match equal ones only. A missing text stays missing, a text that loses all is empty. Rows that share an id are
-    one document: repeated rows keep or lose the same places. No rows give no rows; columns of the added names are replaced.
+    characters match equal ones only. A missing text stays missing, a text that loses all is empty. Rows are
+    told apart by id and text: repeated rows keep or lose the same places, texts that share an id, or have none, are cut each by
+    itself, the first being the one with the smallest hash. No rows give no rows; columns of the added names are replaced.
     """
     kept = docs.drop("n_lines", "n_removed", "kept_in")
     gone = removals(kept, least, block)
-    joined = kept.join(gone, kept["doc_id"].eqNullSafe(gone["key"]), "left")
+    joined = kept.withColumn("key", row_key()).join(gone, "key", "left")
     names = [without(F.col("text"), F.col("gone")).alias("text") if n == "text" else F.col(f"`{n}`") for n in kept.columns]
     return joined.select(
         *names, F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
+from .common import row_key
+
 SENTENCES, WORDS = 2, 20
 #: A sentence ends after its marks and white space, or at the end of a line.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)\s*|[.!?]+|\n\s*|$)")
@@ -53,11 +55,11 @@ def spans_of(text: str, least: int, words: int) -> tuple[list[int], list[int], l
 
 
 def spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """``(doc_id, span, start, length)`` for each span of ``docs(doc_id, text)``."""
+    """``(doc_id, row, span, start, length)`` for each span of ``docs(doc_id, text)``; ``row`` is the row key."""
     def run(batches):
         for batch in batches:
             ids, counts, found = [], [], ([], [], [])
-            for k, text in enumerate(batch.column(1)):
+            for k, text in enumerate(batch.column(2)):
                 own = spans_of(text.as_py() or "", least, words)
                 ids.append(k)
                 counts.append(len(own[0]))
@@ -65,29 +67,29 @@ def spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFr
                     all_ += new
             rows = pa.array(np.repeat(ids, counts), pa.int64())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(rows), pa.array(np.array(found[0], np.uint64).view(np.int64)), pa.array(found[1], pa.int32()),
-                pa.array(found[2], pa.int32())], ["doc_id", "span", "start", "length"])
+                batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.array(found[0], np.uint64).view(np.int64)), pa.array(found[1], pa.int32()),
+                pa.array(found[2], pa.int32())], ["doc_id", "row", "span", "start", "length"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, span long, start int, length int")
+    return docs.select("doc_id", row_key().alias("row"), F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, row long, span long, start int, length int")
 
 
 def drop_repeats(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """``docs`` with ``text`` freed of repeated spans, and ``n_sentences``, ``n_removed`` and ``first_docs``.
 
     ``first_docs`` lists the documents (at most all it shares spans with) that keep the removed text. A missing text stays
-    missing, a text with nothing left is empty. Rows that share an id are one document: repeated rows keep or lose the same
-    sentences. No rows give no rows; columns of the added names are replaced.
+    missing, a text with nothing left is empty. Rows are told apart by id and text: repeated rows keep or lose the
+    same sentences, texts that share an id, or have none, are cut each by itself. No rows give no rows; columns of the added names are replaced.
     """
     kept = docs.drop("n_sentences", "n_removed", "first_docs")
     found = materialize(spans(kept, least, words), "spans")
     # The aggregate combines before the shuffle, and the join splits a span that holds many rows.
-    first = found.groupBy("span").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
+    first = found.groupBy("span").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.max(F.struct("doc_id", "row", "start")).alias("last"))
     first = first.where(~F.col("first").eqNullSafe(F.col("last"))).select("span", "first")
-    later = found.join(first, "span").where(~F.col("first").eqNullSafe(F.struct("doc_id", "start")))
-    gone = materialize(later.groupBy(F.col("doc_id").alias("key")).agg(
+    later = found.join(first, "span").where(~F.col("first").eqNullSafe(F.struct("doc_id", "row", "start")))
+    gone = materialize(later.groupBy(F.col("row").alias("key")).agg(
         F.collect_set(F.struct("start", "length")).alias("gone"), F.array_sort(F.collect_set("first.doc_id")).alias("first_docs")), "spans-gone")
-    joined = kept.join(gone, kept["doc_id"].eqNullSafe(gone["key"]), "left").drop("key")
+    joined = kept.withColumn("key", row_key()).join(gone, "key", "left").drop("key")
     at, marks = joined.columns.index("text"), joined.columns.index("gone")
 
     def run(batches):
