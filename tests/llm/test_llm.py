@@ -344,5 +344,16 @@ def test_pipeline_stages(spark, sf, corpus):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_stages_keep_rows_without_ids_and_with_the_same(spark, sf):
+    rng = np.random.default_rng(16)
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    clean = [prose(rng, 60) for _ in range(8)]
+    rows = [(None if i < 4 else 5, t, "en", "s", 1) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[7]], DOCS)
+    assert sorted(r["text"] for r in corpus_pipeline.simhash_dedup(spark, docs, sf).collect()) == sorted(clean)
+    docs = spark.createDataFrame([*rows, *((i, "before " + benchmark + " after", "en", "s", 1) for i in (None, 5))], DOCS)
+    assert sorted(r["text"] for r in corpus_pipeline.decontamination(spark, docs, sf).collect()) == sorted(clean)
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
