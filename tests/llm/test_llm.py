@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tidemark.llm import chat, components, langid, lattice, lines, multiindex, packing, queries, simhash, spans, urls, winnow
+from tidemark.llm import chat, components, langid, lattice, lines, multiindex, near, packing, queries, simhash, spans, urls, winnow
 
 WORDS = "the of and thing erth ndly tion wher hast oned ingou thesh reand blest inthe atth esor".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -355,5 +355,27 @@ def test_stages_keep_rows_without_ids_and_with_the_same(spark, sf):
     assert sorted(r["text"] for r in corpus_pipeline.decontamination(spark, docs, sf).collect()) == sorted(clean)
 
 
+@pytest.mark.parametrize("chars", [1000, near.CHARS])
+def test_near_documents_match_brute_force(spark, sf, monkeypatch, chars):
+    monkeypatch.setattr(near, "CHARS", chars)
+    rng = np.random.default_rng(17)
+    texts = []
+    for _ in range(8):
+        words = rng.choice(WORDS, 200).tolist()
+        texts += [" ".join("altered" if j in set(rng.integers(0, 200, n)) else w for j, w in enumerate(words)) for n in (0, 1, 3, 5, 9)] + ["\n".join(words).upper()]
+    texts += ["one two", "One\ntwo", "three"]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root, changed = list(range(len(texts))), True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if root[b] < root[a] and len(sets[a] & sets[b]) >= .8 * len(sets[a] | sets[b]):
+                    root[a], changed = root[b], True
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, sf).collect())
+    assert kept == sorted(set(root)) and len(kept) < len(texts) - 10
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

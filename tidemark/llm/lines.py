@@ -201,9 +201,12 @@ def similar_links(ids: list[int], lines: list[str], least: float = SIMILARITY) -
     return links
 
 
-def _verified(groups: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
-    """``(a, b)`` links inside groups ``(gid, id)``; of a group above ``block`` lines all pairs of blocks meet."""
+def _verified(groups: DataFrame, texts: DataFrame, least: float, block: int, similar=similar_links, chars: int | None = None) -> DataFrame:
+    """``(a, b)`` links inside groups ``(gid, id)``; of a group above ``block`` lines, or ``chars`` characters, all pairs of blocks meet."""
     sizes = groups.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
+    if chars:
+        held = groups.join(texts.select("id", F.length("line").cast("long").alias("held")), "id").groupBy("gid").agg(F.sum("held").alias("held"))
+        sizes = sizes.join(held, "gid").select("gid", F.greatest("n", F.ceil(F.col("held") * block / chars)).alias("n"))
     cut = groups.join(sizes, "gid").withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     cut = cut.withColumn("own", own).select("id", F.col("gid"), "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
@@ -219,12 +222,12 @@ def _verified(groups: DataFrame, texts: DataFrame, least: float, block: int) ->
             out = []
             for key, id_, line in zip(*[c.to_pylist() for c in batch.columns]):
                 if key != part:
-                    out += similar_links(ids, lines, least) if len(ids) > 1 else []
+                    out += similar(ids, lines, least) if len(ids) > 1 else []
                     part, ids, lines = key, [], []
                 ids.append(id_)
                 lines.append(line)
             yield found(out)
-        yield found(similar_links(ids, lines, least) if len(ids) > 1 else [])
+        yield found(similar(ids, lines, least) if len(ids) > 1 else [])
 
     return spread(parts.join(texts, "id").select("part", "id", "line"), "part").sortWithinPartitions("part", "id").mapInArrow(run, "a long, b long")
 
@@ -233,18 +236,23 @@ def line_groups(lines: DataFrame, least: float = SIMILARITY, block: int = BLOCK)
     """``(node, root)`` for the ids of ``lines(id, line)`` that are similar to a different line."""
     crowded = materialize(_with_company(_banded(lines)), "lines-crowded")
     texts = materialize(lines.select("id", "line").join(crowded.select("id").distinct(), "id", "left_semi").distinct(), "lines-texts")
+    return linked(crowded, texts, least, None, similar_links, "lines", block)
+
+
+def linked(crowded: DataFrame, texts: DataFrame, least: float, chars: int | None, similar, name: str, block: int = BLOCK) -> DataFrame:
+    """``(node, root)`` of what ``similar`` links among the ids of ``texts(id, line)`` that share a key of ``crowded(key, id)``."""
     lows = crowded.groupBy("key").agg(F.min("id").alias("low"))
     nearest = crowded.join(lows, "key").groupBy("id").agg(F.min("low").alias("gid"))
     clusters = nearest.select("gid", "id").unionByName(nearest.select("gid", F.col("gid").alias("id"))).distinct()
-    first = materialize(_verified(clusters, texts, least, block), "lines-links")
-    settled = materialize(components(first, "lines-first"), "lines-settled")
+    first = materialize(_verified(clusters, texts, least, block, similar, chars), f"{name}-links")
+    settled = materialize(components(first, f"{name}-first"), f"{name}-settled")
     rooted = crowded.join(settled, crowded["id"] == settled["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     # Keys of the same lines get the same group, which is verified once.
     same = F.xxhash64(F.bit_xor(F.xxhash64("id")), F.min("id"), F.max("id"), F.count("*")).alias("gid")
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), same).where("lo < hi").select("key", "gid")
     rest = crowded.join(open_keys, "key").select("gid", "id").distinct()
-    second = _verified(rest, texts, least, block)
-    return components(settled.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second), "lines")
+    second = _verified(rest, texts, least, block, similar, chars)
+    return components(settled.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second), name)
 
 
 def removals(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
