@@ -194,6 +194,21 @@ def test_sentence_spans(spark):
         assert "".join(spans.sentences(t)) == t
 
 
+def test_spans_of_long_sentences_other_marks_and_whole_texts(spark):
+    rng = np.random.default_rng(18)
+    many = lambda n: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+    long, passages, signs = many(120), [many(50) for _ in range(20)], "".join(map(chr, rng.integers(0x4E00, 0x9000, 40)))
+    rows = [(1, long), (2, long), (3, "One short text"), (4, "one  short text"), (5, signs[:20] + "。" + signs[20:] + "。别的"), (6, "其他。" + signs[:20] + "。" + signs[20:] + "。")]
+    rows += [(10 + 2 * i + k, f"{many(9 + i)} {p} {many(12)}") for i, p in enumerate(passages) for k in (0, 1)]
+    text = {r["doc_id"]: r["text"] for r in spans.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert text[1] == long and text[2] == "" and text[3] == "One short text" and text[4] == "" and text[6] == "其他。"
+    for i, p in enumerate(passages):
+        assert p in text[10 + 2 * i] and p not in text[11 + 2 * i]
+    for t in (long, rows[4][1], " a 好。b!? c。」", "x " * 60, "\n\n" + long + "\n y. "):
+        assert "".join(p for p, _ in spans.units(t)) == t
+    assert spans.sentences("...so it is .5 now. 好。！?好") == ["...so it is .5 now. ", "好。！?", "好"]
+
+
 def test_chat_round_trip(spark):
     odd = ["<|turn|>", "\\<|end|>", "<\\|text|>", "</s>[INST] ok [/INST]", "[\\INST]", "\\\\", "<", "é\n<|part|>", "", None, "[", "<<SYS>>"]
     rows = [(c, t, r, odd[(c * 5 + t) % len(odd)]) for c in range(12) for t, r in enumerate(["system", "user", "user", "assistant", "assistant", "user<|"])]

@@ -1,7 +1,10 @@
 """Substring dedup by sliding sentence spans: runs of consecutive sentences are hashed and joined globally.
 
-A span starts at every sentence and takes two sentences, or more until it has twenty words. Of each span that occurs more
-than once the first occurrence, by document id and place, stays; all sentences of the other occurrences are removed.
+A sentence of more than fifteen words is cut into units of at most eight at places that its words alone decide (winnowing): the
+word with the lowest hash of each eight in a row begins one. A shorter sentence is one unit. A span starts, and one ends, at every
+unit and takes two units, or more until it has twenty words, so a repeated passage of fifty words holds a whole span wherever it
+stands. A text without a span is one as a whole. Of each span that occurs more than once the first occurrence, by document id and
+place, stays; all units of the other occurrences are removed.
 """
 
 from __future__ import annotations
@@ -19,8 +22,15 @@ from tidemark.session import materialize
 from .common import row_key
 
 SENTENCES, WORDS = 2, 20
+LONG, WINDOW = 15, 8
+#: Marks that end a sentence without white space after them: of Chinese, Japanese, Indic, Arabic, Ethiopic, Armenian, Burmese, Khmer, Tibetan.
+MARKS = "。．｡！？।॥؟۔።፧։၊။។៕།༎"
+ENDS = frozenset(MARKS)
 #: A sentence ends after its marks and white space, or at the end of a line.
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)\s*|[.!?]+|\n\s*|$)")
+SENTENCE = re.compile(rf"[^.!?\n{MARKS}]*(?:[{MARKS}]+[.!?{MARKS}]*\s*|[.!?]+(?=\s|$)\s*|[.!?]+|\n\s*|$)")
+#: Scripts without blanks between words: every character counts as one.
+DENSE = "฀-໿ༀ-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{DENSE}]|[^\s{DENSE}]+")
 
 
 def sentences(text: str) -> list[str]:
@@ -28,30 +38,50 @@ def sentences(text: str) -> list[str]:
     pieces, held = [], ""
     for m in SENTENCE.finditer(text):
         held += m.group()
-        if held and (held[-1].isspace() or m.end() == len(text)):
+        if held and (held[-1].isspace() or m.end() == len(text) or m.group().rstrip(".!?")[-1:] in ENDS):
             pieces.append(held)
             held = ""
     return pieces
 
 
+def units(text: str) -> list[tuple[str, list[str]]]:
+    """Pieces that join to the text again, each with its words in lower case: short sentences, and parts of long ones."""
+    found = []
+    for piece in sentences(text):
+        words = piece.lower().split() if piece.isascii() else [w.lower() for w in WORD.findall(piece)]
+        if len(words) <= LONG:
+            found.append((piece, words))
+            continue
+        at = [m.start() for m in WORD.finditer(piece)]
+        words = [piece[a:b].strip().lower() for a, b in zip(at, [*at[1:], len(piece)])]
+        ranks = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+        lowest = np.lib.stride_tricks.sliding_window_view(ranks, WINDOW)[:, ::-1].argmin(1)
+        cuts = sorted({0, *(np.arange(len(lowest)) + WINDOW - 1 - lowest).tolist()})
+        for lo, hi in zip(cuts, [*cuts[1:], len(words)]):
+            found.append((piece[at[lo] if lo else 0:at[hi] if hi < len(words) else len(piece)], words[lo:hi]))
+    return found
+
+
 def spans_of(text: str, least: int, words: int) -> tuple[list[int], list[int], list[int]]:
-    """Hash, first sentence and length of every span."""
-    parts = [s.lower().split() for s in sentences(text)]
-    sizes = [len(p) for p in parts]
+    """Hash, first unit and length of every span."""
+    parts = [own for _, own in units(text)]
     keys = [xxhash.xxh64_digest(" ".join(p).encode("utf-8", "surrogatepass")) for p in parts]
-    hashes, starts, lengths = [], [], []
-    end = held = 0
+    total = [0, *np.cumsum([len(p) for p in parts]).tolist()] if parts else [0]
+    places, end, start = set(), 0, 0
     for i in range(len(parts)):
-        while end < len(parts) and (end - i < least or held < words):
-            held += sizes[end]
+        # The shortest span that starts at this unit, and the shortest that ends with it.
+        while end <= len(parts) and (end - i < least or total[end] - total[i] < words):
             end += 1
-        if end - i < least or held < words:
-            break
-        hashes.append(xxhash.xxh64_intdigest(b"".join(keys[i:end])))
-        starts.append(i)
-        lengths.append(end - i)
-        held -= sizes[i]
-    return hashes, starts, lengths
+        if end <= len(parts):
+            places.add((i, end))
+        while i + 1 - (start + 1) >= least and total[i + 1] - total[start + 1] >= words:
+            start += 1
+        if i + 1 - start >= least and total[i + 1] - total[start] >= words:
+            places.add((start, i + 1))
+    if not places and total[-1]:
+        places.add((0, len(parts)))
+    ordered = sorted(places)
+    return [xxhash.xxh64_intdigest(b"".join(keys[a:b])) for a, b in ordered], [a for a, _ in ordered], [b - a for a, b in ordered]
 
 
 def spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
@@ -77,6 +107,7 @@ def spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFr
 def drop_repeats(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """``docs`` with ``text`` freed of repeated spans, and ``n_sentences``, ``n_removed`` and ``first_docs``.
 
+    Both numbers count units: sentences, and the parts of long ones.
     ``first_docs`` lists the documents (at most all it shares spans with) that keep the removed text. A missing text stays
     missing, a text with nothing left is empty. Rows are told apart by id and text: repeated rows keep or lose the
     same sentences, texts that share an id, or have none, are cut each by itself. No rows give no rows; columns of the added names are replaced.
@@ -96,7 +127,7 @@ def drop_repeats(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) ->
         for batch in batches:
             texts, sizes, removed = [], [], []
             for text, gone in zip(batch.column(at), batch.column(marks)):
-                parts, lost = sentences(text.as_py() or ""), set()
+                parts, lost = [p for p, _ in units(text.as_py() or "")], set()
                 for g in gone.as_py() or ():
                     lost.update(range(g["start"], g["start"] + g["length"]))
                 texts.append(None if text.as_py() is None else "".join(p for i, p in enumerate(parts) if i not in lost))
