@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lattice, lines, multiindex, packing, simhash, spans, urls, winnow
+from . import chat, fim, langid, lattice, lines, multiindex, packing, simhash, spans, tokencount, urls, winnow
 from .common import held_out, table
 
 
@@ -59,9 +59,17 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_similar_lines(docs).select("doc_id", "text", "n_lines", "n_removed", "kept_in")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_best_fit_packing, op2_language_id, op3_lattice_scores, op4_multi_index, op5_sentence_spans, op6_chat_format,
-    op7_decontamination, op8_simhash, op9_url_filter, op10_fuzzy_lines)}
+    op7_decontamination, op8_simhash, op9_url_filter, op10_fuzzy_lines, op12_fill_in_middle, op13_token_counts)}
 
 _ESCAPED = r"""regexp_replace(regexp_replace(replace(%s, '\', '\\'), '<(\||s>|/s>|<SYS>>|</SYS>>)', '<\\\1', 'g'), '\[(INST\]|/INST\])', '[\\\1', 'g')"""
 
@@ -95,4 +103,16 @@ its as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join pos using (doc_id) left join its using (doc_id)""",
+    "op12_fill_in_middle": """
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+  sha256('1:' || coalesce(cast(doc_id as varchar), '')) as x from documents),
+h as (select doc_id, t, u, cast(len(u) as bigint) as n, [cast(('0x' || x[8 * k + 1:8 * k + 8]) as bigint) for k in range(4)] as h from d),
+c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain'
+    when h[4] % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from c)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end)
+    as output_sha256, sha256(t) as restored_sha256
+from p""",
 }
