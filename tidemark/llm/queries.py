@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fim, langid, lattice, lines, multiindex, packing, simhash, spans, tokencount, urls, winnow
+from . import chat, fim, langid, lattice, lines, multiindex, packing, simhash, spans, tokencount, urls, whitening, winnow
 from .common import held_out, table
 
 
@@ -59,6 +59,11 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_similar_lines(docs).select("doc_id", "text", "n_lines", "n_removed", "kept_in")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = whitening.fixed_point(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
+    return whitening.whiten(points, whitening.fit(points))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -69,7 +74,8 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_best_fit_packing, op2_language_id, op3_lattice_scores, op4_multi_index, op5_sentence_spans, op6_chat_format,
-    op7_decontamination, op8_simhash, op9_url_filter, op10_fuzzy_lines, op12_fill_in_middle, op13_token_counts)}
+    op7_decontamination, op8_simhash, op9_url_filter, op10_fuzzy_lines, op11_whitening,
+    op12_fill_in_middle, op13_token_counts)}
 
 _ESCAPED = r"""regexp_replace(regexp_replace(replace(%s, '\', '\\'), '<(\||s>|/s>|<SYS>>|</SYS>>)', '<\\\1', 'g'), '\[(INST\]|/INST\])', '[\\\1', 'g')"""
 
