@@ -47,6 +47,19 @@ def test_smoother_chunks_equal_whole(spark):
     assert len(parts) == 1030 and np.abs(whole["value"] - parts["value"]).max() < 1e-12
 
 
+@pytest.mark.parametrize("size", [7, 64, 200])
+def test_smoother_does_not_depend_on_chunks_beside_gaps(spark, size):
+    rng = np.random.default_rng(6)
+    y = list(rng.normal(0, 1, 600).cumsum() + 1000)
+    y[180:305] = [None] * 125
+    late = [None] * 230 + list(rng.normal(0, 1, 90)) + [None] * 300
+    panel = long_panel(spark, {"a": y, "late": late, "none": [None] * 450}, name="value")
+    whole = frame(M.mitigate_kalman(panel, KEYS, size=1000), "series_id", "pos")
+    parts = frame(M.mitigate_kalman(panel, KEYS, size=size), "series_id", "pos")
+    assert len(parts) == 1670 and (whole["value"].isna() == parts["value"].isna()).all()
+    assert np.abs(whole["value"] - parts["value"]).max() < 1e-9
+
+
 @pytest.mark.parametrize("values, want", [
     ([None, 4, 9, 16, 25, None], [1, 4, 9, 16, 25, 36]),
     ([1, 2, None, 5, 3, 4], [1, 2, 4.28571429, 5, 3, 4]),

@@ -53,9 +53,8 @@ PARTIAL_SEED = "42p"
 # a whole series; neighbouring chunks share a halo of rows where an operator looks back or ahead.
 CHUNK_ROWS = 4096
 
-# Rows shared between chunks: the smoother forgets at 0.672 per row, the spline at about 0.27 per knot, so beyond
-# these distances the remaining influence is below double precision.
-SMOOTHER_HALO = 100
+# Knots shared between chunks of the spline: it forgets at about 0.27 per knot, so beyond this distance the remaining
+# influence is below double precision.
 SPLINE_HALO = 40
 
 N_VALID = 15

@@ -1,7 +1,8 @@
 """Repairs of damaged series: local-level smoothing of noise, cubic-spline filling of gaps.
 
-Both look only a bounded distance back and ahead before their influence falls below double precision, so each
-works on (series, chunk) groups with a halo. A group reaches Python as one row of bounded arrays; a Pandas UDF then
+The smoother is an associative scan: every (series, chunk) group is one small element, elements compose across chunks, and a
+second pass over the groups fills in, exactly. The spline looks only a bounded distance back and ahead before its influence falls
+below double precision, so its groups have a halo. A group reaches Python as one row of bounded arrays; a Pandas UDF then
 handles many groups at once with numpy. Spline values are evaluated by Spark from the polynomial of each interval.
 """
 
@@ -15,10 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.config import CHUNK_ROWS, LEVEL_VARIANCE, OBSERVATION_VARIANCE, SMOOTHER_HALO, SPLINE_HALO
+from tidemark.config import CHUNK_ROWS, LEVEL_VARIANCE, OBSERVATION_VARIANCE, SPLINE_HALO
 from tidemark.functions.types import DOUBLES, record
 from tidemark.operators.deviate import strength_of
 from tidemark.operators.panel import chunk_arrays, chunk_of, running_before, with_halo
+from tidemark.operators.scan import Monoid, scan
 
 
 def padded(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -48,28 +50,64 @@ def in_slices(solve, *columns: pd.Series) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def smooth_level(y: np.ndarray, lengths: np.ndarray, r: float = OBSERVATION_VARIANCE,
+def _compose_levels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Elements of the local level, ``a`` first (Sarkka and Garcia-Fernandez 2021).
+
+    Columns: given the level before, the level behind has mean ``A x + b`` and variance ``C``; what the values in between say about the
+    level before is a Gaussian in information form, ``eta`` and ``J``; and the first of these values.
+    """
+    a1, b1, c1, e1, j1, first = a.T
+    a2, b2, c2, e2, j2, then = b.T
+    d = 1.0 / (1.0 + c1 * j2)
+    return np.stack([a2 * d * a1, a2 * d * (b1 + c1 * e2) + b2, a2 * d * c1 * a2 + c2, a1 * d * (e2 - j2 * b1) + e1,
+                     a1 * d * j2 * a1 + j1, np.where(np.isnan(first), then, first)], axis=1)
+
+
+LEVEL = Monoid(np.array([1.0, 0.0, 0.0, 0.0, 0.0, np.nan]), _compose_levels)
+
+
+def level_elements(y: np.ndarray, lengths: np.ndarray, r: float = OBSERVATION_VARIANCE, q: float = LEVEL_VARIANCE) -> np.ndarray:
+    """Composition of the steps over each row of ``y``, of ``lengths[i]`` values each."""
+    s = q + r
+    gain = q / s
+    out = np.tile(LEVEL.identity, (len(y), 1))
+    step = np.empty_like(out)
+    for t in range(y.shape[1]):
+        live = t < lengths
+        v = np.where(live, y[:, t], 0.0)
+        step[:] = np.stack([np.full(len(v), 1.0 - gain), gain * v, np.full(len(v), (1.0 - gain) * q), v / s, np.full(len(v), 1.0 / s), v], axis=1)
+        out = np.where(live[:, None], _compose_levels(out, step), out)
+    return out
+
+
+def smooth_level(y: np.ndarray, lengths: np.ndarray, before: np.ndarray, after: np.ndarray, r: float = OBSERVATION_VARIANCE,
                  q: float = LEVEL_VARIANCE) -> np.ndarray:
-    """Local-level filter and backward smoother of every row of ``y``; row i has ``lengths[i]`` values.
+    """Smoothed level of every value of ``y``, given the elements of all values before and after each row.
 
-    The prior of the first value is that value with variance ``r``. Gains do not depend on the data, so they are
-    shared by all rows and each step is one vector operation over the rows.
+    The prior of the first value of a series is that value with variance ``r``. The filter runs forward from the state before; backward
+    runs what later values say about the level, and both meet at each value.
     """
-    rows, n = y.shape
-    mean = np.empty_like(y)
-    mean[:, 0] = y[:, 0]
-    var = np.empty(n)
-    var[0] = r * r / (r + r)
-    for t in range(1, n):
-        ahead = var[t - 1] + q
+    a, b, c, eta, j, first = before.T
+    start = np.where(np.isnan(first), y[:, 0], first)
+    prior = r - q
+    d = 1.0 / (1.0 + prior * j)
+    mean, var = a * d * (start + prior * eta) + b, a * d * prior * a + c
+    means, variances = np.empty_like(y), np.empty_like(y)
+    for t in range(y.shape[1]):
+        ahead = var + q
         gain = ahead / (ahead + r)
-        var[t] = ahead * (1.0 - gain)
-        mean[:, t] = mean[:, t - 1] + gain * (y[:, t] - mean[:, t - 1])
-    smooth = mean.copy()
-    for t in range(n - 2, -1, -1):
-        back = var[t] / (var[t] + q)
-        inner = t < lengths - 1
-        smooth[inner, t] = mean[inner, t] + back * (smooth[inner, t + 1] - mean[inner, t])
+        mean = mean + gain * (y[:, t] - mean)
+        var = ahead * (1.0 - gain)
+        means[:, t], variances[:, t] = mean, var
+    smooth = np.empty_like(y)
+    eta, j = after[:, 3].copy(), after[:, 4].copy()
+    for t in range(y.shape[1] - 1, -1, -1):
+        live = t < lengths
+        m, p = means[:, t], variances[:, t]
+        smooth[:, t] = m + p * (eta - j * m) / (1.0 + p * j)
+        j2 = j + 1.0 / r
+        d = 1.0 + q * j2
+        eta, j = np.where(live, (eta + y[:, t] / r) / d, eta), np.where(live, j2 / d, j)
     return smooth
 
 
@@ -126,10 +164,19 @@ def spline_intervals(x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> tuple
     return b, c, d
 
 
-def _smooth_slice(values: pd.Series) -> pd.DataFrame:
+def _present(values: pd.Series) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     present = [~np.isnan(v) for v in values]
-    y, lengths = padded(pd.Series([v[p] for v, p in zip(values, present)]))
-    smooth = smooth_level(y, lengths)
+    return present, *padded(pd.Series([v[p] for v, p in zip(values, present)]))
+
+
+def _element_slice(values: pd.Series) -> pd.DataFrame:
+    _, y, lengths = _present(values)
+    return pd.DataFrame({"element": list(level_elements(y, lengths))})
+
+
+def _smooth_slice(values: pd.Series, before: pd.Series, after: pd.Series) -> pd.DataFrame:
+    present, y, lengths = _present(values)
+    smooth = smooth_level(y, lengths, np.stack(before.to_list()), np.stack(after.to_list()))
     out = [np.full(len(p), np.nan) for p in present]
     for i, p in enumerate(present):
         out[i][p] = smooth[i, : lengths[i]]
@@ -143,9 +190,14 @@ def _spline_slice(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({k: [m[i, :n] for i, n in enumerate(lengths)] for k, m in zip("bcd", found)})
 
 
+@F.pandas_udf(record(element=DOUBLES, elapsed_ms=T.DoubleType()))
+def _level_elements(values: pd.Series) -> pd.DataFrame:
+    return in_slices(_element_slice, values)
+
+
 @F.pandas_udf(record(smooth=DOUBLES, elapsed_ms=T.DoubleType()))
-def _smooth_arrays(values: pd.Series) -> pd.DataFrame:
-    return in_slices(_smooth_slice, values)
+def _smooth_arrays(values: pd.Series, before: pd.Series, after: pd.Series) -> pd.DataFrame:
+    return in_slices(_smooth_slice, values, before, after)
 
 
 @F.pandas_udf(record(b=DOUBLES, c=DOUBLES, d=DOUBLES, elapsed_ms=T.DoubleType()))
@@ -154,25 +206,29 @@ def _spline_arrays(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
 
 
 def smooth_groups(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS, carry=()) -> DataFrame:
-    """Smoothed arrays per (keys, chunk), halo included: ``a`` (pos, value, core, carry), ``fit`` (smooth, elapsed_ms)."""
-    fields = ["pos", "value", "core", *carry]
-    halo = with_halo(panel.select(*keys, "pos", "value", *carry), SMOOTHER_HALO, SMOOTHER_HALO, size)
-    with_core = chunk_arrays(halo, keys, fields).filter(F.exists("a", lambda s: s["core"]))
-    return with_core.withColumn("fit", _smooth_arrays(F.transform("a", lambda s: s["value"])))
+    """Smoothed arrays per (keys, chunk): ``a`` (pos, value, carry), ``first`` (element, elapsed_ms), ``fit`` (smooth, elapsed_ms).
+
+    Each chunk is one element; the elements before and after a chunk stand for all other values of the series.
+    """
+    rows = panel.select(*keys, "pos", "value", *carry).withColumn("chunk", chunk_of("pos", size))
+    values = F.transform("a", lambda s: s["value"])
+    chunks = chunk_arrays(rows, keys, ["pos", "value", *carry]).withColumn("first", _level_elements(values))
+    around = scan(chunks.select(*keys, "chunk", F.col("first.element").alias("element")), keys, LEVEL, after=True)
+    return chunks.join(around, [*keys, "chunk"]).withColumn("fit", _smooth_arrays(values, "before", "after"))
 
 
 def mitigate_kalman(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS, carry=()) -> DataFrame:
     """Smooth ``value`` per series: ``keys, pos, value`` and the ``carry`` columns of the row.
 
-    ``damaged`` is the value before. Rows without a value are stepped over and stay without one.
+    ``damaged`` is the value before. Rows without a value are stepped over and stay without one. The result does not depend on
+    ``size``, wherever gaps lie.
     """
     fitted = smooth_groups(panel, keys, size, carry)
     rows = fitted.select(*keys, F.inline(F.arrays_zip("a", F.col("fit.smooth").alias("smooth"))))
     damaged = F.col("a.value")
     kept = [F.col(f"a.{c}").alias(c) for c in carry]
-    return rows.filter("a.core").select(*keys, F.col("a.pos").alias("pos"),
-                                        F.when(damaged.isNotNull(), F.col("smooth")).alias("value"),
-                                        damaged.alias("damaged"), *kept)
+    return rows.select(*keys, F.col("a.pos").alias("pos"), F.when(damaged.isNotNull(), F.col("smooth")).alias("value"),
+                       damaged.alias("damaged"), *kept)
 
 
 def knot_positions(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
@@ -235,7 +291,8 @@ MITIGATIONS = {"noise": mitigate_kalman, "incompleteness": mitigate_spline}
 def mitigation_time(panel: DataFrame, source: str, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
     """Time spent repairing each series, in ms: the shares of its chunks added up."""
     if source == "noise":
-        fits = smooth_groups(panel, keys, size).select(*keys, F.col("fit.elapsed_ms").alias("elapsed_ms"))
+        both = F.col("first.elapsed_ms") + F.col("fit.elapsed_ms")
+        fits = smooth_groups(panel, keys, size).select(*keys, both.alias("elapsed_ms"))
     else:
         numbered = knot_positions(panel.select(*keys, "pos", "value"), keys, size)
         knots = numbered.filter(F.col("value").isNotNull()).select(*keys, "knot", "pos", "value")

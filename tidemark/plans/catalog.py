@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import COLUMNS, N_VALID, PARTIAL_STRENGTHS, SCALES, SOURCE_LABELS
-from tidemark.functions import scoring
+from tidemark.config import COLUMNS, N_VALID, PARTIAL_STRENGTHS, SCALES, SEED, SOURCE_LABELS, strengths
+from tidemark.functions import rng, scoring
 from tidemark.operators import deviate as D
 from tidemark.operators import evaluate as E
 from tidemark.operators import features as X
@@ -306,6 +306,20 @@ def mitigated_partial(spark, sf_dir):
     return fixed.select("series_id", "col", "scale", pos64(), *rounded("value", digits=6))
 
 
+OUTAGE = (300, 700)
+
+
+def mitigate_noise_gaps(spark, sf_dir):
+    """Smoothed prices of all columns with noise, random gaps and one long outage, in chunks much shorter than the outage."""
+    noised = D.deviate(long_bars(spark, sf_dir), "noise")
+    lost = D.strength_of(strengths("incompleteness"), F.col("col"), F.col("scale"))
+    drawn = rng.bits(rng.draw_key(SEED, "incompleteness", F.col("scale"), F.col("col"), F.col("series_id"), F.col("pos")))
+    kept = F.when(~F.col("pos").between(*OUTAGE), F.col("value"))
+    gappy = noised.select("series_id", "col", "scale", "pos", D.add_gaps(kept, lost, drawn, None, None).alias("value"))
+    smooth = M.mitigate_kalman(gappy, REPAIR_KEYS, size=256)
+    return smooth.select(*REPAIR_KEYS, pos64(), *rounded("value", digits=4))
+
+
 def cubic_panel(spark, sf_dir) -> DataFrame:
     """A cubic in time per series, with coefficients from its bars."""
     b = bars_once(spark, sf_dir)
@@ -566,7 +580,7 @@ QUERIES = {
         scenario_panel, row_ages, timeliness_values, timeliness_tuples, timeliness_relation,
         timeliness_relation_partial, correctness_values, correctness_tuples, correctness_relation,
         completeness_values, completeness_tuples, completeness_relation, weights_normalized, deviated_quality,
-        quality_report, quality_report_close, mitigate_kalman, mitigated_partial, mitigate_spline, mitigation_time,
+        quality_report, quality_report_close, mitigate_kalman, mitigate_noise_gaps, mitigated_partial, mitigate_spline, mitigation_time,
         log_returns, pct_change, lag_features, acf, pacf, forecast_ar1, tail_replay, forecast_align, forecast_eval,
         forecast_eval_weighted, forecast_overlay, avg_predictions, rolling_origin, forecast_gbt, forecast_rolling, forecast_rolling_ar1,
         scenario_forecast, scenario_forecast_replay, prediction_report, repeat_stats, forecast_timing, first_dates, series_stats,

@@ -6,7 +6,7 @@ from tidemark.config import (
     ALL_STRENGTHS, ALPHA, COLUMNS, DECLINES, MEASUREMENT_DAYS, N_VALID, PARTIAL_STRENGTHS, SCALES, SCALE_SHORT,
     SEED, PARTIAL_SEED, SOURCE_LABELS, SOURCE_SHORT, SOURCES, WEIGHTS, strengths,
 )
-from tidemark.plans.catalog import COMPARED, ROLLING_STEPS, TICK_HORIZON, TICK_VALID, TYPE_PARTIAL
+from tidemark.plans.catalog import COMPARED, OUTAGE, ROLLING_STEPS, TICK_HORIZON, TICK_VALID, TYPE_PARTIAL
 from tidemark.plans.scenarios import scenarios
 
 BARS = """r AS (
@@ -346,6 +346,16 @@ fresh AS (SELECT series_id, scale, avg({DECAY}) AS score FROM ages WHERE scale <
 {damaged('noise', 'all', 'dev', 'tp', grid)},
 {kalman('SELECT series_id, scale, pos, value AS y FROM dev', ['series_id', 'scale'])}
 SELECT series_id, scale, pos, round(ms, 6) AS value FROM back"""
+    lost = " ".join(f"WHEN '{s}' THEN {v}" for s, v in ALL_STRENGTHS["incompleteness"].items())
+    sql["mitigate_noise_gaps"] = f"""WITH RECURSIVE {PANEL},
+{damaged('noise', 'all')},
+cut AS (SELECT series_id, col, scale, pos, CASE WHEN pos NOT BETWEEN {OUTAGE[0]} AND {OUTAGE[1]}
+  AND {uniform(key(SEED, 'incompleteness', 'scale', 'col'))} >= CASE scale {lost} END THEN value END AS value FROM dev),
+seen AS (SELECT series_id, col, scale, pos AS at, value AS y,
+  row_number() OVER (PARTITION BY series_id, col, scale ORDER BY pos) - 1 AS pos FROM cut WHERE value IS NOT NULL),
+{kalman('SELECT * FROM seen', ['series_id', 'col', 'scale'])},
+done AS (SELECT series_id, col, scale, o.at AS pos, ms FROM back JOIN o USING (series_id, col, scale, pos))
+SELECT series_id, col, scale, pos, round(ms, 4) AS value FROM cut LEFT JOIN done USING (series_id, col, scale, pos)"""
     types = ("click", "error", "purchase", "signup", "view")
     full = {s: {c: v for c in types} for s, v in ALL_STRENGTHS["noise"].items()}
     some = [(s, c, float(v)) for s, per in TYPE_PARTIAL["noise"].items() for c, v in per.items()]
