@@ -443,14 +443,12 @@ def rolling_origin(spark, sf_dir):
     return found.select("series_id", F.col("shift").cast("bigint").alias("shift"), "n", *rounded("rmse", "mae", "mape", digits=4))
 
 
-def _real_close(spark, sf_dir):
-    return real_training(long_bars(spark, sf_dir, ["close"], once=True), N_VALID)
-
-
 def forecast_method(method: str, **params):
-    """Close prices of all series with one method, real data, fifteen steps."""
+    """All columns of all series with one method, real data, fifteen steps."""
     def query(spark, sf_dir):
-        return forecast_rows(forecast_panel(_real_close(spark, sf_dir), method, N_VALID, FIT_KEYS, **params), FIT_KEYS)
+        train = real_training(long_bars(spark, sf_dir, once=True), N_VALID)
+        rows = forecast_rows(forecast_panel(train, method, N_VALID, FIT_KEYS, **params), FIT_KEYS)
+        return rows.select(*FIT_KEYS, "step", *rounded("yhat", digits=4))
     return query
 
 
@@ -592,3 +590,4 @@ QUERIES["forecast_panel"] = forecast_panel_fits
 for _method in ("arima", "ces", "garch", "esn"):
     QUERIES[f"forecast_{_method}"] = forecast_method(_method)
 QUERIES["forecast_garch11"] = forecast_method("garch", p=1, q=1)
+QUERIES["forecast_garch_mean"] = forecast_method("garch", simulate=False)

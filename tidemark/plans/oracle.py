@@ -192,6 +192,91 @@ back AS (
   FROM back JOIN fm ON {same('fm', 'back')} AND fm.pos = back.pos - 1)"""
 
 
+TRAIN = PANEL + f""",
+train AS (SELECT series_id, col, pos, real AS y FROM panel JOIN sizes USING (series_id) WHERE pos < n_rows - {N_VALID} AND real IS NOT NULL)"""
+
+
+def smoothing() -> str:
+    """Exponential smoothing by a reduction of each training list for every pair of the grid, then of three finer grids."""
+    state = "{{'y': {y}, 'l': {l}, 'c': {c}, 'e': {e}}}"
+    zero = state.format(y="y", l="0.0::DOUBLE", c="0.0::DOUBLE", e="0.0::DOUBLE")
+    step = state.format(y="b.y", l="a.l - (1.0::DOUBLE - a1) * a.c + (a0 - a1) * (b.y - a.l)",
+                        c="a.l + (1.0::DOUBLE - a0) * a.c + (a0 + a1) * (b.y - a.l)", e="a.e + (b.y - a.l) * (b.y - a.l)")
+    start = state.format(y="0.0::DOUBLE", l="l0", c="l0 / 1.1::DOUBLE", e="0.0::DOUBLE")
+    reduced = f"list_reduce(x, lambda a, b: {step}, {start})"
+    ctes = [TRAIN, f"""o AS (SELECT *, row_number() OVER (PARTITION BY series_id, col ORDER BY pos) - 1 AS nth FROM train),
+ys AS (SELECT series_id, col, list({zero} ORDER BY nth) AS x, avg(y) FILTER (nth < 10) AS l0, count(*) AS n FROM o GROUP BY series_id, col),
+g1 AS (SELECT series_id, col, 0.05::DOUBLE + 0.15::DOUBLE * i AS a0, 0.05::DOUBLE + 0.15::DOUBLE * j AS a1
+  FROM ys, range(12) AS t(i), range(13) AS u(j) WHERE n >= 4)"""]
+    for r in range(1, 5):
+        ctes.append(f"r{r} AS (SELECT series_id, col, a0, a1, {reduced} AS z FROM g{r} JOIN ys USING (series_id, col))")
+        rows = f"SELECT series_id, col, a0, a1, z FROM r{r} WHERE isfinite(z.e)" + (f" UNION ALL SELECT * FROM b{r - 1}" if r > 1 else "")
+        ctes.append(f"b{r} AS (SELECT series_id, col, w.a0 AS a0, w.a1 AS a1, w.z AS z FROM (SELECT series_id, col, "
+                    f"arg_min({{'a0': a0, 'a1': a1, 'z': z}}, z.e) AS w FROM ({rows}) GROUP BY series_id, col))")
+        if r < 4:
+            width = 0.15 / 3**r
+            ctes.append(f"g{r + 1} AS (SELECT series_id, col, least(1.8::DOUBLE, greatest(0.01::DOUBLE, a0 + i * {width!r}::DOUBLE)) AS a0, "
+                        f"least(1.9::DOUBLE, greatest(0.01::DOUBLE, a1 + j * {width!r}::DOUBLE)) AS a1 FROM b{r}, range(-2, 3) AS t(i), range(-2, 3) AS u(j))")
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f""",
+go AS (SELECT series_id, col, 1 AS step, z.l AS l, z.c AS c, a0, a1 FROM b4
+  UNION ALL SELECT series_id, col, step + 1, l - (1.0::DOUBLE - a1) * c, l + (1.0::DOUBLE - a0) * c, a0, a1 FROM go WHERE step < {N_VALID})
+SELECT series_id, col, CAST(step AS INTEGER) AS step, round(l, 4) AS yhat FROM go"""
+
+
+def garch(p: int, q: int, simulate: bool = True) -> str:
+    """Variance recursions of all candidates as reductions of each list of squared returns; forecasts with the same drawn shocks."""
+    names = [f"a{i}" for i in range(1, p + 1)] + [f"b{j}" for j in range(1, q + 1)]
+    total = " + ".join(names)
+    past, var = [f"x{i}" for i in range(1, p + 1)], [f"v{j}" for j in range(1, q + 1)]
+
+    def state(**at):
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in at.items()) + "}"
+    none = "0.0::DOUBLE"
+    zero = state(r="r2", s=none, e=none, **{k: none for k in past + var})
+    start = state(r=none, s=none, e=none, **{k: "target" for k in past + var})
+    s = f"(target * (1.0::DOUBLE - ({total})) + " + " + ".join(f"{c} * a.{k}" for c, k in zip(names, past + var)) + ")"
+    moved = {"x1": "b.r", "v1": s} | {f"x{i}": f"a.x{i - 1}" for i in range(2, p + 1)} | {f"v{j}": f"a.v{j - 1}" for j in range(2, q + 1)}
+    step = state(r="b.r", s=s, e=f"a.e + ln({s}) + b.r / {s}", **{k: moved[k] for k in past + var})
+    reduced = f"list_reduce(x, lambda a, b: {step}, {start})"
+
+    def weights(mass, k, tilt, name):
+        parts = [mass] if k == 1 else [f"{mass} * {tilt}"] + [f"{mass} * (1.0::DOUBLE - {tilt}) / {k - 1}"] * (k - 1)
+        return [f"{v} AS {name}{i}" for i, v in enumerate(parts, 1)]
+    numbers = lambda vs: "(VALUES " + ", ".join(f"({v}::DOUBLE)" for v in vs) + ")"
+    coefficients = weights("m * h", p, "ta", "a") + weights("m * (1.0::DOUBLE - h)", q, "tb", "b")
+    tilts = [numbers([0.25, 0.5, 0.75, 1.0] if k > 1 else [1.0]) for k in (p, q)]
+    key_of = ", ".join(["series_id", "col"])
+    ctes = [TRAIN, f"""o AS (SELECT *, ln(y / lag(y) OVER w) AS r, row_number() OVER w AS nth, count(*) OVER (PARTITION BY {key_of}) AS n
+  FROM train WINDOW w AS (PARTITION BY {key_of} ORDER BY pos)),
+sq AS (SELECT *, r * r AS r2 FROM o WHERE r IS NOT NULL),
+ys AS (SELECT {key_of}, list({zero} ORDER BY nth) AS x, avg(r2) AS target FROM sq GROUP BY {key_of} HAVING count(*) >= 4 AND avg(r2) > 0),
+g1 AS (SELECT {key_of}, {', '.join(coefficients)} FROM ys, {numbers([0.3, 0.6, 0.8, 0.9, 0.96, 0.99])} AS c1(m),
+  {numbers([0.03, 0.08, 0.2, 0.4, 0.7])} AS c2(h), {tilts[0]} AS c3(ta), {tilts[1]} AS c4(tb))"""]
+    for r, width in enumerate((0.3, 0.1, None), 1):
+        ctes.append(f"r{r} AS (SELECT {key_of}, {', '.join(names)}, {reduced} AS z FROM g{r} JOIN ys USING ({key_of}))")
+        packed = "{" + ", ".join(f"'{c}': {c}" for c in [*names, "z"]) + "}"
+        ctes.append(f"b{r} AS (SELECT {key_of}, {', '.join(f'w.{c} AS {c}' for c in [*names, 'z'])} FROM (SELECT {key_of}, arg_min({packed}, z.e) AS w "
+                    f"FROM r{r} WHERE isfinite(z.e) GROUP BY {key_of}))")
+        if width:
+            tables = ", ".join(f"(VALUES ({1 - width!r}::DOUBLE), (1.0::DOUBLE), ({1 + width!r}::DOUBLE)) AS f{i}(f{i})" for i in range(len(names)))
+            new = ", ".join(f"{c} * f{i} AS {c}" for i, c in enumerate(names))
+            ctes.append(f"g{r + 1} AS (SELECT * FROM (SELECT {key_of}, {new} FROM b{r}, {tables}) WHERE {total} < 0.999)")
+    normal_of = normal(f"md5(concat_ws('|', '{SEED}', 'garch', '-', '-', concat_ws('/', series_id, col), step))") if simulate else "0.0::DOUBLE"
+    z = {"x": [f"x{i}" for i in range(1, p + 1)], "v": [f"v{j}" for j in range(1, q + 1)]}
+    s = f"target * (1.0::DOUBLE - ({total})) + " + " + ".join(f"{c} * {k}" for c, k in zip(names, z["x"] + z["v"]))
+    shifted = ["r * r"] + z["x"][:-1] + ["s"] + z["v"][:-1]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f""",
+e AS (SELECT {key_of}, {', '.join(names)}, target, {', '.join(f'z.{k} AS {k}0' for k in z['x'] + z['v'])} FROM b3 JOIN ys USING ({key_of})),
+steps AS (SELECT {key_of}, step, {normal_of} AS shock FROM e, range(1, {N_VALID + 1}) AS t(step)),
+go AS (SELECT {key_of}, 0::BIGINT AS step, 0.0::DOUBLE AS r, 0.0::DOUBLE AS s, {', '.join(f'{k}0 AS {k}' for k in z['x'] + z['v'])} FROM e
+  UNION ALL SELECT {key_of}, step, r, s, {', '.join(shifted)} FROM (
+    SELECT {key_of}, step, shock * sqrt(s) AS r, s, {', '.join(z['x'] + z['v'])} FROM (
+      SELECT {key_of}, steps.step AS step, shock, {s} AS s, {', '.join(z['x'] + z['v'])}
+      FROM go JOIN e USING ({key_of}) JOIN steps USING ({key_of}) WHERE steps.step = go.step + 1))),
+tail AS (SELECT {key_of}, nth - (n - {N_VALID}) AS step, y FROM o WHERE nth > n - {N_VALID})
+SELECT {key_of}, CAST(step AS INTEGER) AS step, round(exp(r) * y, 4) AS yhat FROM go JOIN tail USING ({key_of}, step)"""
+
+
 def short(expr: str, mapping: dict) -> str:
     return "CASE " + " ".join(f"WHEN {expr} = '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
 
@@ -420,6 +505,10 @@ fit AS (SELECT series_id, regr_slope(y, prev) AS phi, regr_intercept(y, prev) AS
 go AS (SELECT series_id, 1 AS step, c + phi * y AS v, phi, c FROM fit
   UNION ALL SELECT series_id, step + 1, c + phi * v, phi, c FROM go WHERE step < {ROLLING_STEPS})
 SELECT series_id, CAST(step AS INTEGER) AS step, round(v, 6) AS yhat FROM go"""
+    sql["forecast_ces"] = smoothing()
+    sql["forecast_garch"] = garch(2, 2)
+    sql["forecast_garch11"] = garch(1, 1)
+    sql["forecast_garch_mean"] = garch(2, 2, simulate=False)
     sql["tail_replay"] = f"WITH {replay()} SELECT {GROUP}, step, round(yhat, 4) AS yhat FROM replay"
     sql["forecast_align"] = f"WITH {replay()} SELECT {GROUP}, step, round(yhat, 4) AS yhat FROM aligned"
     sql["forecast_eval"] = f"""WITH {replay()}
