@@ -212,7 +212,7 @@ def _tree(parts: DataFrame, merge: Callable[[list[dict]], dict], ddl: str, name:
     while last:
         parts = materialize(parts.groupBy("size", F.expr(f"part div {FAN}").alias("of")).applyInArrow(run, ddl), name)
         last //= FAN
-    return [r.asDict() for r in parts.collect()]
+    return [r.asDict() for r in parts.toLocalIterator()]
 
 
 def _spectra(points: DataFrame) -> dict[int, dict]:
