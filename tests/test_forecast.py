@@ -4,8 +4,6 @@ from helpers import frame, long_panel, values_of
 from pyspark.sql import functions as F
 
 from tidemark.operators.forecast import METHODS, forecast_panel, forecast_rows
-from tidemark.operators.forecast.ces import Ces
-from tidemark.operators.forecast.garch import Garch
 
 KEYS = ["series_id", "col"]
 
@@ -115,23 +113,115 @@ def test_missing_rows_are_closed_up(spark, panel):
     assert found == pytest.approx(c + phi * y[-1], abs=1e-8)
 
 
-def test_smoothing_tracks_level_and_walk():
+def test_smoothing_tracks_level_and_walk(spark):
     rng = np.random.default_rng(3)
-    noise = 100 + rng.normal(0, 0.5, 400)
-    assert Ces.predict(Ces.fit(noise), 3, None)[0] == pytest.approx(100, abs=0.5)
-    walk = rng.normal(size=400).cumsum() + 100
-    assert Ces.predict(Ces.fit(walk), 1, None)[0] == pytest.approx(walk[-1], abs=1.5)
+    noise, walk = 100 + rng.normal(0, 0.5, 400), rng.normal(size=400).cumsum() + 100
+    found = forecast_panel(long_panel(spark, {"noise": noise, "walk": walk}, name="value"), "ces", 3, KEYS)
+    first = {r["series_id"]: r["yhat"][0] for r in found.collect()}
+    assert first["noise"] == pytest.approx(100, abs=0.5) and first["walk"] == pytest.approx(walk[-1], abs=1.5)
 
 
-def test_garch_prefers_the_persistence_of_the_data():
+def plain_smoothing(y, horizon):
+    """The same grids by a loop over all rows."""
+    a0, a1 = (g.ravel() for g in np.meshgrid(0.05 + 0.15 * np.arange(12), 0.05 + 0.15 * np.arange(13)))
+    best, step = None, 0.15
+    for _ in range(4):
+        level = np.full(a0.shape, np.mean(y[:10]))
+        info, error = level / 1.1, np.zeros(a0.shape)
+        with np.errstate(all="ignore"):
+            for v in y:
+                e = v - level
+                error += e * e
+                level, info = level - (1 - a1) * info + (a0 - a1) * e, level + (1 - a0) * info + (a0 + a1) * e
+        i = int(np.argmin(np.where(np.isfinite(error), error, np.inf)))
+        if best is None or error[i] < best[0]:
+            best = (error[i], a0[i], a1[i], level[i], info[i])
+        step /= 3
+        near = np.arange(-2, 3) * step
+        a0, a1 = (g.ravel() for g in np.meshgrid(np.clip(best[1] + near, 0.01, 1.8), np.clip(best[2] + near, 0.01, 1.9)))
+    _, a0, a1, level, info = best
+    out = []
+    for _ in range(horizon):
+        out.append(level)
+        level, info = level - (1 - a1) * info, level + (1 - a0) * info
+    return out
+
+
+def plain_garch(y, p, q, horizon):
+    """Likelihoods of the same candidates by a loop over all rows; last squared returns and variances of the best."""
+    from tidemark.operators.forecast.garch import candidates
+    r2 = np.diff(np.log(y)) ** 2
+    target = r2.mean()
+    c = candidates(p, q)
+    for width in (0.3, 0.1, None):
+        past, var = [np.full(len(c), target)] * p, [np.full(len(c), target)] * q
+        loss = np.zeros(len(c))
+        for r in r2:
+            s = target * (1 - c.sum(axis=1)) + sum(c[:, i] * past[i] for i in range(p)) + sum(c[:, p + j] * var[j] for j in range(q))
+            loss += np.log(s) + r / s
+            past, var = [np.full(len(c), r)] + past[:-1], [s] + var[:-1]
+        i = int(np.argmin(loss))
+        best, state = c[i], ([x[i] for x in past], [v[i] for v in var])
+        if width:
+            grid = np.stack([g.ravel() for g in np.meshgrid(*[[1 - width, 1, 1 + width]] * (p + q))], axis=1)
+            c = best * grid
+            c = np.vstack([best[None], c[c.sum(axis=1) < 0.999]])
+    return best, target, state
+
+
+@pytest.fixture(scope="module")
+def long_series(spark):
+    rng = np.random.default_rng(14)
+    prices = 100 * np.exp((rng.standard_t(5, 100_000) * 0.002 + 0).cumsum())
+    short = 50 * np.exp((rng.normal(size=900) * 0.01).cumsum())
+    gap = short[:400]
+    rows = [("long", i, float(v)) for i, v in enumerate(prices)] + [("short", i + 333, float(v)) for i, v in enumerate(short)]
+    rows += [("gap", i + (20_000 if i > 100 else 0), float(v)) for i, v in enumerate(gap)] + [("gap", 150, None)]
+    return spark.createDataFrame(rows, "series_id string, pos int, value double").cache(), {"long": prices, "short": short, "gap": gap}
+
+
+def test_smoothing_over_chunks_equals_a_plain_loop(spark, long_series):
+    df, series = long_series
+    plain = {s: plain_smoothing(y, 5) for s, y in series.items()}
+    for size in (4096, 50_000):
+        found = {r["series_id"]: r for r in forecast_panel(df, "ces", 5, ["series_id"], size=size).collect()}
+        for s, y in series.items():
+            assert found[s]["error"] is None and found[s]["yhat"] == pytest.approx(plain[s], rel=1e-9)
+        assert found["long"]["last_train_pos"] == 99_999 and found["gap"]["last_train_pos"] == 20_399
+
+
+def test_variances_over_chunks_equal_a_plain_loop(spark, long_series):
+    df, series = long_series
+    plain = {(s, p, q): plain_garch(y, p, q, 3) for s, y in series.items() for p, q in ((2, 2), (1, 1))}
+    for p, q, size, cumulative in ((2, 2, 4096, False), (1, 1, 700, True), (1, 1, 200_000, False)):
+        found = {r["series_id"]: r for r in forecast_panel(
+            df, "garch", 3, ["series_id"], p=p, q=q, size=size, cumulative=cumulative).collect()}
+        for s, y in series.items():
+            best, target, (past, var) = plain[s, p, q]
+            base = np.full(3, y[-1]) if cumulative else y[-3:]
+            got = np.log(np.array(found[s]["yhat"]) / base)
+            got = np.diff(got, prepend=0) if cumulative else got
+            for k, z in enumerate(draws_of(spark, s)):
+                s2 = target * (1 - best.sum()) + np.dot(best[:p], past) + np.dot(best[p:], var)
+                assert got[k] / np.sqrt(s2) == pytest.approx(z, rel=1e-7)
+                past, var = [got[k] ** 2] + past[:-1], [s2] + var[:-1]
+
+
+def draws_of(spark, series):
+    from tidemark.functions import rng
+    from pyspark.sql import functions as F
+    steps = spark.range(1, 4).orderBy("id")
+    return [r[0] for r in steps.select(rng.normal(rng.bits(rng.draw_key("42", "garch", "-", "-", F.lit(series), F.col("id"))))).collect()]
+
+
+def test_garch_prefers_the_persistence_of_the_data(spark):
     rng = np.random.default_rng(9)
     s, r = 1.0, []
     for _ in range(3000):
         r.append(rng.normal() * np.sqrt(s))
         s = 0.05 + 0.1 * r[-1] ** 2 + 0.85 * s
-    price = 100 * np.exp(np.cumsum(np.array(r) * 0.01))
-    _, _, _, (a, b, _) = Garch(1, 1, False).fit(price)
-    assert a.sum() + b.sum() == pytest.approx(0.95, abs=0.06) and a[0] == pytest.approx(0.1, abs=0.07)
+    (a, b), *_ = plain_garch(100 * np.exp(np.cumsum(np.array(r) * 0.01)), 1, 1, 1)
+    assert a + b == pytest.approx(0.95, abs=0.06) and a == pytest.approx(0.1, abs=0.07)
 
 
 def test_garch_without_shocks_replays_the_tail(spark):
@@ -145,7 +235,9 @@ def test_failures_are_rows(spark):
     train = long_panel(spark, {"short": [1, 2], "flat": [3] * 40}, name="value")
     garch = {r["series_id"]: r["error"] for r in forecast_panel(train, "garch", 2, KEYS).collect()}
     assert "5 positive" in garch["short"] and "constant" in garch["flat"]
-    long = forecast_panel(train, "ces", 2, KEYS, max_rows=10)
+    ces = {r["series_id"]: r["error"] for r in forecast_panel(train, "ces", 2, KEYS).collect()}
+    assert "fewer than 4" in ces["short"] and ces["flat"] is None
+    long = forecast_panel(train, "esn", 2, KEYS, max_rows=10)
     assert "slice" in {r["series_id"]: r["error"] for r in long.collect()}["flat"]
     replay = {r["series_id"]: r["error"] for r in forecast_panel(train, "tail_replay", 3, KEYS).collect()}
     assert replay == {"short": "fewer training rows than forecast steps", "flat": None}

@@ -19,6 +19,7 @@ from tidemark.config import CHUNK_ROWS
 from tidemark.functions.types import DOUBLES, record
 from tidemark.operators.forecast.chunked import failures, fit_columns, first_values, series_stats, to_chunks
 from tidemark.operators.scan import Monoid, chunk_values, fold, lists, padded, ragged, slices
+from tidemark.session import materialize
 
 #: Elements per group of a fold: a group of the first round holds some megabytes.
 FAN = 256
@@ -166,7 +167,7 @@ def forecast_ces(train: DataFrame, keys: list[str], horizon, size: int = CHUNK_R
     Series of any length: ``size`` affects neither result nor memory by more than rounding.
     """
     chunks, longest = chunk_values(train, keys, size, "ces-chunks")
-    stats = series_stats(chunks, keys).join(first_values(chunks, keys, FIRST_ROWS, longest), keys)
+    stats = materialize(series_stats(chunks, keys).join(first_values(chunks, keys, FIRST_ROWS, longest), keys), "ces-series")
     grid = F.array(*[F.lit(float(v)) for v in first_grid().ravel()])
     usable = stats.where(F.col("rows") >= LEAST_ROWS).select(*keys, "last_chunk", "first_values")
     best, step, given = None, STEP, chunks.withColumn("grid", grid)
@@ -183,8 +184,9 @@ def forecast_ces(train: DataFrame, keys: list[str], horizon, size: int = CHUNK_R
         step /= 3.0
         around = [F.struct(*[F.greatest(F.lit(low), F.least(F.lit(high), F.col(f"best.a{i}") + d * step)).alias(f"a{i}")
                              for i, (d, (low, high)) in enumerate(zip(ds, BOUNDS))]) for ds in ((x, y) for y in range(-2, 3) for x in range(-2, 3))]
-        best = scored.select(*keys, "last_chunk", "first_values", F.col("now").alias("best")).withColumn(
-            "grid", F.flatten(F.transform(F.array(*around), lambda s: F.array(s["a0"], s["a1"]))))
+        # A row per series, written: both uses of it in the next round read it instead of running this one again.
+        best = materialize(scored.select(*keys, "last_chunk", "first_values", F.col("now").alias("best")).withColumn(
+            "grid", F.flatten(F.transform(F.array(*around), lambda s: F.array(s["a0"], s["a1"])))), "ces-round")
         given = to_chunks(chunks, best.select(*keys, "last_chunk", "grid"), keys)
     fitted = stats.join(best.select(*keys, "best"), keys, "left")
     finite = F.col("best.error") < float("inf")

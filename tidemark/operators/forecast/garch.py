@@ -237,15 +237,14 @@ def forecast_garch(train: DataFrame, keys: list[str], horizon, p: int = 2, q: in
     joined = values.join(before, [*keys, "chunk"]).withColumn("r", _returns("before", "x"))
     chunks = materialize(joined.select(*keys, "chunk", "r.r2", "r.total"), "garch-chunks")
     sums = chunks.groupBy(*keys).agg((F.sum("total") / F.sum(F.size("r2") - p)).alias("target"))
-    stats = stats.join(sums, keys)
+    stats = materialize(stats.join(sums, keys), "garch-series")
     sound = (F.col("rows") >= LEAST_ROWS) & (F.col("lowest") > 0) & (F.col("target") > 0)
     usable = stats.where(sound).select(*keys, "last_chunk", "target")
     first = candidates(p, q)
     asked = usable.withColumn("grid", F.array(*[F.lit(float(v)) for v in first.ravel()]))
-    n, spent = len(first), None
+    n, spent = len(first), False
     for width in (*WIDTHS, None):
         given = to_chunks(chunks, asked, keys)
-        identity = affine(n, q).identity
         if longest > 1:
             mapped = given.select(*keys, "chunk", maps(p, q)("r2", "grid", "target").alias("element"))
             given = given.join(scan(mapped, keys, affine(n, q), fan=FAN), [*keys, "chunk"])
@@ -254,10 +253,10 @@ def forecast_garch(train: DataFrame, keys: list[str], horizon, p: int = 2, q: in
         added_up = given.select(*keys, "chunk", losses(p, q)("r2", "grid", "target", "before").alias("element"))
         total = fold(added_up, keys, added(n + 1), longest, FAN)
         scored = total.join(asked, keys).withColumn("best", _best(p + q)("element", "grid"))
-        took = F.element_at("element", -1) + (F.col("spent") if spent is not None else F.lit(0.0))
-        spent = took
+        took = F.element_at("element", -1) + (F.col("spent") if spent else F.lit(0.0))
+        spent = True
         grid = F.col("best.coefficients") if width is None else around(F.col("best.coefficients"), p, q, width)
-        asked = scored.select(*keys, "last_chunk", "target", took.alias("spent"), "best", grid.alias("grid"))
+        asked = materialize(scored.select(*keys, "last_chunk", "target", took.alias("spent"), "best", grid.alias("grid")), "garch-round")
         n = 3 ** (p + q) + 1
     ends = fold(to_chunks(chunks, asked.select(*keys, "last_chunk", "target", "grid"), keys).select(
         *keys, "chunk", maps(p, q)("r2", "grid", "target").alias("element")), keys, affine(1, q), longest, FAN)

@@ -16,6 +16,7 @@ from tidemark.operators import quality as Q
 from tidemark.operators import report as R
 from tidemark.operators.forecast import forecast_panel, forecast_rows
 from tidemark.plans import jobs as J
+from tidemark.plans import rolling
 from tidemark.plans import scenarios as S
 from tidemark.session import materialize
 from tidemark.sources import bars as B
@@ -320,23 +321,11 @@ def mitigate_noise_gaps(spark, sf_dir):
     return smooth.select(*REPAIR_KEYS, pos64(), *rounded("value", digits=4))
 
 
-def cubic_panel(spark, sf_dir) -> DataFrame:
-    """A cubic in time per series, with coefficients from its bars."""
-    b = bars_once(spark, sf_dir)
-    stats = b.groupBy("series_id").agg(
-        F.min("low").alias("k0"), F.max("high").alias("k1"), F.avg("close").alias("k2"), F.avg("open").alias("k3"),
-        (F.max("pos") + 1).alias("rows"))
-    t = F.col("pos") / F.col("n")
-    cubic = F.col("k0") + t * (F.col("k1") + t * (F.col("k3") * t - F.lit(2.0) * F.col("k2")))
-    rows = P.attach(b.select("series_id", "pos").withColumn("chunk", P.chunk_of("pos")),
-                    stats.withColumn("n", F.col("rows")), ["series_id"])
-    return rows.select("series_id", F.lit("close").alias("col"), "pos", cubic.alias("real"))
-
-
 def mitigate_spline(spark, sf_dir):
-    gappy = D.deviate(cubic_panel(spark, sf_dir), "incompleteness", columns=["close"])
-    filled = M.mitigate_spline(gappy, REPAIR_KEYS)
-    return filled.select("series_id", "scale", pos64(), *rounded("value", digits=3), "error")
+    """Prices of all columns with random gaps filled, in chunks of 256 knots."""
+    gappy = D.deviate(long_bars(spark, sf_dir), "incompleteness")
+    filled = M.mitigate_spline(gappy, REPAIR_KEYS, size=256)
+    return filled.select(*REPAIR_KEYS, pos64(), *rounded("value", digits=4), "error")
 
 
 def mitigation_time(spark, sf_dir):
@@ -443,6 +432,15 @@ def rolling_origin(spark, sf_dir):
     return found.select("series_id", F.col("shift").cast("bigint").alias("shift"), "n", *rounded("rmse", "mae", "mape", digits=4))
 
 
+ROLLING = {"shifts": (0, 25, 50, 400, 1500), "n": 1000}
+
+
+def rolling_scenarios(spark, sf_dir):
+    """All columns of all series over windows at several shifts, under all sixteen scenarios."""
+    found = rolling.rolling_scenarios(long_bars(spark, sf_dir, once=True), **ROLLING)
+    return found.select("series_id", "col", "shift", "source", "scale", "improve", "n", *rounded("rmse", "mae", "mape", digits=3), "mape_n", "reason")
+
+
 def forecast_method(method: str, **params):
     """All columns of all series with one method, real data, fifteen steps."""
     def query(spark, sf_dir):
@@ -580,7 +578,7 @@ QUERIES = {
         completeness_values, completeness_tuples, completeness_relation, weights_normalized, deviated_quality,
         quality_report, quality_report_close, mitigate_kalman, mitigate_noise_gaps, mitigated_partial, mitigate_spline, mitigation_time,
         log_returns, pct_change, lag_features, acf, pacf, forecast_ar1, tail_replay, forecast_align, forecast_eval,
-        forecast_eval_weighted, forecast_overlay, avg_predictions, rolling_origin, forecast_gbt, forecast_rolling, forecast_rolling_ar1,
+        forecast_eval_weighted, forecast_overlay, avg_predictions, rolling_origin, rolling_scenarios, forecast_gbt, forecast_rolling, forecast_rolling_ar1,
         scenario_forecast, scenario_forecast_replay, prediction_report, repeat_stats, forecast_timing, first_dates, series_stats,
         relative_change, relative_change_summary, report_scan, split_times, avg_quality_report,
         avg_prediction_report, common_labels,

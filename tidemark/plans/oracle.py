@@ -6,7 +6,7 @@ from tidemark.config import (
     ALL_STRENGTHS, ALPHA, COLUMNS, DECLINES, MEASUREMENT_DAYS, N_VALID, PARTIAL_STRENGTHS, SCALES, SCALE_SHORT,
     SEED, PARTIAL_SEED, SOURCE_LABELS, SOURCE_SHORT, SOURCES, WEIGHTS, strengths,
 )
-from tidemark.plans.catalog import COMPARED, OUTAGE, ROLLING_STEPS, TICK_HORIZON, TICK_VALID, TYPE_PARTIAL
+from tidemark.plans.catalog import COMPARED, OUTAGE, ROLLING, ROLLING_STEPS, TICK_HORIZON, TICK_VALID, TYPE_PARTIAL
 from tidemark.plans.scenarios import scenarios
 
 BARS = """r AS (
@@ -192,6 +192,81 @@ back AS (
   FROM back JOIN fm ON {same('fm', 'back')} AND fm.pos = back.pos - 1)"""
 
 
+def spline(rows: str, by: list[str]) -> str:
+    """``filled(by, pos, value)``: not-a-knot cubic splines through the present values of ``rows(by, pos, value)``, their tridiagonal systems
+    solved by two recursions over the knots."""
+    keys = ", ".join(by)
+    same = lambda a, c: " AND ".join(f"{a}.{k} = {c}.{k}" for k in by)
+    of = lambda a: ", ".join(f"{a}.{k}" for k in by)
+    w = f"OVER (PARTITION BY {keys} ORDER BY i)"
+    return f"""sp AS MATERIALIZED ({rows}),
+kn AS (SELECT {keys}, pos AS x, value AS y, row_number() OVER (PARTITION BY {keys} ORDER BY pos) - 1 AS i,
+  count(*) OVER (PARTITION BY {keys}) AS n FROM sp WHERE value IS NOT NULL),
+hs AS (SELECT *, (lead(x) {w} - x)::DOUBLE AS h, (lead(y) {w} - y) / (lead(x) {w} - x) AS s FROM kn WHERE n >= 4),
+hp AS (SELECT *, lag(h) {w} AS g, lag(s) {w} AS r FROM hs),
+eq AS MATERIALIZED (SELECT {keys}, i, n,
+  CASE WHEN i = n - 2 THEN g - h * h / g ELSE g END AS low, CASE WHEN i = 1 THEN h - g * g / h ELSE h END AS up,
+  2.0::DOUBLE * (g + h) + CASE WHEN i = 1 THEN g * (g + h) / h ELSE 0 END + CASE WHEN i = n - 2 THEN h * (g + h) / g ELSE 0 END AS dia,
+  6.0::DOUBLE * (s - r) AS rhs FROM hp WHERE i BETWEEN 1 AND n - 2),
+fw AS (SELECT {keys}, i, n, up / dia AS cp, rhs / dia AS dp FROM eq WHERE i = 1
+  UNION ALL SELECT {of('eq')}, eq.i, eq.n, eq.up / (eq.dia - eq.low * fw.cp), (eq.rhs - eq.low * fw.dp) / (eq.dia - eq.low * fw.cp)
+  FROM fw JOIN eq ON {same('eq', 'fw')} AND eq.i = fw.i + 1),
+fs AS MATERIALIZED (SELECT * FROM fw),
+bw AS (SELECT {keys}, i, n, dp AS m FROM fs WHERE i = n - 2
+  UNION ALL SELECT {of('fs')}, fs.i, fs.n, fs.dp - fs.cp * bw.m FROM bw JOIN fs ON {same('fs', 'bw')} AND fs.i = bw.i - 1),
+inner_m AS MATERIALIZED (SELECT * FROM bw),
+ends AS (SELECT {keys}, max(n) AS n, max(CASE WHEN i = 1 THEN m END) AS m1, max(CASE WHEN i = 2 THEN m END) AS m2,
+  max(CASE WHEN i = n - 2 THEN m END) AS me, max(CASE WHEN i = n - 3 THEN m END) AS md FROM inner_m GROUP BY {keys}),
+gaps_h AS (SELECT {keys}, max(CASE WHEN i = 0 THEN h END) AS h0, max(CASE WHEN i = 1 THEN h END) AS h1,
+  max(CASE WHEN i = n - 3 THEN h END) AS ha, max(CASE WHEN i = n - 2 THEN h END) AS hb FROM hs GROUP BY {keys}),
+ms AS (SELECT {keys}, i, m FROM inner_m
+  UNION ALL SELECT {keys}, 0, ((h0 + h1) * m1 - h0 * m2) / h1 FROM ends JOIN gaps_h USING ({keys})
+  UNION ALL SELECT {keys}, n - 1, ((ha + hb) * me - hb * md) / ha FROM ends JOIN gaps_h USING ({keys})),
+cf AS (SELECT {keys}, i, n, x, y, s - h * (2.0::DOUBLE * m + m_next) / 6.0::DOUBLE AS b, m / 2.0::DOUBLE AS c, (m_next - m) / (6.0::DOUBLE * h) AS d
+  FROM (SELECT hs.*, m, lead(m) OVER (PARTITION BY {of('hs')} ORDER BY hs.i) AS m_next FROM hs JOIN ms ON {same('hs', 'ms')} AND hs.i = ms.i) WHERE i <= n - 2),
+ask AS (SELECT *, greatest(0, least(count(value) OVER (PARTITION BY {keys} ORDER BY pos) - 1, count(value) OVER (PARTITION BY {keys}) - 2)) AS i FROM sp),
+filled AS (SELECT {of('ask')}, ask.pos, CASE WHEN value IS NOT NULL THEN value ELSE y + (pos - x) * (b + (pos - x) * (c + (pos - x) * d)) END AS value
+  FROM ask LEFT JOIN cf ON {same('ask', 'cf')} AND ask.i = cf.i)"""
+
+
+def rolling() -> str:
+    """All scenarios of all windows row by row, first-order regressions on the row before, errors of fifteen steps."""
+    shifts, n = ROLLING["shifts"], ROLLING["n"]
+    border = n - N_VALID
+    by = ["series_id", "col", "scale", "shift"]
+    g = "series_id, col, shift, source, scale, improve"
+    scales = ", ".join(f"('{s}', {ALL_STRENGTHS['noise'][s]}::DOUBLE, {ALL_STRENGTHS['incompleteness'][s]}::DOUBLE, {ALL_STRENGTHS['timeliness'][s]})" for s in SCALES)
+    return f"""WITH RECURSIVE {PANEL},
+sh AS (SELECT unnest({list(shifts)})::BIGINT AS shift),
+asked AS (SELECT DISTINCT series_id, col, shift, n_rows FROM panel JOIN sizes USING (series_id), sh),
+win AS (SELECT p.series_id, p.col, shift, pos, pos - shift AS p, real FROM panel p JOIN asked a USING (series_id, col)
+  WHERE pos >= shift AND pos < shift + {n} AND n_rows >= shift + {n}),
+lim AS (SELECT series_id, col, shift, min(real) AS lo, max(real) AS hi FROM win GROUP BY series_id, col, shift),
+sc AS (SELECT * FROM (VALUES {scales}) AS v(scale, noise, gaps, delay)),
+noisy AS (SELECT w.*, scale, real + 0.01::DOUBLE * noise * (hi - lo) * {normal(key(SEED, 'noise', 'scale', 'w.col').replace('series_id', 'w.series_id'))} AS value
+  FROM win w JOIN lim USING (series_id, col, shift), sc),
+holed AS (SELECT w.*, scale, CASE WHEN {uniform(key(SEED, 'incompleteness', 'scale', 'w.col').replace('series_id', 'w.series_id'))} >= gaps THEN real END AS value
+  FROM win w, sc),
+{kalman('SELECT series_id, col, scale, shift, p AS pos, value AS y FROM noisy', by)},
+{spline('SELECT series_id, col, scale, shift, p AS pos, value FROM holed', by)},
+scen AS (
+  SELECT series_id, col, shift, 'none' AS source, '-' AS scale, 'N' AS improve, 0 AS delay, p, real AS value FROM win
+  UNION ALL SELECT series_id, col, shift, 'noise', scale, 'N', 0, p, value FROM noisy
+  UNION ALL SELECT series_id, col, shift, 'noise', scale, 'Y', 0, pos, ms FROM back
+  UNION ALL SELECT series_id, col, shift, 'incompleteness', scale, 'N', 0, p, value FROM holed
+  UNION ALL SELECT series_id, col, shift, 'incompleteness', scale, 'Y', 0, pos, value FROM filled
+  UNION ALL SELECT series_id, col, shift, 'timeliness', scale, 'N', delay, p, real FROM win, sc),
+tr AS (SELECT *, lag(value) OVER (PARTITION BY {g} ORDER BY p) AS prev FROM scen WHERE p < {border} - delay AND value IS NOT NULL),
+fit AS (SELECT {g}, max(delay) AS delay, regr_slope(value, prev) AS phi, regr_intercept(value, prev) AS c, max_by(value, p) AS y FROM tr GROUP BY {g}),
+ahead AS (SELECT {g}, k, CASE WHEN phi = 1 THEN c * h + y ELSE c * (1 - pow(phi, h)) / nullif(1 - phi, 0) + pow(phi, h) * y END AS yhat
+  FROM (SELECT fit.*, k, k + delay AS h FROM fit, range(1, {N_VALID + 1}) AS t(k))),
+e AS (SELECT {g}, yhat - real AS gap, real FROM ahead JOIN win USING (series_id, col, shift) WHERE p = {border} + k - 1)
+SELECT {g}, count(*) AS n, round(sqrt(avg(gap * gap)), 3) AS rmse, round(avg(abs(gap)), 3) AS mae, round(100.0 * avg(abs(gap) / nullif(abs(real), 0)), 3) AS mape,
+  count(nullif(abs(real), 0)) AS mape_n, CAST(NULL AS VARCHAR) AS reason FROM e GROUP BY {g}
+UNION ALL SELECT series_id, col, shift, NULL, NULL, NULL, 0, NULL, NULL, NULL, 0,
+  'window of {n} rows, series has ' || greatest(n_rows - shift, 0) || ' from there on' FROM asked WHERE n_rows < shift + {n}"""
+
+
 TRAIN = PANEL + f""",
 train AS (SELECT series_id, col, pos, real AS y FROM panel JOIN sizes USING (series_id) WHERE pos < n_rows - {N_VALID} AND real IS NOT NULL)"""
 
@@ -451,12 +526,10 @@ g AS (SELECT * FROM {values(some, ['g_scale', 'g_col', 'g_strength'])})
 SELECT back.series_id, back.col, back.scale, back.pos,
   round(CASE WHEN coalesce(g_strength, 0) <> 0 THEN ms ELSE real END, 6) AS value
 FROM back JOIN t USING (series_id, col, pos) LEFT JOIN g ON g_scale = back.scale AND g_col = back.col"""
-    sql["mitigate_spline"] = f"""WITH {BARS},
-k AS (SELECT series_id, min(low) AS k0, max(high) AS k1, avg(close) AS k2, avg(open) AS k3, count(*) AS n FROM b GROUP BY series_id),
-x AS (SELECT series_id, pos, pos / n::DOUBLE AS u, k0, k1, k2, k3 FROM b JOIN k USING (series_id))
-SELECT series_id, scale, pos, round(k0 + u * (k1 + u * (k3 * u - 2.0::DOUBLE * k2)), 3) AS value,
-  CAST(NULL AS VARCHAR) AS error
-FROM x CROSS JOIN (VALUES {', '.join(f"('{s}')" for s in SCALES)}) AS s(scale)"""
+    sql["mitigate_spline"] = f"""WITH RECURSIVE {PANEL},
+{damaged('incompleteness', 'all')},
+{spline('SELECT series_id, col, scale, pos, value FROM dev', ['series_id', 'col', 'scale'])}
+SELECT series_id, col, scale, pos, round(value, 4) AS value, CAST(NULL AS VARCHAR) AS error FROM filled"""
 
     w = "OVER (PARTITION BY series_id, col ORDER BY pos)"
     sql["log_returns"] = f"""WITH {PANEL}, g AS (SELECT *, real / nullif(lag(real) {w}, 0) AS ratio FROM panel)
@@ -505,6 +578,7 @@ fit AS (SELECT series_id, regr_slope(y, prev) AS phi, regr_intercept(y, prev) AS
 go AS (SELECT series_id, 1 AS step, c + phi * y AS v, phi, c FROM fit
   UNION ALL SELECT series_id, step + 1, c + phi * v, phi, c FROM go WHERE step < {ROLLING_STEPS})
 SELECT series_id, CAST(step AS INTEGER) AS step, round(v, 6) AS yhat FROM go"""
+    sql["rolling_scenarios"] = rolling()
     sql["forecast_ces"] = smoothing()
     sql["forecast_garch"] = garch(2, 2)
     sql["forecast_garch11"] = garch(1, 1)
