@@ -17,31 +17,33 @@ def forecast_align(rows: DataFrame, n_valid: int, delay="delay") -> DataFrame:
 
 
 def errors(aligned: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
-    """RMSE, MAE and MAPE per group; ``actual`` holds ``series_id, col, step, real``.
+    """RMSE, MAE and MAPE per group with at least one forecast; ``actual`` holds ``series_id, col, step, real``.
 
     ``n`` and ``n_expected`` tell whether every real value met a forecast. Real zeros are left out of the MAPE and
     ``mape_n`` counts what remains.
     """
-    joined = aligned.join(actual.select("series_id", "col", "step", "real"), ["series_id", "col", "step"])
+    real = actual.select("series_id", "col", "step", "real")
+    joined = aligned.join(real, ["series_id", "col", "step"])
+    expected = real.groupBy("series_id", "col").agg(F.count(F.lit(1)).alias("n_expected"))
     gap = F.col("yhat") - F.col("real")
     share = F.try_divide(F.abs(gap), F.nullif(F.abs("real"), F.lit(0.0)))
-    return joined.groupBy(*keys).agg(
+    found = joined.groupBy(*keys).agg(
         F.sqrt(F.avg(gap * gap)).alias("rmse"),
         F.avg(F.abs(gap)).alias("mae"),
         (F.lit(100.0) * F.avg(share)).alias("mape"),
         F.count(F.lit(1)).alias("n"),
         F.count(share).alias("mape_n"),
     )
+    return found.join(expected, ["series_id", "col"])
 
 
 def weighted_errors(per_column: DataFrame, keys: list[str], columns, weights: dict = WEIGHTS) -> DataFrame:
-    """Errors of the columns of a series added up by their normalised weights; null when a column is missing."""
+    """Errors of the columns of a series added up by their normalised weights; null when a column is missing or has no error."""
     weight = scoring.by_key(F.col("col"), scoring.normalized(weights, columns))
     by = [k for k in keys if k != "col"]
     chosen = per_column.filter(F.col("col").isin(list(columns)))
-    whole = F.count(F.lit(1)) == len(columns)
     return chosen.groupBy(*by).agg(
-        *[F.when(whole, F.sum(weight * F.col(e))).alias(e) for e in ("rmse", "mae", "mape")]
+        *[F.when(F.count(e) == len(columns), F.sum(weight * F.col(e))).alias(e) for e in ("rmse", "mae", "mape")]
     )
 
 
@@ -51,9 +53,8 @@ def fit_times(fits: DataFrame, keys: list[str]) -> DataFrame:
     return fits.groupBy(*by).agg(
         *[F.sum(t).alias(t) for t in ("prepare_ms", "fit_ms", "predict_ms")],
         F.count("error").alias("failed"),
-        F.min("p").alias("p"),
-        F.min("q").alias("q"),
-    )
+        F.min(F.when(F.col("p").isNotNull(), F.struct("p", "q"))).alias("_order"),
+    ).select("*", "_order.p", "_order.q").drop("_order")
 
 
 def repeat_rows(train: DataFrame, iterations: int) -> DataFrame:
@@ -74,9 +75,8 @@ def repeat_stats(runs: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(good.cast("int")).alias("iterations"),
         *[F.avg(F.when(good, F.col(m))).alias(m) for m in means],
         F.stddev_samp(F.when(good, total)).alias("time_sd"),
-        F.min("p").alias("p"),
-        F.min("q").alias("q"),
-    )
+        F.min(F.when(F.col("p").isNotNull(), F.struct("p", "q"))).alias("_order"),
+    ).select("*", "_order.p", "_order.q").drop("_order")
 
 
 def avg_predictions(rows: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,7 +87,7 @@ def avg_predictions(rows: DataFrame, actual: DataFrame, keys: list[str]) -> Data
 
 
 def forecast_overlay(panel: DataFrame, train: DataFrame, rows: DataFrame, keys: list[str], graph_start: int) -> DataFrame:
-    """Actual values, training values and forecasts on one position axis that starts at ``graph_start``.
+    """Actual values, training values and forecasts on one position axis that starts at ``graph_start``, columns in order of their names.
 
     Forecast step 1 sits at the position after the border, where validation begins. ``train_end`` is the earliest
     end of training over the columns of a series.
@@ -100,4 +100,5 @@ def forecast_overlay(panel: DataFrame, train: DataFrame, rows: DataFrame, keys:
     drawn = actual.unionByName(learned).unionByName(guessed)
     by = [k for k in keys if k != "col"]
     ends = train.groupBy(*keys).agg(F.max("pos").alias("_end")).groupBy(*by).agg(F.min("_end").alias("train_end"))
-    return drawn.join(ends, by, "left").withColumn("x", F.col("pos") - graph_start).drop("pos")
+    placed = drawn.join(ends, by, "left").withColumn("x", F.col("pos") - graph_start).drop("pos")
+    return placed.orderBy(*by, "col", "role", "x")

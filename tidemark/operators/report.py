@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring
@@ -70,9 +70,6 @@ def avg_prediction_report(reports: DataFrame) -> DataFrame:
     return averaged.withColumn("time_text", text).drop("prepare_ms", "fit_ms", "predict_ms")
 
 
-AVERAGES = {"metric": avg_quality_report, "prediction": avg_prediction_report}
-
-
 def skipped_files(reports: DataFrame) -> DataFrame:
     """Names of the files that :func:`avg_prediction_report` leaves out."""
     parts = split_times(reports)
@@ -113,3 +110,23 @@ def relative_change_summary(changes: DataFrame, keys: list[str], row: str, compa
         F.concat_ws(": ", F.col("hi.row").cast("string"), percent(-F.col("hi.v"))).alias("max"),
         percent(F.col("mean")).alias("avg"),
     )
+
+
+# Names of the comparison tables.
+COMPARISONS = ["multiple_data_preparation_times", "multiple_prediction_times", "partial_data_preparation_times", "partial_prediction_times",
+               "partial_mape", "performance_data_preparation_times", "performance_model_training_times", "performance_mape"]
+
+
+def comparison_report(table: DataFrame) -> DataFrame:
+    """Smallest, largest and mean relative change of every column of ``table`` against its first one, rows counted from 0 in their order.
+
+    Comparison tables hold a few rows, one per case, so numbering them is one small sort.
+    """
+    reference, *compared = table.columns
+    row = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.monotonically_increasing_id())) - 1
+    numbered = table.withColumn("_row", row)
+    return relative_change_summary(relative_change(numbered, ["_row"], reference, compared), [], "_row", compared)
+
+
+# Averages by the kind of report.
+AVERAGES = {"metric": avg_quality_report, "prediction": avg_prediction_report, "comparison": comparison_report}

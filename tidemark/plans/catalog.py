@@ -119,9 +119,9 @@ def noise_reports(spark, sf_dir) -> DataFrame:
 
 
 def replay_setup(spark, sf_dir):
-    """Damaged close and open series, their tail-replay forecasts and the real validation values."""
+    """Real, damaged and repaired series, their tail-replay forecasts and the real validation values."""
     panel = S.with_border(long_bars(spark, sf_dir, once=True), N_VALID)
-    scen = materialize(S.scenario_panel(panel, mitigated=False), "scenarios")
+    scen = materialize(S.scenario_panel(panel), "scenarios")
     train = S.training(scen).select(*S.GROUP, "pos", "value")
     fits = forecast_panel(train, "tail_replay", F.col("delay") + N_VALID, S.GROUP)
     actual = S.validation(panel).select("series_id", "col", "step", "pos", "real")
@@ -155,7 +155,7 @@ def series_tail(spark, sf_dir):
 
 def train_split(spark, sf_dir):
     panel = S.with_border(long_bars(spark, sf_dir, once=True), N_VALID)
-    split = S.train_split(S.scenario_panel(panel, mitigated=False))
+    split = S.train_split(S.scenario_panel(panel))
     return split.select("series_id", "col", "source", "scale", "improve", "delay", pos64(), "role",
                         *rounded("value", digits=4))
 
@@ -205,7 +205,7 @@ def deviate_obsolete(spark, sf_dir):
 
 
 def scenario_panel(spark, sf_dir):
-    scen = S.scenario_panel(long_bars(spark, sf_dir, once=True), mitigated=False)
+    scen = S.scenario_panel(long_bars(spark, sf_dir, once=True))
     return scen.select("series_id", "col", pos64(), "dt", "source", "scale", "improve", "delay",
                        *rounded("real", "value", digits=4))
 
@@ -394,7 +394,7 @@ def forecast_align(spark, sf_dir):
 def forecast_eval(spark, sf_dir):
     _, _, rows, actual = replay_setup(spark, sf_dir)
     found = E.errors(E.forecast_align(rows, N_VALID), actual, S.GROUP)
-    return found.select(*S.GROUP, "n", "mape_n", *rounded("rmse", "mae", "mape", digits=4))
+    return found.select(*S.GROUP, "n", "n_expected", "mape_n", *rounded("rmse", "mae", "mape", digits=4))
 
 
 def forecast_eval_weighted(spark, sf_dir):
@@ -417,19 +417,14 @@ def forecast_overlay(spark, sf_dir):
 
 
 def avg_predictions(spark, sf_dir):
-    """Mean over repeated runs of the replay forecast next to the real values."""
-    panel = long_bars(spark, sf_dir, once=True)
-    keys = [*FIT_KEYS, "iteration"]
-    train = E.repeat_rows(real_training(panel, N_VALID), 3).select(*keys, "pos", "value")
-    rows = forecast_rows(forecast_panel(train, "tail_replay", N_VALID, keys), keys).filter(F.col("iteration") > 0)
-    actual = S.validation(S.with_border(panel, N_VALID))
-    found = E.avg_predictions(rows, actual, FIT_KEYS)
-    return found.select("series_id", "col", F.col("step").cast("bigint").alias("step"), *rounded("yhat", "real", digits=4))
+    """Mean over repeated runs of the replay forecast next to the real values, for every scenario."""
+    found = J.averaged_predictions(long_bars(spark, sf_dir, once=True), "tail_replay", iterations=3)
+    return found.select("series_id", "col", "source", "scale", "improve", F.col("step").cast("bigint").alias("step"), *rounded("yhat", "real", digits=4))
 
 
 def rolling_origin(spark, sf_dir):
     found = J.rolling_origin(bars_once(spark, sf_dir), "tail_replay", 50, 1515)
-    return found.select("series_id", F.col("shift").cast("bigint").alias("shift"), "n", *rounded("rmse", "mae", "mape", digits=4))
+    return found.select("series_id", F.col("shift").cast("bigint").alias("shift"), "n", *rounded("rmse", "mae", "mape", digits=4), "reason")
 
 
 ROLLING = {"shifts": (0, 25, 50, 400, 1500), "n": 1000}
@@ -491,11 +486,11 @@ def scenario_forecast(spark, sf_dir):
 
 
 def scenario_forecast_replay(spark, sf_dir):
-    """The same sweep with the replay forecast on all columns, for noise, its repair and staleness."""
+    """The same sweep with the replay forecast on all columns."""
     panel = long_bars(spark, sf_dir, once=True)
-    fits, actual = J.scenario_forecast(panel, "tail_replay", sources=["noise", "timeliness"])
+    fits, actual = J.scenario_forecast(panel, "tail_replay")
     found = J.scenario_errors(fits, actual, S.GROUP)
-    return found.select(*S.GROUP, "n", "mape_n", *rounded("rmse", "mae", "mape", digits=4))
+    return found.select(*S.GROUP, "n", "n_expected", "mape_n", *rounded("rmse", "mae", "mape", digits=4))
 
 
 def prediction_report(spark, sf_dir):

@@ -15,10 +15,10 @@ from tidemark.operators.deviate import deviate, deviate_wide
 from tidemark.operators.forecast import forecast_panel, forecast_rows
 from tidemark.operators.mitigate import MITIGATIONS, mitigated_partial, mitigation_time
 from tidemark.operators.panel import rolling_windows, unpivot
-from tidemark.operators.report import named
+from tidemark.operators.report import AVERAGES, COMPARISONS, named
 from tidemark.plans.scenarios import GROUP, scenario_panel, scenarios, training, validation, with_border
 from tidemark.session import materialize
-from tidemark.sources.bars import write_report, write_scenarios
+from tidemark.sources.bars import require_rows, write_report, write_scenarios
 
 REPORT = ["series_id", "source", "range", "scale", "improve", "score"]
 
@@ -107,9 +107,48 @@ def _longest_delay(range_: str, columns):
 
 
 def scenario_errors(fits: DataFrame, actual: DataFrame, keys: list[str], n_valid: int = N_VALID) -> DataFrame:
-    """Errors of every group of a forecast job."""
+    """Errors of every group of a forecast job. A group without a forecast keeps its row: no errors, ``n`` of 0, and the ``reason``."""
     aligned = E.forecast_align(forecast_rows(fits, keys), n_valid)
-    return E.errors(aligned, actual, keys)
+    found = E.errors(aligned, actual, keys).drop("n_expected")
+    expected = actual.groupBy("series_id", "col").agg(F.count(F.lit(1)).alias("n_expected"))
+    told = fits.select(*keys, F.col("error").alias("reason")).join(found, keys, "left").join(expected, ["series_id", "col"])
+    return told.fillna(0, ["n", "mape_n"])
+
+
+def averaged_predictions(panel: DataFrame, method: str, iterations: int = 3, n_valid: int = N_VALID, columns=None, range_: str = "all",
+                         **params) -> DataFrame:
+    """Mean over the runs of every scenario per step next to the real value; the first run warms up and does not count."""
+    fits, actual = scenario_forecast(panel, method, n_valid, range_, columns, iterations=iterations, **params)
+    keys = [*GROUP, "iteration"]
+    rows = E.forecast_align(forecast_rows(fits, keys), n_valid).filter(F.col("iteration") > 0)
+    return E.avg_predictions(rows, actual, GROUP)
+
+
+def save_predictions(panel: DataFrame, method: str, folder: str, columns=("close",), n_valid: int = N_VALID, **params) -> None:
+    """Averaged predictions as CSV, one directory per series and scenario: a column of forecasts and one of real values per attribute."""
+    found = averaged_predictions(panel, method, n_valid=n_valid, columns=list(columns), **params)
+    picked = [F.max(F.when(F.col("col") == c, F.col(v))).alias(name)
+              for c in sorted(columns) for v, name in (("yhat", c), ("real", f"{c} - real"))]
+    wide = found.groupBy("series_id", "source", "scale", "improve", "step").agg(*picked)
+    scale = F.when(F.col("scale") != "-", F.col("scale"))
+    repair = F.when(F.col("improve") == "Y", F.lit("repaired"))
+    stored = named(wide, F.col("series_id"), list(columns), F.lit(method), F.col("source"), scale, repair, F.lit(str(n_valid)))
+    ordered = stored.select("file_name", "step", *[name for c in sorted(columns) for name in (c, f"{c} - real")])
+    write_report(ordered.repartition("file_name").sortWithinPartitions("file_name", "step"), folder)
+
+
+def save_quality_reports(bars: DataFrame, folder: str, columns=None) -> None:
+    """Quality reports of all series as CSV, one directory per series and metric, rows in report order."""
+    report = quality_report(bars, columns)
+    stored = named(report, F.col("series_id"), [] if columns is None else list(columns), F.col("source"))
+    write_report(stored.select("file_name", "range", "scale", "improve", "score"), folder)
+
+
+def save_comparisons(spark, source: str, folder: str, names=COMPARISONS) -> None:
+    """Smallest, largest and mean relative change of every comparison table ``source/<name>.csv`` against its first column."""
+    for name in names:
+        table = spark.read.option("header", True).option("inferSchema", True).csv(f"{source}/{name}.csv")
+        write_report(AVERAGES["comparison"](require_rows(table, f"{source}/{name}.csv")).withColumn("file_name", F.lit(name)), f"{folder}/{name}")
 
 
 def prediction_report(panel: DataFrame, method: str, iterations: int = 3, n_valid: int = N_VALID, columns=None,
@@ -172,10 +211,12 @@ def save_prediction_reports(panel: DataFrame, method: str, folder: str, companie
 
 def rolling_origin(bars: DataFrame, method: str, shifts: int, n: int, n_valid: int = N_VALID, column: str = "close",
                    **params) -> DataFrame:
-    """Errors of one method on real values over windows that start at positions 0 .. ``shifts``."""
+    """Errors of one method on real values over windows that start at positions 0 .. ``shifts``; one that is not full is a row with a reason."""
     windows = rolling_windows(bars.select("series_id", "dt", "pos", F.col(column).alias("real")), shifts, n)
-    whole = windows.groupBy("series_id", "shift").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == n)
-    complete = windows.join(whole.drop("_n"), ["series_id", "shift"], "left_semi")
+    sizes = bars.groupBy("series_id").agg((F.max("pos") + 1).alias("rows"))
+    asked = sizes.withColumn("shift", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shifts).cast("long"))))
+    full = F.col("shift") + n <= F.col("rows")
+    complete = windows.join(asked.filter(full).select("series_id", "shift"), ["series_id", "shift"], "left_semi")
     border = n - n_valid
     keys = ["series_id", "shift"]
     train = complete.filter(F.col("pos") < border).select(*keys, "pos", "dt", F.col("real").alias("value"))
@@ -185,6 +226,9 @@ def rolling_origin(bars: DataFrame, method: str, shifts: int, n: int, n_valid: i
     actual = complete.filter(F.col("pos") >= border).select(*keys, (F.col("pos") - border + 1).alias("step"), "real")
     gap = F.col("yhat") - F.col("real")
     share = F.try_divide(F.abs(gap), F.nullif(F.abs("real"), F.lit(0.0)))
-    return rows.join(actual, [*keys, "step"]).groupBy(*keys).agg(
+    found = rows.join(actual, [*keys, "step"]).groupBy(*keys).agg(
         F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(F.abs(gap)).alias("mae"),
         (F.lit(100.0) * F.avg(share)).alias("mape"), F.count(F.lit(1)).alias("n"))
+    left = F.greatest(F.col("rows") - F.col("shift"), F.lit(0).cast("long"))
+    reason = F.when(~full, F.format_string(f"window of {n} rows, series has %d from there on", left)).when(F.col("n").isNull(), "no forecast")
+    return asked.join(found, keys, "left").select(*keys, "rmse", "mae", "mape", F.coalesce("n", F.lit(0).cast("long")).alias("n"), reason.alias("reason"))

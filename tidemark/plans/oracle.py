@@ -7,7 +7,6 @@ from tidemark.config import (
     SEED, PARTIAL_SEED, SOURCE_LABELS, SOURCE_SHORT, SOURCES, WEIGHTS, strengths,
 )
 from tidemark.plans.catalog import COMPARED, OUTAGE, ROLLING, ROLLING_STEPS, TICK_HORIZON, TICK_VALID, TYPE_PARTIAL
-from tidemark.plans.scenarios import scenarios
 
 BARS = """r AS (
   SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS dt, l_extendedprice AS px, l_discount AS dc,
@@ -137,16 +136,18 @@ stale AS (SELECT series_id, scale, {1 - stale!r}::DOUBLE * fresh + {stale!r}::DO
   FROM ages JOIN ages0 USING (series_id) WHERE scale <> 'now' GROUP BY series_id, scale, fresh)"""
 
 
-def scen_rows(n_valid: int = N_VALID, sources=tuple(SOURCES), smoothed: bool = False) -> str:
-    """Scenario rows, split at the border of their series; with smoothed noise rows if asked for."""
-    parts = [f"{damaged(s, 'all', s)}" for s in sources]
+def scen_rows(n_valid: int = N_VALID) -> str:
+    """Real, damaged and repaired rows of all scenarios, split at the border of their series."""
+    by = ["series_id", "col", "scale"]
+    parts = [damaged(s, "all", s) for s in SOURCES]
+    parts.append(kalman("SELECT series_id, col, scale, pos, value AS y FROM noise", by))
+    parts.append(spline("SELECT series_id, col, scale, pos, value FROM incompleteness", by))
     pick = " UNION ALL ".join(
         f"SELECT series_id, col, pos, dt, real, '{s}' AS source, scale, 'N' AS improve, "
-        f"CAST({'strength' if s == 'timeliness' else '0'} AS INTEGER) AS delay, value FROM {s}" for s in sources)
-    if smoothed:
-        parts.append(kalman("SELECT series_id, col, scale, pos, value AS y FROM noise", ["series_id", "col", "scale"]))
-        pick += (" UNION ALL SELECT k.series_id, k.col, k.pos, dt, real, 'noise', scale, 'Y', 0, ms "
-                 "FROM back k JOIN panel USING (series_id, col, pos)")
+        f"CAST({'strength' if s == 'timeliness' else '0'} AS INTEGER) AS delay, value FROM {s}" for s in SOURCES)
+    for source, rows, value in (("noise", "back", "ms"), ("incompleteness", "filled", "k.value")):
+        pick += (f" UNION ALL SELECT k.series_id, k.col, k.pos, dt, real, '{source}', scale, 'Y', 0, {value} "
+                 f"FROM {rows} k JOIN panel USING (series_id, col, pos)")
     return PANEL + ",\n" + ",\n".join(parts) + f""",
 scen AS (SELECT series_id, col, pos, dt, real, 'none' AS source, '-' AS scale, 'N' AS improve, 0 AS delay,
   real AS value FROM panel UNION ALL {pick}),
@@ -156,11 +157,21 @@ actual AS (SELECT series_id, col, CAST(pos - (n_rows - {n_valid}) + 1 AS INTEGER
   FROM panel JOIN sizes USING (series_id) WHERE pos >= n_rows - {n_valid})"""
 
 
+# Report order of the scenarios, spelled out.
+SCENARIO_ROWS = [
+    (1, "none", "-", "N"), (2, "noise", "slightly", "N"), (3, "noise", "slightly", "Y"), (4, "noise", "moderately", "N"),
+    (5, "noise", "moderately", "Y"), (6, "noise", "highly", "N"), (7, "noise", "highly", "Y"), (8, "incompleteness", "slightly", "N"),
+    (9, "incompleteness", "slightly", "Y"), (10, "incompleteness", "moderately", "N"), (11, "incompleteness", "moderately", "Y"),
+    (12, "incompleteness", "highly", "N"), (13, "incompleteness", "highly", "Y"), (14, "timeliness", "slightly", "N"),
+    (15, "timeliness", "moderately", "N"), (16, "timeliness", "highly", "N"),
+]
+
+
 GROUP = "series_id, col, source, scale, improve, delay"
 
 
-def replay(**choice) -> str:
-    return scen_rows(**choice) + f""",
+def replay() -> str:
+    return scen_rows() + f""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY {GROUP} ORDER BY pos DESC) AS rk FROM train),
 replay AS (SELECT {GROUP}, CAST(delay + {N_VALID} - rk + 1 AS INTEGER) AS step, value AS yhat FROM ranked
   WHERE rk <= delay + {N_VALID}),
@@ -357,7 +368,7 @@ def short(expr: str, mapping: dict) -> str:
 
 
 def lag_reports() -> str:
-    lags = ", ".join(f"lag(real, {n}) OVER (PARTITION BY series_id, col ORDER BY pos) AS lag_{n}" for n, *_ in scenarios())
+    lags = ", ".join(f"lag(real, {n}) OVER (PARTITION BY series_id, col ORDER BY pos) AS lag_{n}" for n, *_ in SCENARIO_ROWS)
     each = " UNION ALL ".join(
         f"""SELECT series_id || '_' || col || '_TailReplay_{N_VALID}' AS file_name, {n} AS num, '{SOURCE_SHORT[s]}' AS dev,
   '{SCALE_SHORT[c]}' AS scale, '{i}' AS improve,
@@ -366,7 +377,7 @@ def lag_reports() -> str:
   min(real) AS prepare_ms, max(real) AS fit_ms, round(max(real) - min(real), 2) AS predict_ms,
   sqrt(avg((real - lag_{n}) * (real - lag_{n}))) AS rmse, avg(abs(real - lag_{n})) AS mae,
   100.0 * avg(abs(real - lag_{n}) / nullif(abs(real), 0)) AS mape FROM lg GROUP BY series_id, col"""
-        for n, s, c, i in scenarios())
+        for n, s, c, i in SCENARIO_ROWS)
     return f"{TYPED},\nlg AS (SELECT *, {lags} FROM t),\nreports AS ({each})"
 
 
@@ -435,12 +446,12 @@ FROM st JOIN b USING (series_id) WHERE pos >= shift AND pos < shift + 1515"""
     sql["series_tail"] = f"""WITH {TICKS},
 k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pos DESC) AS rk FROM t)
 SELECT series_id, pos, event_id, real FROM k WHERE rk <= 10"""
-    sql["train_split"] = f"""WITH {scen_rows()}
+    sql["train_split"] = f"""WITH RECURSIVE {scen_rows()}
 SELECT series_id, col, source, scale, improve, delay, pos, 'train' AS role, round(value, 4) AS value FROM train
 UNION ALL
 SELECT s.series_id, col, source, scale, improve, delay, pos, 'validate', round(real, 4)
 FROM scen s JOIN sizes USING (series_id) WHERE pos >= n_rows - {N_VALID}"""
-    rows = values(scenarios(), ["num", "source", "scale", "improve"])
+    rows = values(SCENARIO_ROWS, ["num", "source", "scale", "improve"])
     sql["scenario_grid"] = f"""WITH {BARS}
 SELECT series_id, n_rows AS rows, num, source, scale, improve, {short('source', SOURCE_SHORT)} AS dev_short,
   {short('scale', SCALE_SHORT)} AS scale_short FROM sizes CROSS JOIN {rows}"""
@@ -459,7 +470,7 @@ SELECT series_id, col, rows, source, role FROM
 SELECT series_id, col, scale, CAST(delay AS INTEGER) AS delay, range, count(*) AS rows, max(dt) AS last_dt
 FROM panel JOIN sizes USING (series_id) JOIN g ON g_col = col WHERE pos < n_rows - delay
 GROUP BY series_id, col, scale, delay, range"""
-    sql["scenario_panel"] = f"""WITH {scen_rows()}
+    sql["scenario_panel"] = f"""WITH RECURSIVE {scen_rows()}
 SELECT series_id, col, pos, dt, source, scale, improve, delay, round(real, 4) AS real, round(value, 4) AS value FROM scen"""
 
     sql["row_ages"] = f"WITH {BARS}, {ages()} SELECT series_id, pos, scale, time_diff, round(age, 9) AS age_years FROM ages"
@@ -583,18 +594,18 @@ SELECT series_id, CAST(step AS INTEGER) AS step, round(v, 6) AS yhat FROM go"""
     sql["forecast_garch"] = garch(2, 2)
     sql["forecast_garch11"] = garch(1, 1)
     sql["forecast_garch_mean"] = garch(2, 2, simulate=False)
-    sql["tail_replay"] = f"WITH {replay()} SELECT {GROUP}, step, round(yhat, 4) AS yhat FROM replay"
-    sql["forecast_align"] = f"WITH {replay()} SELECT {GROUP}, step, round(yhat, 4) AS yhat FROM aligned"
-    sql["forecast_eval"] = f"""WITH {replay()}
-SELECT {GROUP}, n, mape_n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 4) AS mape FROM evals"""
-    sql["scenario_forecast_replay"] = f"""WITH RECURSIVE {replay(sources=('noise', 'timeliness'), smoothed=True)}
-SELECT {GROUP}, n, mape_n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 4) AS mape FROM evals"""
+    sql["tail_replay"] = f"WITH RECURSIVE {replay()} SELECT {GROUP}, step, round(yhat, 4) AS yhat FROM replay"
+    sql["forecast_align"] = f"WITH RECURSIVE {replay()} SELECT {GROUP}, step, round(yhat, 4) AS yhat FROM aligned"
+    sql["forecast_eval"] = f"""WITH RECURSIVE {replay()}
+SELECT {GROUP}, n, CAST({N_VALID} AS BIGINT) AS n_expected, mape_n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 4) AS mape FROM evals"""
+    sql["scenario_forecast_replay"] = f"""WITH RECURSIVE {replay()}
+SELECT {GROUP}, n, CAST({N_VALID} AS BIGINT) AS n_expected, mape_n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 4) AS mape FROM evals"""
     weights = values([(c, WEIGHTS[c] / TOTAL) for c in COLUMNS], ["g_col", "weight"])
-    sql["forecast_eval_weighted"] = f"""WITH {replay()}, g AS (SELECT * FROM {weights})
+    sql["forecast_eval_weighted"] = f"""WITH RECURSIVE {replay()}, g AS (SELECT * FROM {weights})
 SELECT series_id, source, scale, improve, round(sum(weight * rmse), 4) AS rmse, round(sum(weight * mae), 4) AS mae,
   round(sum(weight * mape), 4) AS mape FROM evals JOIN g ON g_col = col GROUP BY series_id, source, scale, improve"""
     stale = "source = 'timeliness' AND scale = 'moderately'"
-    sql["forecast_overlay"] = f"""WITH {replay()},
+    sql["forecast_overlay"] = f"""WITH RECURSIVE {replay()},
 e AS (SELECT series_id, min(last) AS train_end FROM (SELECT series_id, col, max(pos) AS last FROM train WHERE {stale}
   GROUP BY series_id, col) GROUP BY series_id)
 SELECT series_id, col, role, pos - 1300 AS x, train_end, round(value, 4) AS value FROM (
@@ -602,16 +613,19 @@ SELECT series_id, col, role, pos - 1300 AS x, train_end, round(value, 4) AS valu
   UNION ALL SELECT series_id, col, pos, value, 'training' FROM train WHERE {stale} AND pos >= 1300
   UNION ALL SELECT a.series_id, col, n_rows - {N_VALID} + step - 1, yhat, 'forecast' FROM aligned a JOIN sizes USING (series_id) WHERE {stale}
 ) JOIN e USING (series_id)"""
-    sql["avg_predictions"] = f"""WITH {PANEL}, v AS (SELECT p.*, n_rows - {N_VALID} AS border FROM panel p JOIN sizes USING (series_id))
-SELECT a.series_id, a.col, a.pos - a.border + 1 AS step, round(h.real, 4) AS yhat, round(a.real, 4) AS real
-FROM v a JOIN v h ON h.series_id = a.series_id AND h.col = a.col AND h.pos = a.pos - {N_VALID} WHERE a.pos >= a.border"""
+    sql["avg_predictions"] = f"""WITH RECURSIVE {replay()}
+SELECT series_id, col, source, scale, improve, CAST(step AS BIGINT) AS step, round(yhat, 4) AS yhat, round(real, 4) AS real
+FROM aligned JOIN actual USING (series_id, col, step)"""
     sql["rolling_origin"] = f"""WITH {BARS},
 s AS (SELECT series_id, shift FROM sizes CROSS JOIN (SELECT unnest(range(0, 51)) AS shift) WHERE n_rows >= shift + 1515),
 a AS (SELECT s.series_id, shift, b.pos AS p, b.close AS real FROM s JOIN b ON b.series_id = s.series_id
   AND b.pos >= shift + 1500 AND b.pos < shift + 1515)
 SELECT a.series_id, shift, count(*) AS n, round(sqrt(avg((h.close - real) * (h.close - real))), 4) AS rmse,
   round(avg(abs(h.close - real)), 4) AS mae, round(100.0 * avg(abs(h.close - real) / nullif(abs(real), 0)), 4) AS mape
-FROM a JOIN b h ON h.series_id = a.series_id AND h.pos = a.p - 15 GROUP BY a.series_id, shift"""
+  , CAST(NULL AS VARCHAR) AS reason
+FROM a JOIN b h ON h.series_id = a.series_id AND h.pos = a.p - 15 GROUP BY a.series_id, shift
+UNION ALL SELECT series_id, shift, 0, NULL, NULL, NULL, 'window of 1515 rows, series has ' || greatest(n_rows - shift, 0) || ' from there on'
+FROM sizes CROSS JOIN (SELECT unnest(range(0, 51)) AS shift) WHERE n_rows < shift + 1515"""
 
     sql["first_dates"] = f"WITH {BARS} SELECT series_id, min(dt) AS first_date FROM b GROUP BY series_id"
     sql["series_stats"] = f"""WITH {BARS} SELECT series_id AS name, min(close) AS min, max(close) AS max,
