@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from helpers import frame, long_panel, values_of
+from pyspark.sql import functions as F
 
 from tidemark.config import strengths
 from tidemark.operators import mitigate as M
@@ -107,3 +108,32 @@ def test_repair_time_is_positive(spark):
     for source in ("noise", "incompleteness"):
         found = M.mitigation_time(panel, source, KEYS).collect()
         assert len(found) == 2 and all(r["elapsed_ms"] > 0 for r in found)
+
+
+def test_spline_does_not_depend_on_chunks_beside_long_gaps(spark):
+    rng = np.random.default_rng(7)
+    y = list(rng.normal(0, 1, 700).cumsum() + 100)
+    y[150:420] = [None] * 270
+    late = [None] * 260 + list(rng.normal(0, 1, 60)) + [None] * 200
+    panel = long_panel(spark, {"a": y, "late": late, "none": [None] * 90, "three": [1, None, 2, None, 3]}, name="value")
+    whole = frame(M.mitigate_spline(panel, KEYS, size=2000), "series_id", "pos")
+    parts = frame(M.mitigate_spline(panel, KEYS, size=50), "series_id", "pos")
+    assert (whole["error"].isna() == parts["error"].isna()).all() and parts["error"].notna().sum() == 90 + 2
+    both = whole["value"].notna()
+    assert (both == parts["value"].notna()).all()
+    # Extrapolations over hundreds of rows grow with the third power, so they are held relatively.
+    assert np.allclose(whole["value"][both], parts["value"][both], rtol=1e-7, atol=1e-7)
+
+
+def test_rows_of_one_gap_are_spread_over_tasks(spark):
+    """A gap of most rows: the tasks that fill it hold about equal numbers of them."""
+    panel = spark.range(200_000).select(
+        F.lit("a").alias("series_id"), F.lit("close").alias("col"), F.col("id").cast("int").alias("pos"),
+        F.when((F.col("id") < 500) | (F.col("id") >= 199_500), F.sin(F.col("id") / 50.0)).alias("value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        filled = M.mitigate_spline(panel, KEYS, size=1000)
+        counts = [r["n"] for r in filled.groupBy(F.spark_partition_id().alias("part")).agg(F.count("value").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(counts) == 200_000 and len(counts) == 4 and max(counts) < 1.5 * np.median(counts)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tidemark.config import CHUNK_ROWS, LEVEL_VARIANCE, OBSERVATION_VARIANCE, SPLINE_HALO
 from tidemark.functions.types import DOUBLES, record
 from tidemark.operators.deviate import strength_of
-from tidemark.operators.panel import chunk_arrays, chunk_of, running_before, with_halo
+from tidemark.operators.panel import chunk_arrays, chunk_of, renumber, with_halo
 from tidemark.operators.scan import Monoid, scan
 
 
@@ -231,18 +231,49 @@ def mitigate_kalman(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS, c
                        damaged.alias("damaged"), *kept)
 
 
-def knot_positions(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
-    """Number the present values: ``knot`` is the last present value at or before a row (0 before the first).
+def knots_of(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
+    """Present values as knots, numbered without gaps: ``keys, knot, pos, value``."""
+    present = panel.filter(F.col("value").isNotNull()).select(*keys, "pos", "value", F.col("pos").alias("_at"))
+    return renumber(present, keys, size).select(*keys, F.col("pos").alias("knot"), F.col("_at").alias("pos"), "value")
 
-    Counts run inside a chunk and are lifted by the count of all earlier chunks. ``rows`` is the number of knots
-    of the series.
+
+def _compose_ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Last and first piece of neighbouring stretches, NaN where a stretch has none."""
+    half = a.shape[1] // 2
+    last = np.where(np.isnan(b[:, :half]), a[:, :half], b[:, :half])
+    return np.concatenate([last, np.where(np.isnan(a[:, half:]), b[:, half:], a[:, half:])], axis=1)
+
+
+PIECE = ["x", "y", "b", "c", "d"]
+ENDS = Monoid(np.full(2 * len(PIECE), np.nan), _compose_ends)
+
+
+def with_pieces(panel: DataFrame, curve: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
+    """Rows of ``panel`` with ``piece``, the polynomial of the last knot at or before a row, or of the first knot if there is none.
+
+    Pieces are carried forward inside a chunk and across chunks by a scan over one row per chunk. Nothing is joined on the knot, so
+    the rows of a gap of any length stay spread over their chunks.
     """
-    chunked = panel.withColumn("chunk", chunk_of("pos", size))
-    totals = chunked.groupBy(*keys, "chunk").agg(F.count("value").alias("_n"))
-    lifted = running_before(totals, keys, "_n", "_before").drop("_n")
-    inside = Window.partitionBy(*keys, "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    counted = chunked.withColumn("_in", F.count("value").over(inside)).join(lifted, [*keys, "chunk"])
-    return counted.withColumn("knot", F.greatest(F.col("_before") + F.col("_in") - 1, F.lit(0))).drop("_before", "_in")
+    piece = F.struct(*[F.col(c).cast("double").alias(c) for c in PIECE])
+    curve = curve.select(*keys, F.col("x").alias("pos"), piece.alias("piece"), F.lit(False).alias("_row"))
+    both = panel.withColumn("_row", F.lit(True)).unionByName(curve, allowMissingColumns=True).withColumn("chunk", chunk_of("pos", size))
+    at = F.when(F.col("piece").isNotNull(), F.col("pos"))
+    nan = F.array_repeat(F.lit(float("nan")), len(PIECE))
+
+    def numbers(found):
+        return F.coalesce(F.when(found.isNotNull(), F.array(*[found[c] for c in PIECE])), nan)
+    ends = both.groupBy(*keys, "chunk").agg(F.max_by("piece", at).alias("_last"), F.min_by("piece", at).alias("_first"))
+    around = scan(ends.select(*keys, "chunk", F.concat(numbers(F.col("_last")), numbers(F.col("_first"))).alias("element")), keys, ENDS, after=True)
+
+    def carried(name, start):
+        return F.when(~F.isnan(F.get(name, F.lit(start))), F.struct(*[F.get(name, F.lit(start + i)).alias(c) for i, c in enumerate(PIECE)]))
+    order = Window.partitionBy(*keys, "chunk").orderBy("pos", "_row")
+    inside = both.withColumns({
+        "_known": F.last("piece", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "_next": F.first("piece", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))}).filter("_row")
+    joined = inside.join(around, [*keys, "chunk"])
+    found = F.coalesce("_known", carried("before", 0), "_next", carried("after", len(PIECE)))
+    return joined.withColumn("piece", found).drop("_known", "_next", "_row", "before", "after", "chunk")
 
 
 def spline_coefficients(knots: DataFrame, keys: list[str], size: int = CHUNK_ROWS) -> DataFrame:
@@ -272,12 +303,12 @@ def mitigate_spline(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS, c
     Present values stay as they are, ``damaged`` is the value before. Both ends are extrapolated. With fewer than
     four present values the gaps stay null and ``error`` says why.
     """
-    numbered = knot_positions(panel.select(*keys, "pos", "value", *carry), keys, size)
-    knots = numbered.filter(F.col("value").isNotNull()).select(*keys, "knot", "pos", "value")
-    curve = spline_coefficients(knots, keys, size).drop("elapsed_ms")
-    joined = numbered.join(curve, [*keys, "knot"], "left")
-    t = (F.col("pos") - F.col("x")).cast("double")
-    filled = F.col("y") + t * (F.col("b") + t * (F.col("c") + t * F.col("d")))
+    rows = panel.select(*keys, "pos", "value", *carry)
+    curve = spline_coefficients(knots_of(rows, keys, size), keys, size).drop("elapsed_ms")
+    joined = with_pieces(rows, curve, keys, size)
+    piece = F.col("piece")
+    t = F.col("pos").cast("double") - piece["x"]
+    filled = piece["y"] + t * (piece["b"] + t * (piece["c"] + t * piece["d"]))
     value = F.coalesce(F.col("value"), filled)
     error = F.when(value.isNull(), F.lit("fewer than 4 present values"))
     return joined.select(*keys, "pos", value.alias("value"), F.col("value").alias("damaged"), error.alias("error"),
@@ -294,9 +325,7 @@ def mitigation_time(panel: DataFrame, source: str, keys: list[str], size: int =
         both = F.col("first.elapsed_ms") + F.col("fit.elapsed_ms")
         fits = smooth_groups(panel, keys, size).select(*keys, both.alias("elapsed_ms"))
     else:
-        numbered = knot_positions(panel.select(*keys, "pos", "value"), keys, size)
-        knots = numbered.filter(F.col("value").isNotNull()).select(*keys, "knot", "pos", "value")
-        fits = spline_coefficients(knots, keys, size).select(*keys, "elapsed_ms")
+        fits = spline_coefficients(knots_of(panel, keys, size), keys, size).select(*keys, "elapsed_ms")
     return fits.groupBy(*keys).agg(F.sum("elapsed_ms").alias("elapsed_ms"))
 
 
