@@ -83,3 +83,42 @@ def test_pivot_inverts_unpivot(spark, sf):
     bars = C.bars(spark, sf)
     back = P.pivot(P.unpivot(bars)).select(*bars.columns)
     assert back.exceptAll(bars).count() == 0 and bars.exceptAll(back).count() == 0
+
+
+def test_windows_from_any_table_of_dates(spark):
+    from datetime import date, timedelta
+
+    import numpy as np
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(4)
+    day = date(2020, 1, 1)
+    rows = {s: sorted({day + timedelta(int(d)) for d in rng.integers(0, span, count)}) for s, span, count in (("a", 900, 200), ("b", 90, 40), ("c", 3000, 12))}
+    bars = spark.createDataFrame([(s, d, float(i)) for s, ds in rows.items() for i, d in enumerate(ds)], "series_id string, dt date, close double")
+    asked = [(s, k, day + timedelta(int(x))) for s in (*rows, "none") for k, x in enumerate(rng.integers(-300, 1100, 25))] + [("a", 99, rows["a"][5])]
+    starts = spark.createDataFrame(asked, "series_id string, shift int, start_dt date")
+    cut = P.slice_window(bars, starts, 30)
+    got = {}
+    for r in cut.collect():
+        got.setdefault((r["series_id"], r["shift"]), []).append(r)
+    assert len(got) == len(asked)
+    for s, k, start in asked:
+        want = [d for d in rows.get(s, []) if d >= start][:30]
+        found = sorted(got[s, k], key=lambda r: -1 if r["pos"] is None else r["pos"])
+        if not want:
+            assert len(found) == 1 and found[0]["dt"] is None and not found[0]["complete"] and not found[0]["found"]
+            continue
+        assert [r["dt"] for r in found] == want and [r["pos"] for r in found] == list(range(len(want)))
+        assert {r["complete"] for r in found} == {len(want) == 30} and {r["found"] for r in found} == {start in want}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = P._rows_from(bars, starts, 30)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert len(joins) == 2 and all("_bin" in line for line in joins)
+
+
+def test_limit_of_a_slice_holds_before_the_shuffle(spark):
+    bars = spark.range(100).selectExpr("cast(id % 3 as string) as series_id", "date_add(date '2020-01-01', cast(id as int)) as dt", "double(id) as close")
+    plan = P.slice_window(bars, "2020-01-05", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

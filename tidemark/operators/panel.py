@@ -110,28 +110,54 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], size: int = CHUNK_R
     return df.join(spread, [*keys, "chunk"], "left")
 
 
+# Days of one date bin: a bin of daily bars holds a few dozen rows of a series.
+BIN_DAYS = 64
+
+
+def _bin(day) -> Column:
+    return F.floor(F.unix_date(day) / F.lit(BIN_DAYS)).cast("bigint")
+
+
+def _rows_from(bars: DataFrame, starts: DataFrame, n: int) -> DataFrame:
+    """Rows of the ``n`` positions from each start date on, with ``pos`` and ``found``.
+
+    A row answers for the dates since the row before it, so each start meets one row: both are bucketed by date bin and joined on
+    series and bin. A window is then one or two bins of ``n`` positions, joined on series and bin as well. No join is on the series alone.
+    """
+    keys = [c for c in starts.columns if c != "start_dt"]
+    earliest = starts.agg(F.min("start_dt")).first()[0]
+    by_date = Window.partitionBy("series_id").orderBy("dt")
+    numbered = bars.withColumns({"_at": (F.row_number().over(by_date) - 1).cast("bigint"), "_prev": F.lag("dt").over(by_date)})
+    since = F.coalesce(_bin(F.date_add("_prev", 1)), F.least(_bin(F.lit(earliest).cast("date")), _bin(F.col("dt"))))
+    covers = numbered.select("series_id", F.col("dt").alias("_dt"), "_prev", "_at", F.explode(F.sequence(since, _bin(F.col("dt")))).alias("_bin"))
+    met = starts.withColumn("_bin", _bin(F.col("start_dt"))).join(covers, ["series_id", "_bin"]).filter(
+        (F.col("start_dt") <= F.col("_dt")) & (F.col("_prev").isNull() | (F.col("_prev") < F.col("start_dt"))))
+    first, last = F.col("_first"), F.col("_first") + (n - 1)
+    windows = met.select(*keys, F.col("_at").alias("_first"), (F.col("_dt") == F.col("start_dt")).alias("found")).withColumn(
+        "_bin", F.explode(F.sequence(chunk_of(first, n), chunk_of(last, n))))
+    binned = numbered.drop("_prev", *[c for c in ("pos",) if c in bars.columns]).withColumn("_bin", chunk_of("_at", n))
+    inside = binned.join(windows, ["series_id", "_bin"]).filter((F.col("_at") >= first) & (F.col("_at") <= last))
+    return inside.withColumn("pos", (F.col("_at") - first).cast("int")).drop("_at", "_first", "_bin")
+
+
 def slice_window(bars: DataFrame, start, n: int) -> DataFrame:
     """Cut ``n`` rows per series from its start date on; ``pos`` restarts at 0.
 
     ``start`` is one date for all series, which is then filtered in the scan, or a DataFrame
-    ``series_id, start_dt [, shift]``. ``found`` tells whether a series has a row on its start date, ``complete``
+    ``series_id, start_dt [, shift]`` of any dates. ``found`` tells whether a series has a row on its start date, ``complete``
     whether it had all ``n`` rows. A series with no row from the start date on is kept as one empty row.
     """
-    if not isinstance(start, DataFrame):
-        starts = bars.select("series_id").distinct().withColumn("start_dt", F.lit(start).cast("date"))
-        later = bars.filter(F.col("dt") >= F.lit(start).cast("date")).withColumn("start_dt", F.lit(start).cast("date"))
+    if isinstance(start, DataFrame):
+        starts, keys = start, [c for c in start.columns if c != "start_dt"]
+        cut = _rows_from(bars, starts, n)
     else:
-        starts = start
-        later = bars.join(starts, "series_id").filter(F.col("dt") >= F.col("start_dt"))
-    keys = [c for c in starts.columns if c != "start_dt"]
-    ordered, whole = Window.partitionBy(*keys).orderBy("dt"), Window.partitionBy(*keys)
-    cut = (
-        later.withColumn("pos", F.row_number().over(ordered) - 1)
-        .filter(F.col("pos") < n)
-        .withColumn("complete", F.count(F.lit(1)).over(whole) == n)
-        .withColumn("found", F.min("dt").over(whole) == F.col("start_dt"))
-        .drop("start_dt")
-    )
+        starts, keys = bars.select("series_id").distinct().withColumn("start_dt", F.lit(start).cast("date")), ["series_id"]
+        # The limit stands on the rank itself, so that it holds before the shuffle too.
+        ordered = Window.partitionBy(*keys).orderBy("dt")
+        later = bars.filter(F.col("dt") >= F.lit(start).cast("date")).withColumn("_rank", F.row_number().over(ordered)).filter(F.col("_rank") <= n)
+        cut = later.withColumn("pos", F.col("_rank") - 1).drop("_rank").withColumn(
+            "found", F.min("dt").over(Window.partitionBy(*keys)) == F.lit(start).cast("date"))
+    cut = cut.withColumn("complete", F.count(F.lit(1)).over(Window.partitionBy(*keys)) == n)
     no = F.lit(False)
     joined = starts.drop("start_dt").join(cut, keys, "left")
     return joined.withColumn("complete", F.coalesce("complete", no)).withColumn("found", F.coalesce("found", no))
