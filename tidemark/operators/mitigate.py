@@ -21,6 +21,7 @@ from tidemark.functions.types import DOUBLES, record
 from tidemark.operators.deviate import strength_of
 from tidemark.operators.panel import chunk_arrays, chunk_of, renumber, with_halo
 from tidemark.operators.scan import Monoid, scan
+from tidemark.session import materialize
 
 
 def padded(arrays: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -267,10 +268,10 @@ def with_pieces(panel: DataFrame, curve: DataFrame, keys: list[str], size: int =
 
     def carried(name, start):
         return F.when(~F.isnan(F.get(name, F.lit(start))), F.struct(*[F.get(name, F.lit(start + i)).alias(c) for i, c in enumerate(PIECE)]))
-    order = Window.partitionBy(*keys, "chunk").orderBy("pos", "_row")
-    inside = both.withColumns({
-        "_known": F.last("piece", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "_next": F.first("piece", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))}).filter("_row")
+    # A row before all knots of its chunk takes the first of them, if no earlier chunk has one: a frame to the end would be quadratic.
+    mine = Window.partitionBy(*keys, "chunk")
+    so_far = mine.orderBy("pos", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumns({"_known": F.last("piece", ignorenulls=True).over(so_far), "_next": F.min_by("piece", at).over(mine)}).filter("_row")
     joined = inside.join(around, [*keys, "chunk"])
     found = F.coalesce("_known", carried("before", 0), "_next", carried("after", len(PIECE)))
     return joined.withColumn("piece", found).drop("_known", "_next", "_row", "before", "after", "chunk")
@@ -304,7 +305,8 @@ def mitigate_spline(panel: DataFrame, keys: list[str], size: int = CHUNK_ROWS, c
     four present values the gaps stay null and ``error`` says why.
     """
     rows = panel.select(*keys, "pos", "value", *carry)
-    curve = spline_coefficients(knots_of(rows, keys, size), keys, size).drop("elapsed_ms")
+    # Read twice below, by rows and by chunks: written once.
+    curve = materialize(spline_coefficients(knots_of(rows, keys, size), keys, size).drop("elapsed_ms"), "curve")
     joined = with_pieces(rows, curve, keys, size)
     piece = F.col("piece")
     t = F.col("pos").cast("double") - piece["x"]

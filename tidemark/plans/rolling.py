@@ -34,8 +34,9 @@ def sliding_bounds(panel: DataFrame, keys: list[str], n: int, value: str = "real
     the next, so it costs two look-ups whatever ``n`` is.
     """
     blocked = panel.select(*keys, "pos", value).withColumn("_block", chunk_of("pos", n))
+    # Both frames grow by one row at a time, the second one from the end: a frame from a row to the end would be quadratic.
     up = Window.partitionBy(*keys, "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys, "_block").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy(*keys, "_block").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ranged = blocked.select(*keys, F.col("pos").cast("bigint").alias("pos"), *[f(value).over(w).alias(f"_{f.__name__}_{name}") for f in (F.min, F.max) for name, w in (("up", up), ("down", down))])
     ends = ranged.select(*keys, (F.col("pos") - (n - 1)).alias("shift"), F.col("_min_up").alias("_lo"), F.col("_max_up").alias("_hi"))
     starts = ranged.select(*keys, F.col("pos").alias("shift"), "_min_down", "_max_down")
