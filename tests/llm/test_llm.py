@@ -209,6 +209,48 @@ def test_spans_of_long_sentences_other_marks_and_whole_texts(spark):
     assert spans.sentences("...so it is .5 now. 好。！?好") == ["...so it is .5 now. ", "好。！?", "好"]
 
 
+def test_spans_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(spans, "CHARS", 2000)
+    monkeypatch.setattr(spans, "UNITS", 50)
+    rng = np.random.default_rng(31)
+    pool = [prose(rng, int(n)) + "." for n in rng.integers(3, 40, 30)]
+    rows = [(int(i), " ".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(0, 9)))) for i in rng.permutation(60)]
+    rows += [(100, " ".join(pool * 20)), (101, ""), (102, "  \n"), (103, "short"), (104, "Short"), rows[3]]
+    seen: dict[tuple, list] = {}
+    own = {}
+    for i, t in set(rows):
+        words = [w for _, w in spans.units(t)]
+        ok = lambda a, b: b - a >= 2 and sum(map(len, words[a:b])) >= 20  # noqa: B023, E731
+        whole = [(a, b) for a in range(len(words)) for b in range(a + 1, min(len(words), a + 25) + 1) if ok(a, b)]
+        places = [(a, b) for a, b in whole if not ok(a, b - 1) or not ok(a + 1, b)] or [(0, len(words))] * bool(sum(map(len, words)))
+        own[i, t] = len(words)
+        for a, b in places:
+            seen.setdefault(tuple(map(tuple, words[a:b])), []).append((i, t, a, b))
+    gone: dict[tuple, set] = {}
+    for found in seen.values():
+        first = min(found, key=lambda f: (f[0], f[2]))
+        for i, t, a, b in found:
+            if (i, a) != (first[0], first[2]):
+                gone.setdefault((i, t), set()).update(range(a, b))
+    got = spans.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and gone
+    for r in got:
+        t = dict(rows)[r["doc_id"]]
+        assert (r["n_sentences"], r["n_removed"]) == (own[r["doc_id"], t], len(gone.get((r["doc_id"], t), ())))
+        assert r["text"] == "".join(p for k, (p, _) in enumerate(spans.units(t)) if k not in gone.get((r["doc_id"], t), ()))
+
+
+def test_spans_keep_columns_of_any_name(spark):
+    names = ["key", "mark", "gone", "row", "n", "span", "first", "n_removed", "Mark_"]
+    rows = [(i, "One passage. " * 12 + str(i), *[f"{c}{i}" for c in names]) for i in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = spans.drop_repeats(docs)
+    kept = [c for c in names if c != "n_removed"]
+    assert got.columns == ["doc_id", "text", *kept, "first_docs", "n_sentences", "n_removed"]
+    assert {tuple(r[c] for c in kept) for r in got.collect()} == {tuple(f"{c}{i}" for c in kept) for i in range(3)}
+    assert spans.drop_repeats(docs.limit(0)).count() == 0
+
+
 def test_chat_round_trip(spark):
     odd = ["<|turn|>", "\\<|end|>", "<\\|text|>", "</s>[INST] ok [/INST]", "[\\INST]", "\\\\", "<", "é\n<|part|>", "", None, "[", "<<SYS>>"]
     rows = [(c, t, r, odd[(c * 5 + t) % len(odd)]) for c in range(12) for t, r in enumerate(["system", "user", "user", "assistant", "assistant", "user<|"])]

@@ -30,3 +30,11 @@ def spread(df: DataFrame, *keys) -> DataFrame:
 def row_key() -> Column:
     """Hash of id and text: repeated rows share it; rows without an id, or with the same id, and different texts don't."""
     return F.xxhash64("doc_id", F.col("doc_id").isNull(), F.col("text").cast("string"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
