@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ ENDS = frozenset(MARKS)
 SENTENCE = re.compile(rf"[^.!?\n{MARKS}]*(?:[{MARKS}]+[.!?{MARKS}]*\s*|[.!?]+(?=\s|$)\s*|[.!?]+|\n\s*|$)")
 #: Scripts without blanks between words: every character counts as one.
 DENSE = "฀-໿ༀ-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+ONE = re.compile(rf"[{DENSE}]")
 WORD = re.compile(rf"[{DENSE}]|[^\s{DENSE}]+")
 
 
@@ -53,8 +55,9 @@ def sentences(text: str) -> list[str]:
     return pieces
 
 
-def words_of(piece: str) -> list[str]:
-    return piece.lower().split() if piece.isascii() else [w.lower() for w in WORD.findall(piece)]
+def words_of(pieces: list[str]) -> list[list[str]]:
+    """The words of each piece in lower case; where no script is dense, they are what white space parts."""
+    return [WORD.findall(p.lower()) if not p.isascii() and ONE.search(p) else p.lower().split() for p in pieces]
 
 
 @lru_cache(maxsize=1)
@@ -64,7 +67,10 @@ def _known() -> dict[str, int]:
 
 def word_hashes(words: list[str]) -> np.ndarray:
     known = _known()
-    new = set(words).difference(known)
+    try:
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    except KeyError:
+        new = set(words).difference(known)
     if len(known) + len(new) > CACHE:
         known.clear()
         new = set(words)
@@ -86,10 +92,17 @@ def inner_cuts(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
     return cuts[inside], owner[at][inside]
 
 
+def word_starts(piece: str, words: int) -> list[int]:
+    parts, bare = piece.split(), piece.strip()
+    if len(parts) == words and sum(map(len, parts)) + words - 1 == len(bare):  # single blanks everywhere
+        return list(accumulate((len(w) + 1 for w in parts[:-1]), initial=len(piece) - len(piece.lstrip())))
+    return [m.start() for m in WORD.finditer(piece)]
+
+
 def units(text: str) -> list[tuple[str, list[str]]]:
     """Pieces that join to the text again, each with its words in lower case: short sentences, and parts of long ones."""
     pieces = sentences(text)
-    words = [words_of(p) for p in pieces]
+    words = words_of(pieces)
     sizes = np.array([len(w) for w in words], np.int64)
     starts = np.cumsum(sizes) - sizes
     cuts, owner = inner_cuts(word_hashes([w for own in words for w in own]), starts, sizes)
@@ -101,7 +114,7 @@ def units(text: str) -> list[tuple[str, list[str]]]:
         if k not in inner:
             found.append((piece, own))
             continue
-        at = [m.start() for m in WORD.finditer(piece)]
+        at = word_starts(piece, len(own))
         bounds = [0, *inner[k], len(own)]
         for lo, hi in zip(bounds, bounds[1:]):
             found.append((piece[at[lo] if lo else 0:at[hi] if hi < len(own) else len(piece)], own[lo:hi]))
@@ -126,7 +139,7 @@ def sequence_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: in
 
 def unit_digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A digest and the number of words of each unit of all ``texts``, and the number of units of each text."""
-    parts = [[words_of(p) for p in sentences(t)] for t in texts]
+    parts = [words_of(sentences(t)) for t in texts]
     sizes = np.array([len(w) for own in parts for w in own], np.int64)
     starts = np.cumsum(sizes) - sizes
     hashes = word_hashes([w for own in parts for piece in own for w in piece])
@@ -215,12 +228,13 @@ def drop_repeats(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) ->
     table = materialize(unit_table(kept), "spans-units")
     # The count combines before the shuffle, so a frequent span is one row a task.
     twice = materialize(spans(table, least, words, False).groupBy("span").count().where("count > 1").select("span"), "spans-twice")
-    # Repeated spans grow with the corpus, so they are never broadcast; a span that holds many rows is split by the join.
+    # Repeated spans grow with the corpus, so they are not broadcast; a span that holds many rows is split by the join.
     again = materialize(spans(table, least, words, True).join(twice.hint("merge"), "span", "left_semi"), "spans-again")
     again = again.join(table.select("id", "doc_id", "row"), "id")
     place = F.struct("doc_id", "row", "at")
     first = again.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.where(~F.col("first").eqNullSafe(F.col("last"))).select("span", "first")
+    # Written, so that the join stands between two shuffles of its own and a span that holds many rows is split there as well.
+    first = materialize(first.where(~F.col("first").eqNullSafe(F.col("last"))).select("span", "first"), "spans-first")
     later = again.join(first, "span").where(~F.col("first").eqNullSafe(place))
     found = table.select("row", "n").unionByName(
         later.select("row", F.col("at").alias("gone"), F.struct(F.col("first.doc_id").alias("doc_id")).alias("by")), allowMissingColumns=True)
