@@ -322,8 +322,9 @@ def forecast_arima(train: DataFrame, keys: list[str], horizon, order: tuple | No
                    size: int = CHUNK_ROWS) -> DataFrame:
     """Forecast with the best (p, d, q) per group, or with a fixed ``order``.
 
-    Refitting after every step on one's own predictions does not change a least-squares fit (those rows have zero
-    residual), so a rolling forecast at fixed order is this same recursion.
+    Refitting a pure autoregression on its own predictions does not change its least-squares fit (those rows have zero
+    residual), so its rolling forecast is this same recursion. With moving-average terms a refit would change the fit;
+    a rolling forecast is then a recursion at fixed coefficients.
     """
     if order is None:
         orders = [(p, q) for p in range(max_p + 1) for q in range(max_q + 1) if p + q <= max_order]
