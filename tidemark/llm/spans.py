@@ -229,8 +229,8 @@ def drop_repeats(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) ->
     # The count combines before the shuffle, so a frequent span is one row a task.
     twice = materialize(spans(table, least, words, False).groupBy("span").count().where("count > 1").select("span"), "spans-twice")
     # Repeated spans grow with the corpus, so they are not broadcast; a span that holds many rows is split by the join.
-    again = materialize(spans(table, least, words, True).join(twice.hint("merge"), "span", "left_semi"), "spans-again")
-    again = again.join(table.select("id", "doc_id", "row"), "id")
+    again = spans(table, least, words, True).join(twice.hint("merge"), "span", "left_semi")
+    again = materialize(again.join(table.select("id", "doc_id", "row"), "id").drop("id"), "spans-again")
     place = F.struct("doc_id", "row", "at")
     first = again.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # Written, so that the join stands between two shuffles of its own and a span that holds many rows is split there as well.
