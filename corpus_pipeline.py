@@ -38,7 +38,8 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row by id, then hash of the text, of each group of near-duplicates; rows are told apart by number, whatever their ids.
 
-    Near-duplicates have a Jaccard similarity of 0.8 or more over five-word shingles, which fingerprints of op8 don't find (see ``near``).
+    Near-duplicates have a Jaccard similarity of 0.8 or more over five-word shingles. SimHash fingerprints of these find those that differ
+    in 2 bits or fewer, bands those that differ in more (see ``near``).
     """
     rows = numbered(docs, "simhash")
     found = near.groups(rows)
@@ -62,7 +63,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup), ("decontamination", decontamination), ("packing", pack)]
 
-#: MinHash, suffix automata, XXH64 and the genetic packing have no SQL form; tests hold the stages against brute force.
+#: SimHash, MinHash, suffix automata, XXH64 and the genetic packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

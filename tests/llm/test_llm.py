@@ -434,5 +434,17 @@ def test_near_documents_match_brute_force(spark, sf, monkeypatch, chars):
     assert kept == sorted(set(root)) and len(kept) < len(texts) - 10
 
 
+def test_simhash_stage_finds_close_texts_by_fingerprints(spark, sf, monkeypatch):
+    # Without bands only fingerprints are left to find what differs in a word or two; the exact similarity still decides.
+    monkeypatch.setattr(near, "band_keys", lambda grams: [])
+    rng = np.random.default_rng(23)
+    base = [prose(rng, 6000) for _ in range(6)]
+    texts = [t for b in base for t in (b, b + " end", "first " + b)]
+    prints = [simhash.majority(near.shingles(t.lower().split())) for t in texts]
+    assert max((prints[i] ^ prints[i - i % 3]).bit_count() for i in range(len(texts))) <= 2
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, sf).collect()) == list(range(0, 18, 3))
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -239,13 +239,17 @@ def line_groups(lines: DataFrame, least: float = SIMILARITY, block: int = BLOCK)
     return linked(crowded, texts, least, None, similar_links, "lines", block)
 
 
-def linked(crowded: DataFrame, texts: DataFrame, least: float, chars: int | None, similar, name: str, block: int = BLOCK) -> DataFrame:
-    """``(node, root)`` of what ``similar`` links among the ids of ``texts(id, line)`` that share a key of ``crowded(key, id)``."""
+def linked(crowded: DataFrame, texts: DataFrame, least: float, chars: int | None, similar, name: str, block: int = BLOCK,
+           known: DataFrame | None = None) -> DataFrame:
+    """``(node, root)`` of what ``similar`` links among the ids of ``texts(id, line)`` that share a key of ``crowded(key, id)``.
+
+    ``known`` links ``(a, b)`` join in.
+    """
     lows = crowded.groupBy("key").agg(F.min("id").alias("low"))
     nearest = crowded.join(lows, "key").groupBy("id").agg(F.min("low").alias("gid"))
     clusters = nearest.select("gid", "id").unionByName(nearest.select("gid", F.col("gid").alias("id"))).distinct()
     first = materialize(_verified(clusters, texts, least, block, similar, chars), f"{name}-links")
-    settled = materialize(components(first, f"{name}-first"), f"{name}-settled")
+    settled = materialize(components(first if known is None else first.unionByName(known), f"{name}-first"), f"{name}-settled")
     rooted = crowded.join(settled, crowded["id"] == settled["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     # Keys of the same lines get the same group, which is verified once.
     same = F.xxhash64(F.bit_xor(F.xxhash64("id")), F.min("id"), F.max("id"), F.count("*")).alias("gid")

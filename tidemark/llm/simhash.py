@@ -25,6 +25,15 @@ CROWD = 4096
 HASHES = 1 << 18
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of unsigned 64-bit hashes: a bit is 1 if set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), HASHES):
+        part = hashes[lo:lo + HASHES].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     words = text.lower().split()
     if not words:
@@ -36,11 +45,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     starts = np.concatenate([[0], ends[:-shingle] + 1]).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1:].tolist())), np.uint64, len(starts))
-    counts = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), HASHES):
-        part = hashes[lo:lo + HASHES].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
