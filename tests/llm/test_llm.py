@@ -184,6 +184,27 @@ def test_nearest_recall_of_different_norms(spark, sigma):
     assert len(data) >= 2000 and hits / (len(found) * 20) >= 0.9
 
 
+@pytest.mark.parametrize("wanted", [1, 700, 1e9])
+def test_walk_is_the_order_of_all_pairs(wanted):
+    rng = np.random.default_rng(31)
+    first, second, counts = rng.random(9), rng.random(7), rng.integers(0, 30, (9, 7))
+    bound, held = multiindex.walk(first, second, counts, wanted), 0
+    for d, n in sorted((first[i] + second[j], counts[i, j]) for i in range(9) for j in range(7) if counts[i, j]):
+        if held < wanted:
+            last, held = d, held + n
+    assert bound == last
+
+
+def test_nearest_in_small_blocks_are_the_same(spark, monkeypatch):
+    data = np.random.default_rng(32).normal(size=(400, 8))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(data.tolist())], "vec_id long, embedding array<double>")
+    found = [sorted(map(tuple, multiindex.search(table, queries.F.col("vec_id") % 20 == 0).collect()))]
+    monkeypatch.setattr(multiindex, "ASKED", 6)
+    monkeypatch.setattr(multiindex, "BLOCK", 30)
+    found.append(sorted(map(tuple, multiindex.search(table, queries.F.col("vec_id") % 20 == 0).collect())))
+    assert found[0] == found[1] and len(found[0]) == 400
+
+
 def test_sentence_spans(spark):
     shared = "First of all the passage has many words in it. Then it goes on with a second sentence here. At last a third sentence ends it all."
     rows = [(1, f"Own start here. {shared} Own end of one."), (2, f"Other start now. {shared}\nOther end."), (3, shared), (4, "Clean. Text."), (None, None), (5, ""), (3, shared)]

@@ -1,15 +1,15 @@
 """Nearest neighbours by largest inner product over an inverted multi-index (Babenko and Lempitsky 2012).
 
 Both halves of the vectors are quantised separately; a cell is a pair of centroids. A query walks the pairs in order of the
-summed distance of its halves with a heap until the cells hold the wanted share of the entries, and their entries are
-ranked by the exact product. Cells are ordered by distance, so before quantising the inner product is made one: each entry gets
+summed distance of its halves until the cells hold the wanted share of the entries, and their entries are
+ranked by the exact product. Lists of first centroids lie side by side in blocks, and a query goes, with its bound, once to each block
+that has a list within it. Cells are ordered by distance, so before quantising the inner product is made one: each entry gets
 ``sqrt(M^2 - |x|^2)`` as one more component, ``M`` the largest norm of all entries, and a query gets 0. Then the squared distance is
 ``|q|^2 + M^2 - 2qx``, and long vectors are near, as they should be. Equal vectors are one entry with its smallest ids, which is all that a result can need of them.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 SAMPLE = 16_384
-BLOCK = 8192
+#: Entries and queries that meet in one group.
+BLOCK, ASKED = 4096, 16_384
 
 
 def centroids(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -47,21 +48,21 @@ def extended(rows: np.ndarray, scale: float, most: float) -> np.ndarray:
     return np.hstack([rows, np.sqrt(np.maximum(most - (rows ** 2).sum(1), 0))[:, None]])
 
 
-def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: float) -> list[tuple[int, int]]:
-    """Pairs in order of ``first[i] + second[j]`` until their cells hold ``wanted`` entries (multi-sequence algorithm)."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen, pairs, held = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, [], 0
-    while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        n = counts[a[i], b[j]]
-        if n:
-            pairs.append((int(a[i]), int(b[j])))
-            held += int(n)
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (first[a[x]] + second[b[y]], x, y))
-    return pairs
+def halves(q: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of both halves of a query from the centroids."""
+    half = first.shape[1]
+    return ((first - q[:half]) ** 2).sum(1), ((second - q[half:]) ** 2).sum(1)
+
+
+def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: float) -> float:
+    """How far a walk over the pairs in order of ``first[i] + second[j]`` goes until their cells hold ``wanted`` entries.
+
+    The order of a multi-sequence walk, from one sort of all sums: for a share of most entries a heap would visit most pairs one by one.
+    """
+    sums = (first[:, None] + second[None, :])[counts > 0]
+    order = np.argsort(sums)
+    held = np.cumsum(counts[counts > 0][order])
+    return float(sums[order[min(np.searchsorted(held, wanted), len(order) - 1)]])
 
 
 def _entries(vectors: DataFrame, ids: int) -> tuple[DataFrame, DataFrame]:
@@ -112,46 +113,57 @@ def search(vectors: DataFrame, is_query, k: int = 20, share: float = 0.6, cells:
     counts = np.zeros((len(first), len(second)), np.int64)
     for r in placed.groupBy("c1", "c2").count().head(counts.size):
         counts[r["c1"], r["c2"]] = r["count"]
-    blocks = -(-counts.sum(1) // BLOCK)
+    # A long list has blocks of its own, short ones share a block.
+    blocks, base = np.maximum(-(-counts.sum(1) // BLOCK), 1), np.zeros(len(first), np.int64)
+    at, room = -1, 0
+    for i, (here, own) in enumerate(zip(counts.sum(1).tolist(), blocks.tolist())):
+        if here > room:
+            at, room = at + 1, BLOCK * own
+        base[i] = at
+        at, room = at + own - 1, 0 if own > 1 else room - here
     wanted = max(share * n, 4 * k)
 
     def probe(batches):
         for pdf in batches:
             out = []
             for entry, vector in zip(pdf.entry, pdf.vector):
-                q = np.append(np.asarray(vector, np.float64) / scale, 0.0)
-                d1, d2 = ((first - q[:half]) ** 2).sum(1), ((second - q[half:]) ** 2).sum(1)
-                lists: dict[int, list[int]] = {}
-                for i, j in walk(d1, d2, counts, wanted):
-                    lists.setdefault(i, []).append(j)
-                out += [(c1, b, entry, vector, c2) for c1, c2 in lists.items() for b in range(blocks[c1])]
-            yield pd.DataFrame(out, columns=["c1", "block", "query", "vector", "c2"])
-
-    asking = valid.where(is_query).select("key", "vector").distinct().join(entries.select("key", "vector", "entry"), ["key", "vector"])
-    probes = asking.select("entry", "vector").mapInPandas(probe, "c1 int, block int, query long, vector array<double>, c2 array<int>")
-    per_list = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("c1") + 1)
-    lists = placed.withColumn("block", F.pmod(F.xxhash64("entry"), F.greatest(per_list, F.lit(1))).cast("int"))
+                d1, d2 = halves(np.append(np.asarray(vector, np.float64) / scale, 0.0), first, second)
+                bound = walk(d1, d2, counts, wanted)
+                near = np.flatnonzero((counts.sum(1) > 0) & (d1 + d2.min() <= bound))
+                out += [(b, entry, vector, bound) for b in sorted({int(base[i] + j) for i in near for j in range(blocks[i])})]
+            yield pd.DataFrame(out, columns=["block", "query", "vector", "bound"])
+
+    asking = materialize(valid.where(is_query).select("key", "vector").distinct().join(entries.select("key", "vector", "entry"), ["key", "vector"]).select(
+        "entry", "vector"), "index-asking")
+    shares = -(-asking.count() // ASKED)
+    probes = asking.mapInPandas(probe, "block int, query long, vector array<double>, bound double").withColumn(
+        "part", F.pmod(F.xxhash64("query"), F.lit(max(shares, 1))).cast("int"))
+    per_list = [F.element_at(F.array(*[F.lit(int(x)) for x in column]), F.col("c1") + 1) for column in (base, blocks)]
+    lists = placed.withColumn("block", (per_list[0] + F.pmod(F.xxhash64("entry"), per_list[1])).cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(max(shares, 1) - 1))))
 
     def rank(asked: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(listed):
             return pd.DataFrame({"query": [], "entry": [], "low": [], "score": []}).astype({"query": "int64", "entry": "int64", "low": "int64", "score": "float64"})
-        rows, c2, low, entry = np.stack(listed.vector.to_list()), listed.c2.to_numpy(), listed.low.to_numpy(), listed.entry.to_numpy()
+        rows, low, entry = np.stack(listed.vector.to_list()), listed.low.to_numpy(), listed.entry.to_numpy()
+        c1, c2 = listed.c1.to_numpy(), listed.c2.to_numpy()
         out = []
         for lo in range(0, len(asked), 256):
             part = asked.iloc[lo:lo + 256]
-            rough = np.stack(part.vector.to_list()) @ rows.T
-            for query, vector, wanted_c2, own in zip(part["query"], part.vector, part.c2, rough):
-                near = np.flatnonzero(np.isin(c2, wanted_c2))
+            vectors = np.stack(part.vector.to_list())
+            for query, vector, bound, own in zip(part["query"], vectors, part.bound, vectors @ rows.T):
+                d1, d2 = halves(np.append(vector / scale, 0.0), first, second)
+                near = np.flatnonzero(d1[c1] + d2[c2] <= bound)
                 if len(near) > k + 1:
                     # Matrix products round differently by shape, so they only select, with room, what is summed exactly below.
                     least = np.partition(own[near], len(near) - k - 1)[len(near) - k - 1]
                     near = near[own[near] >= least - 1e-9 * max(1.0, abs(least))]
                 scores = (rows[near] * vector).sum(1)
                 best = np.lexsort((low[near], -scores))[: k + 1]
-                out.append(pd.DataFrame({"query": query, "entry": entry[near[best]], "low": low[near[best]], "score": scores[best]}))
-        return pd.concat(out)
+                out.append((np.full(len(best), query), entry[near[best]], low[near[best]], scores[best]))
+        return pd.DataFrame(dict(zip(("query", "entry", "low", "score"), map(np.concatenate, zip(*out)))))
 
-    found = probes.groupBy("c1", "block").cogroup(lists.groupBy("c1", "block")).applyInPandas(rank, "query long, entry long, low long, score double")
+    found = probes.groupBy("block", "part").cogroup(lists.groupBy("block", "part")).applyInPandas(rank, "query long, entry long, low long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "low")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1).join(entries.select("entry", "ids"), "entry")
     ids = best.select("query", F.explode("ids").alias("vec_id"), "score")
