@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import frame, long_panel, values_of
 from pyspark.sql import functions as F
@@ -285,3 +286,23 @@ def test_trees_of_a_scenario_ignore_the_others(spark):
     keys = ["source", "series_id"]
     both = forecast_gbt(train, keys, F.lit(3), trees=3, depth=2).filter("source = 'none'").first()["yhat"]
     assert len(both) == 3 and both == forecast_gbt(train.filter("source = 'none'"), keys, F.lit(3), trees=3, depth=2).first()["yhat"]
+
+
+def test_many_series_are_solved_in_parts(monkeypatch):
+    from tidemark.operators.forecast import arima
+
+    sizes, whole = [], arima.full_matrices
+    monkeypatch.setattr(arima, "full_matrices", lambda sums, size: sizes.append(len(sums)) or whole(sums, size))
+    rng = np.random.default_rng(41)
+    products = pd.Series([arima.upper(rng.normal(size=(120, 14))) for _ in range(1300)])
+    found = arima._long_solution.func(products)
+    for i in (0, 600, 1299):
+        assert np.allclose(found[i], arima._long_solution.func(products.iloc[i : i + 1])[0])
+    given = [pd.Series([arima.upper(rng.normal(size=(120, 4))) for _ in range(1300)]), *[pd.Series([[0.5, 0.1]] * 1300)] * 2,
+             pd.Series([1.0] * 1300), pd.Series([0] * 1300), pd.Series([[1.0, 2.0]] * 1300), pd.Series([3] * 1300)]
+    run = arima.select_and_forecast([(0, 0), (1, 1)], 1, 1).func
+    fits = run(*given)
+    for i in (0, 600, 1299):
+        assert np.allclose(fits.yhat[i], run(*[x.iloc[i : i + 1] for x in given]).yhat[0])
+    assert max(sizes) <= 512 and len(found) == len(fits) == 1300
+    assert len(run(*[x.iloc[:0] for x in given])) == 0

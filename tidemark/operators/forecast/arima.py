@@ -35,6 +35,9 @@ KPSS_CRITICAL = 0.463
 LONG_LAGS = 12
 KPSS_LAGS = 12
 
+# Series that are solved at once inside a task, whatever the size of the batches that Spark hands over.
+SERIES = 512
+
 # Rows a chunk needs from the one before it: second differences, the long autoregression and lags of its residuals.
 LOOK_BACK = MAX_D + LONG_LAGS + max(MAX_P, MAX_Q)
 
@@ -87,7 +90,7 @@ def _sums(v: pd.Series, skip: pd.Series, max_d: pd.Series) -> pd.Series:
     out = []
     for values, s, top in zip(v, skip, max_d):
         own = [w[at:] for w, at in (differenced(values, s, d) for d in range(top + 1))]
-        out.append([x for w in own for x in (float(len(w)), w.sum())])
+        out.append(np.array([x for w in own for x in (len(w), w.sum())], float))
     return pd.Series(out)
 
 
@@ -109,7 +112,7 @@ def _level_parts(v: pd.Series, skip: pd.Series, means: pd.Series) -> pd.Series:
             for k in range(KPSS_LAGS + 1):
                 back = max(at - k, 0)
                 parts.append((e[back + k :] * e[back : len(e) - k]).sum() if len(e) > k else 0.0)
-        out.append(parts)
+        out.append(np.array(parts, float))
     return pd.Series(out)
 
 
@@ -233,13 +236,14 @@ def solve_all(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
 @F.pandas_udf(DOUBLES)
 def _long_solution(products: pd.Series) -> pd.Series:
     """Intercept and lag coefficients of the long autoregression."""
-    full, n = full_matrices(products, LONG_LAGS + 2)
-    out = np.zeros((len(full), LONG_LAGS + 1))
-    # A lag needs a few rows to be estimated from: short series use fewer of them.
-    usable = np.clip(n // 6, 1, LONG_LAGS).astype(int)
-    for m in np.unique(usable):
-        of = np.flatnonzero(usable == m)
-        out[of, : m + 1] = solve_all(full[of, : m + 1, : m + 1], full[of, : m + 1, -1])
+    out = np.zeros((len(products), LONG_LAGS + 1))
+    for lo in range(0, len(products), SERIES):
+        full, n = full_matrices(products.iloc[lo : lo + SERIES], LONG_LAGS + 2)
+        # A lag needs a few rows to be estimated from: short series use fewer of them.
+        usable = np.clip(n // 6, 1, LONG_LAGS).astype(int)
+        for m in np.unique(usable):
+            of = np.flatnonzero(usable == m)
+            out[lo + of, : m + 1] = solve_all(full[of, : m + 1, : m + 1], full[of, : m + 1, -1])
     return pd.Series(list(out))
 
 
@@ -281,9 +285,8 @@ def best_orders(full: np.ndarray, n: np.ndarray, orders, max_p: int, max_q: int)
 
 
 def select_and_forecast(orders, max_p: int, max_q: int):
-    @F.pandas_udf(FIT)
-    def run(products: pd.Series, tail_w: pd.Series, tail_e: pd.Series, mean: pd.Series, d: pd.Series,
-            tail_v: pd.Series, horizons: pd.Series) -> pd.DataFrame:
+    def solved(products: pd.Series, tail_w: pd.Series, tail_e: pd.Series, mean: pd.Series, d: pd.Series,
+               tail_v: pd.Series, horizons: pd.Series) -> pd.DataFrame:
         start = time.perf_counter_ns()
         full, n = full_matrices(products, 2 + max_p + max_q)
         ready = time.perf_counter_ns()
@@ -314,6 +317,13 @@ def select_and_forecast(orders, max_p: int, max_q: int):
             out[name] = [span / 1e6 / len(n)] * len(n)
         return to_fit(out)
 
+    @F.pandas_udf(FIT)
+    def run(products: pd.Series, tail_w: pd.Series, tail_e: pd.Series, mean: pd.Series, d: pd.Series,
+            tail_v: pd.Series, horizons: pd.Series) -> pd.DataFrame:
+        given = (products, tail_w, tail_e, mean, d, tail_v, horizons)
+        parts = [solved(*[x.iloc[lo : lo + SERIES].reset_index(drop=True) for x in given]) for lo in range(0, len(products), SERIES)]
+        return pd.concat(parts, ignore_index=True) if parts else to_fit(fit_frame(0))
+
     return run
 
 
@@ -338,13 +348,14 @@ def forecast_arima(train: DataFrame, keys: list[str], horizon, order: tuple | No
     chosen = choose_difference(chunks, keys, max_d, fixed=order is not None, size=size)
     ready = materialize(attach(chunks, chosen, keys, size), "centred")
     parts = ready.select(*keys, _long_products("v", "skip", "d", "mean").alias("products"))
-    phi = sum_arrays(parts, keys, "products").select(*keys, _long_solution("products").alias("phi"))
+    # Written, so that a task runs one Python worker and not one for this and one for what reads it.
+    phi = materialize(sum_arrays(parts, keys, "products").select(*keys, _long_solution("products").alias("phi")), "long")
     sizes = ready.groupBy(*keys).agg(F.max("rows").alias("rows"))
     with_phi = attach(ready.drop("rows"), phi.join(sizes, keys), keys, size)
 
     run = short_products(max_p, max_q)
-    fits = with_phi.select(*keys, "chunk", "d", "mean", F.slice("v", -2, 2).alias("tail_v"),
-                           run("v", "skip", "d", "mean", "phi").alias("x"))
+    fits = materialize(with_phi.select(*keys, "chunk", "d", "mean", F.slice("v", -2, 2).alias("tail_v"),
+                                       run("v", "skip", "d", "mean", "phi").alias("x")), "products")
     last = fits.groupBy(*keys).agg(
         F.max_by(F.struct("d", "mean", "tail_v", F.col("x.w").alias("w"), F.col("x.e").alias("e")), "chunk").alias("end")
     )
