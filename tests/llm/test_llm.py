@@ -389,6 +389,52 @@ def test_fuzzy_lines_match_brute_force(spark, block):
     assert got[50]["text"] is None and got[51]["text"] == "" and got[51]["n_removed"] == 0
 
 
+@pytest.mark.parametrize("most", [1, 50, 1 << 19])
+def test_band_keys_travel_in_few_rows_and_lose_no_company(spark, most):
+    rng = np.random.default_rng(18)
+    texts = [prose(rng, 20) for _ in range(30)]
+    texts += [t + " more" for t in texts[:10] for _ in range(3)] + ["same words here %d" % (i % 2) for i in range(20)]
+    ids = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    rows = spark.createDataFrame([(ids[t], t) for t in texts], "id long, line string").repartition(3)
+    banded = lines._banded(rows)
+    assert banded.where("length(keys) > 8").count() and banded.agg({"bucket": "max"}).first()[0] < lines.BUCKETS
+    keys = lines.band_keys(lines.signatures(list(ids))).tolist()
+    held = {}
+    for i, own in enumerate(keys):
+        for k in own:
+            held.setdefault(k, set()).add(i)
+    want = sorted((k, i) for k, own in held.items() if len(own) > 1 for i in own)
+    assert want and sorted(map(tuple, lines._crowded(banded, most).collect())) == want
+
+
+@pytest.mark.parametrize("few", [4, 64])
+def test_line_groups_are_compared_together_and_known_roots_are_not_again(monkeypatch, few):
+    monkeypatch.setattr(lines, "FEW", few)
+    rng = np.random.default_rng(19)
+    groups, ids, texts, roots = [], [], [], []
+    for n in (1, 2, 2, 5, 9, 30):
+        base = [prose(rng, 25) for _ in range(3)]
+        groups.append(n)
+        for _ in range(n):
+            words = base[int(rng.integers(0, 3))].split()
+            words[int(rng.integers(0, len(words)))] = "altered"
+            texts.append(" ".join(words))
+            ids.append(len(ids))
+            roots.append(ids[-1] if rng.random() < .6 else roots[-1] if roots else 0)
+    grams = [{x.lower()[i:i + 6] for i in range(len(x) - 5)} for x in texts]
+    group = np.repeat(range(len(groups)), groups).tolist()
+
+    def joined(links):
+        up = list(range(len(ids)))
+        for a, b in links + [(i, j) for i in ids for j in ids if group[i] == group[j] and roots[i] == roots[j]]:
+            up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+        return up
+    near = [(i, j) for i in ids for j in ids[:i] if group[i] == group[j] and len(grams[i] & grams[j]) >= .8 * len(grams[i] | grams[j])]
+    got = lines.similar_links(groups, ids, texts, roots)
+    assert joined(got) == joined(near) and all((a, b) in near or (b, a) in near for a, b in got)
+    assert got and not any(group[a] == group[b] and roots[a] == roots[b] for a, b in got)
+
+
 @pytest.mark.parametrize("cut, end", [(lines.drop_similar_lines, "\n"), (spans.drop_repeats, "\n")])
 def test_texts_without_an_id_or_with_the_same_are_cut_each_by_itself(spark, cut, end):
     rng = np.random.default_rng(15)

@@ -5,7 +5,7 @@ similarity of their shingle sets; distributed union-find joins what is linked, a
 
 Candidates are verified in two rounds. First each line goes, once, to the smallest line it shares a key with, which settles
 whole groups of variants. Then only keys whose lines are still in different components are looked at in full. A group is cut
-into blocks that all meet pairwise if it is large, and gives spanning links, never all pairs.
+into blocks that all meet pairwise if it is large, and gives spanning links, never all pairs. Small groups are compared many at a time.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from .components import components
 SHINGLE, BANDS, ROWS, SIMILARITY = 6, 12, 5, 0.8
 LANE, LANES = 128, 8192
 BLOCK = 4096
-FEW, FEW_CHARS = 8, 10_000
-CHARS = 1 << 20
+FEW = 64
+CHARS, MET_CHARS = 1 << 20, 1 << 18
+BUCKETS, KEYS = 1024, 1 << 19
 BLANKS = " \t\r\f\v\0"
 
 _draws = np.random.default_rng(11)
@@ -108,7 +109,21 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _banded(lines: DataFrame) -> DataFrame:
+    """``(bucket, keys, ids)``: the band keys of many lines and the lines' ids, 8 bytes each; one row per range of keys, so that few are shuffled."""
+    buckets = max(BUCKETS, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def rows(keys, ids):
+        keys, ids = np.concatenate(keys).view(np.uint64), np.concatenate(ids)
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = pa.py_buffer(np.append(starts, len(keys)).astype(np.int32) * np.int32(8))
+        packed = [pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(x)]) for x in (keys, ids)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *packed], ["bucket", "keys", "ids"])
+
     def run(batches):
+        keys, owners, waiting = [], [], 0
         for batch in batches:
             ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
             texts = batch.column(1).take(pa.array(first)).to_pylist()
@@ -118,11 +133,56 @@ def _banded(lines: DataFrame) -> DataFrame:
                 while hi < len(texts) and held < CHARS:
                     held += len(texts[hi])
                     hi += 1
-                keys = band_keys(signatures(texts[lo:hi]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[lo:hi], BANDS))], ["key", "id"])
+                keys.append(band_keys(signatures(texts[lo:hi])).ravel())
+                owners.append(np.repeat(ids[lo:hi], BANDS))
+                waiting += len(keys[-1])
                 lo = hi
+                if waiting > KEYS:
+                    yield rows(keys, owners)
+                    keys, owners, waiting = [], [], 0
+        if waiting:
+            yield rows(keys, owners)
+
+    return lines.select("id", "line").mapInArrow(run, "bucket int, keys binary, ids binary")
+
+
+def _crowded(banded: DataFrame, most: int = KEYS) -> DataFrame:
+    """Distinct rows of ``(key, id)`` whose key has another id, from ``banded(bucket, keys, ids)``.
+
+    A bucket is merged ``most`` entries at a time; of what is merged one id per key is held, whatever a key's size.
+    """
+    def merge(held, keys, ids):
+        """What is held now, and the rows found: ids that differ from the held one of their key, and that one at first."""
+        keys, ids = (np.concatenate([x, *y]) for x, y in zip(held, (keys, ids)))
+        order = np.argsort(keys, kind="stable")  # the held id stays first of its key
+        told = np.zeros(len(keys), bool)
+        told[:len(held[2])] = held[2]
+        keys, ids, told = keys[order], ids[order], told[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        other = ids != np.repeat(ids[first], np.diff(np.append(first, len(keys))))
+        crowd = np.logical_or.reduceat(other, first)
+        other[first] = crowd & ~told[first]
+        return (keys[first], ids[first], told[first] | crowd), pa.RecordBatch.from_arrays([pa.array(keys[other]), pa.array(ids[other])], ["key", "id"])
 
-    return lines.select("id", "line").mapInArrow(run, "key long, id long")
+    def run(batches):
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        bucket, held, keys, ids, waiting = None, none, [], [], 0
+        for batch in batches:
+            for own, *packed in zip(*batch.columns):
+                own = own.as_py()
+                if waiting and (own != bucket or waiting > most):
+                    held, found = merge(held, keys, ids)
+                    yield found
+                    keys, ids, waiting = [], [], 0
+                if own != bucket:
+                    bucket, held = own, none
+                for to, x in zip((keys, ids), packed):
+                    to.append(np.frombuffer(x.as_buffer(), np.int64))
+                waiting += len(keys[-1])
+        if waiting:
+            yield merge(held, keys, ids)[1]
+
+    return spread(banded, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, id long").repartition("key", "id").distinct()
 
 
 def _with_company(rows: DataFrame) -> DataFrame:
@@ -148,61 +208,120 @@ def _with_company(rows: DataFrame) -> DataFrame:
     return spread(rows, "key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long")
 
 
-def _few_links(ids: list[int], lines: list[str], least: float) -> list[tuple[int, int]]:
-    """``similar_links`` by sets of strings, which a few short lines need no arrays for."""
-    padded = [x.lower().ljust(SHINGLE, "\0") for x in lines]
-    sets = [{x[i:i + SHINGLE] for i in range(len(x) - SHINGLE + 1)} for x in padded]
-    links, waiting = [], list(range(len(sets)))
-    while len(waiting) > 1:
-        front = [waiting.pop(0)]
-        while front and waiting:
-            at = front.pop()
-            common = [len(sets[at] & sets[x]) for x in waiting]
-            near = [x for x, c in zip(waiting, common) if c >= least * (len(sets[at]) + len(sets[x]) - c) - 1e-9]
-            links += [(ids[at], ids[x]) for x in near]
-            front += near
-            waiting = [x for x in waiting if x not in near]
-    return links
-
-
-def similar_links(ids: list[int], lines: list[str], least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that connect what exact Jaccard similarity connects: a line that reaches others leaves only the rest to compare."""
-    if len(lines) <= FEW and sum(map(len, lines)) <= FEW_CHARS:
-        return _few_links(ids, lines, least)
+def _large_links(ids: list[int], lines: list[str], roots: list[int], least: float) -> list[tuple[int, int]]:
+    """``similar_links`` of one group: a line that reaches others leaves only the rest to compare, with all of their root."""
     hashes, counts = shingles(lines)
     owner = np.repeat(np.arange(len(lines)), counts)
     # Ranks of distinct shingles, each once per line.
     ranks = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
-    both = np.unique(owner * (ranks.max() + 1) + ranks)
-    owner, ranks = np.divmod(both, ranks.max() + 1)
+    both = np.sort(owner * (ranks.max() + 1) + ranks)
+    owner, ranks = np.divmod(both[np.concatenate([[True], both[1:] != both[:-1]])], ranks.max() + 1)
     sizes = np.bincount(owner, minlength=len(lines))
     starts = np.cumsum(sizes) - sizes
     marked = np.zeros(ranks.max() + 1, bool)
+    _, roots = np.unique(np.array(roots, np.int64), return_inverse=True)
     links, waiting = [], np.arange(len(lines))
     live_ranks, live_owner = ranks, owner
-    while len(waiting) > 1:
-        front, waiting = [waiting[0]], waiting[1:]
-        while front and len(waiting):
+    front = []
+    while front or len(waiting):
+        if not front:
+            entered = roots == roots[waiting[0]]
+        else:
             at = front.pop()
             own = ranks[starts[at]:starts[at] + sizes[at]]
             marked[own] = True
             common = np.bincount(live_owner[marked[live_ranks]], minlength=len(lines))[waiting]
             marked[own] = False
-            near = common >= least * (sizes[waiting] + sizes[at] - common) - 1e-9
-            reached = waiting[near]
+            reached = waiting[common >= least * (sizes[waiting] + sizes[at] - common) - 1e-9]
+            if not len(reached):
+                continue
+            reached = reached[np.unique(roots[reached], return_index=True)[1]]
             links += [(ids[at], ids[x]) for x in reached]
-            front += reached.tolist()
-            waiting = waiting[~near]
-            if len(reached):
-                left = np.zeros(len(lines), bool)
-                left[waiting] = True
-                kept = left[live_owner]
-                live_ranks, live_owner = live_ranks[kept], live_owner[kept]
+            entered = np.isin(roots, roots[reached])
+        front += np.flatnonzero(entered).tolist()
+        waiting = waiting[~entered[waiting]]
+        if not len(waiting):
+            break
+        left = np.zeros(len(lines), bool)
+        left[waiting] = True
+        kept = left[live_owner]
+        live_ranks, live_owner = live_ranks[kept], live_owner[kept]
+    return links
+
+
+def similar_links(groups: list[int], ids: list[int], lines: list[str], roots: list[int], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that connect what exact Jaccard similarity connects within groups of so many lines; lines of a root are connected already."""
+    if max(groups, default=0) > FEW:
+        links, ends, few = [], np.cumsum(groups).tolist(), []
+        for n, e in zip(groups, ends):
+            if n > FEW:
+                links += _large_links(ids[e - n:e], lines[e - n:e], roots[e - n:e], least)
+            else:
+                few.append((n, e))
+        own = [i for n, e in few for i in range(e - n, e)]
+        return links + similar_links([n for n, _ in few], *[[x[i] for i in own] for x in (ids, lines, roots)], least)
+    if not groups:
+        return []
+    ends = np.cumsum(groups)
+    n = np.array(groups)
+    first = ends - n
+    group = np.repeat(np.arange(len(n)), n)
+    hashes, counts = shingles(lines)
+    # Shingles sorted within their group, the line's place in the group in the last bits.
+    codes = hashes & np.uint64(0xFFFFFFFFFFFFFFFF ^ (FEW - 1))
+    codes |= np.repeat((np.arange(len(lines)) - first[group]).astype(np.uint64), counts)
+    held = np.add.reduceat(counts, first)
+    lo = 0
+    for hi in np.cumsum(held).tolist():
+        codes[lo:hi].sort()
+        lo = hi
+    group = np.repeat(np.arange(len(n)), held)
+    change = group[1:] != group[:-1]
+    new = np.concatenate([[True], (codes[1:] != codes[:-1]) | change])
+    codes, group = codes[new], group[new]
+    place = (codes & np.uint64(FEW - 1)).astype(np.int64)
+    sizes = np.bincount(first[group] + place, minlength=len(lines))
+    codes >>= np.uint64(FEW.bit_length() - 1)
+    run = np.cumsum(np.concatenate([[False], (codes[1:] != codes[:-1]) | (group[1:] != group[:-1])]))
+    # Lines that hold the same shingle stand side by side: pairs of them 1, 2, ... apart.
+    squares = np.cumsum(n * n) - n * n
+    row = squares[group] + place * n[group]
+    common = np.zeros(int((n * n).sum()), np.int64)
+    at, apart = np.arange(len(run)), 0
+    while len(at):
+        apart += 1
+        at = at[:np.searchsorted(at, len(run) - apart)]
+        at = at[run[at] == run[at + apart]]
+        common += np.bincount(row[at] + place[at + apart], minlength=len(common))
+    pairs = np.flatnonzero(common)
+    own = np.searchsorted(squares, pairs, side="right") - 1
+    a, b = np.divmod(pairs - squares[own], n[own])
+    a, b, common = a + first[own], b + first[own], common[pairs]
+    near = common >= least * (sizes[a] + sizes[b] - common) - 1e-9
+    links, seen, up = [], {}, list(range(len(lines)))
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, x in enumerate(zip(np.repeat(np.arange(len(n)), n).tolist(), roots)):
+        up[i] = seen.setdefault(x, i)
+    for x, y in zip(a[near].tolist(), b[near].tolist()):
+        x_top, y_top = top(x), top(y)
+        if x_top != y_top:
+            up[y_top] = x_top
+            links.append((ids[x], ids[y]))
     return links
 
 
-def _verified(groups: DataFrame, texts: DataFrame, least: float, block: int, similar=similar_links, chars: int | None = None) -> DataFrame:
-    """``(a, b)`` links inside groups ``(gid, id)``; of a group above ``block`` lines, or ``chars`` characters, all pairs of blocks meet."""
+def _verified(groups: DataFrame, texts: DataFrame, least: float, block: int, similar=similar_links, chars: int | None = None,
+              settled: DataFrame | None = None) -> DataFrame:
+    """``(a, b)`` links inside groups ``(gid, id)``; of a group above ``block`` lines, or ``chars`` characters, all pairs of blocks meet.
+
+    What has the same root in ``settled(node, root)`` is not compared again.
+    """
     sizes = groups.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
     if chars:
         held = groups.join(texts.select("id", F.length("line").cast("long").alias("held")), "id").groupBy("gid").agg(F.sum("held").alias("held"))
@@ -212,29 +331,42 @@ def _verified(groups: DataFrame, texts: DataFrame, least: float, block: int, sim
     cut = cut.withColumn("own", own).select("id", F.col("gid"), "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     parts = cut.select("id", F.xxhash64("gid", F.least("own", "other"), F.greatest("own", "other")).alias("part")).distinct()
 
+    if settled is None:
+        parts = parts.withColumn("root", F.col("id"))
+    else:
+        parts = parts.join(settled.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
     def run(batches):
-        part, ids, lines = None, [], []
+        part, held, squares = None, 0, 0
+        groups, ids, lines, roots = [], [], [], []
 
-        def found(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
+        def found():
+            links = similar(groups, ids, lines, roots, least)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in links], pa.int64()), pa.array([r[1] for r in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            out = []
-            for key, id_, line in zip(*[c.to_pylist() for c in batch.columns]):
+            for key, id_, root, line in zip(*[c.to_pylist() for c in batch.columns]):
                 if key != part:
-                    out += similar(ids, lines, least) if len(ids) > 1 else []
-                    part, ids, lines = key, [], []
+                    if held > MET_CHARS or squares > MET_CHARS:
+                        yield found()
+                        held, squares, groups, ids, lines, roots = 0, 0, [], [], [], []
+                    part = key
+                    groups.append(0)
+                groups[-1] += 1
+                held += len(line)
+                squares += 2 * groups[-1]
                 ids.append(id_)
                 lines.append(line)
-            yield found(out)
-        yield found(similar(ids, lines, least) if len(ids) > 1 else [])
+                roots.append(root)
+        yield found()
 
-    return spread(parts.join(texts, "id").select("part", "id", "line"), "part").sortWithinPartitions("part", "id").mapInArrow(run, "a long, b long")
+    dealt = spread(parts.join(texts, "id").select("part", "id", "root", "line"), "part").sortWithinPartitions("part", "id")
+    return dealt.mapInArrow(run, "a long, b long").repartition("a", "b")
 
 
 def line_groups(lines: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``(node, root)`` for the ids of ``lines(id, line)`` that are similar to a different line."""
-    crowded = materialize(_with_company(_banded(lines)), "lines-crowded")
+    crowded = materialize(_crowded(_banded(lines)), "lines-crowded")
     texts = materialize(lines.select("id", "line").join(crowded.select("id").distinct(), "id", "left_semi").distinct(), "lines-texts")
     return linked(crowded, texts, least, None, similar_links, "lines", block)
 
@@ -248,14 +380,14 @@ def linked(crowded: DataFrame, texts: DataFrame, least: float, chars: int | None
     lows = crowded.groupBy("key").agg(F.min("id").alias("low"))
     nearest = crowded.join(lows, "key").groupBy("id").agg(F.min("low").alias("gid"))
     clusters = nearest.select("gid", "id").unionByName(nearest.select("gid", F.col("gid").alias("id"))).distinct()
-    first = materialize(_verified(clusters, texts, least, block, similar, chars), f"{name}-links")
+    first = _verified(clusters, texts, least, block, similar, chars)
     settled = materialize(components(first if known is None else first.unionByName(known), f"{name}-first"), f"{name}-settled")
     rooted = crowded.join(settled, crowded["id"] == settled["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     # Keys of the same lines get the same group, which is verified once.
     same = F.xxhash64(F.bit_xor(F.xxhash64("id")), F.min("id"), F.max("id"), F.count("*")).alias("gid")
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), same).where("lo < hi").select("key", "gid")
     rest = crowded.join(open_keys, "key").select("gid", "id").distinct()
-    second = _verified(rest, texts, least, block, similar, chars)
+    second = _verified(rest, texts, least, block, similar, chars, settled)
     return components(settled.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second), name)
 
 
@@ -264,14 +396,16 @@ def removals(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) ->
     lines = lines_of(docs)
     places = materialize(lines.select("doc_id", "row", "pos", "id"), "lines-places")
     groups = materialize(line_groups(lines, least, block), "lines-groups")
-    each = places.groupBy("id").agg(F.min(F.struct("doc_id", "row", "pos")).alias("lo"), F.max(F.struct("doc_id", "row", "pos")).alias("hi"))
-    rooted = each.join(groups, each["id"] == groups["node"], "left").select("id", F.coalesce("root", "id").alias("root"), "lo", "hi")
-    first = rooted.groupBy("root").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where(
+    # Only lines that stand in several places or in a group matter from here.
+    several = places.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    rooted = materialize(several.join(groups.withColumnRenamed("node", "id"), "id", "full").select(
+        "id", F.coalesce("root", "id").alias("root")), "lines-rooted")
+    met = materialize(places.join(rooted, "id").select("root", "row", F.struct("doc_id", "row", "pos").alias("place")), "lines-met")
+    first = met.groupBy("root").agg(F.min("place").alias("first"), F.max("place").alias("last")).where(
         ~F.col("first").eqNullSafe(F.col("last"))).select("root", "first")
-    affected = materialize(rooted.join(first, "root").select("id", "first"), "lines-first-places")
-    gone = places.join(affected, "id").where(~F.col("first").eqNullSafe(F.struct("doc_id", "row", "pos")))
+    gone = met.join(first, "root").where(~F.col("first").eqNullSafe(F.col("place")))
     return materialize(gone.groupBy(F.col("row").alias("key")).agg(
-        F.collect_set("pos").alias("gone"), F.array_sort(F.collect_set("first.doc_id")).alias("kept_in")), "lines-gone")
+        F.collect_set("place.pos").alias("gone"), F.array_sort(F.collect_set("first.doc_id")).alias("kept_in")), "lines-gone")
 
 
 def without(text: Column, gone: Column) -> Column:

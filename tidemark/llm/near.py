@@ -63,8 +63,8 @@ def band_keys(grams: np.ndarray) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
-def similar_links(ids: list[int], texts: list[str], least: float) -> list[tuple[int, int]]:
-    """Links that connect what exact Jaccard similarity connects, as ``lines.similar_links``, over word shingles."""
+def _group_links(ids: list[int], texts: list[str], least: float) -> list[tuple[int, int]]:
+    """Links that connect what exact Jaccard similarity connects in one group, over word shingles."""
     grams = [shingles(t.lower().split()) for t in texts]
     links, waiting = [], list(range(len(ids)))
     while len(waiting) > 1:
@@ -85,6 +85,12 @@ def similar_links(ids: list[int], texts: list[str], least: float) -> list[tuple[
     return links
 
 
+def similar_links(groups: list[int], ids: list[int], texts: list[str], roots: list[int], least: float) -> list[tuple[int, int]]:
+    """``_group_links`` of groups of so many texts, as ``lines.similar_links``."""
+    ends = np.cumsum(groups).tolist()
+    return [x for n, e in zip(groups, ends) for x in _group_links(ids[e - n:e], texts[e - n:e], least)]
+
+
 def _alike(prints: DataFrame) -> DataFrame:
     """``(gid, id)`` of the rows of ``prints(id, fp)`` whose fingerprints reach one another by steps of 2 bits or fewer, with company."""
     distinct = materialize(prints.groupBy("fp").agg(F.count("*").alias("n")), "near-fingerprints")
