@@ -389,6 +389,14 @@ def test_fuzzy_lines_match_brute_force(spark, block):
     assert got[50]["text"] is None and got[51]["text"] == "" and got[51]["n_removed"] == 0
 
 
+def test_lines_lose_every_outer_blank_and_hash_their_text_once(spark):
+    rows = [(1, "\n".join([f"{a}in {b}ner{b}" for a in lines.BLANKS for b in lines.BLANKS] + ["in ner", "", " \t", "\xa0x"]))]
+    found = lines.lines_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["line"] for r in found.orderBy("pos").collect()] == [x.strip(lines.BLANKS) for x in rows[0][1].split("\n") if x.strip(lines.BLANKS)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("isnull(doc_id")  # hashed below the split, not once a line
+
+
 @pytest.mark.parametrize("most", [1, 50, 1 << 19])
 def test_band_keys_travel_in_few_rows_and_lose_no_company(spark, most):
     rng = np.random.default_rng(18)

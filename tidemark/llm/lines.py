@@ -10,6 +10,9 @@ into blocks that all meet pairwise if it is large, and gives spanning links, nev
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -103,8 +106,10 @@ def band_keys(signed: np.ndarray) -> np.ndarray:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``(doc_id, row, pos, id, line)`` for every line that isn't blank; ``id`` is the hash of the line without outer blanks."""
-    rows = docs.select("doc_id", row_key().alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("line", F.trim("line", F.lit(BLANKS))).where("line <> ''")
+    rows = docs.select("doc_id", row_key().alias("row"), F.split("text", "\n", -1).alias("lines")).select("doc_id", "row", F.posexplode("lines").alias("pos", "line"))
+    # Trimming by a list of characters is dear, so only lines that need it are trimmed.
+    edged = reduce(or_, [f("line", F.lit(x)) for x in BLANKS for f in (F.startswith, F.endswith)])
+    rows = rows.withColumn("line", F.when(edged, F.trim("line", F.lit(BLANKS))).otherwise(F.col("line"))).where("line <> ''")
     return rows.select("doc_id", "row", "pos", F.xxhash64("line").alias("id"), "line")
 
 
