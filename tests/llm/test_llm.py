@@ -11,6 +11,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import chat, components, langid, lattice, lines, multiindex, near, packing, queries, simhash, spans, urls, winnow
@@ -521,5 +522,26 @@ def test_simhash_stage_finds_close_texts_by_fingerprints(spark, sf, monkeypatch)
     assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, sf).collect()) == list(range(0, 18, 3))
 
 
+def test_dedup_stages_plan_in_small_steps(spark, sf, corpus):
+    # The driver keeps, and after each stage renews, the whole plan of a job: one plan for all steps of a stage takes it too much memory.
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    corpus_pipeline.line_dedup(spark, corpus[0], sf).count()
+    corpus_pipeline.simhash_dedup(spark, corpus[0], sf).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    own = store.executionsList(before, store.executionsCount() - before)
+    sizes = [len(own.apply(i).physicalPlanDescription()) for i in range(own.size())]
+    assert len(sizes) > 20 and max(sizes) < 36_000, sizes
+
+
+def test_cells_are_those_within_one_step(spark):
+    fps = [0, -1, 1 << 62, -(1 << 63), 0x0123456789ABCDEF, -0x0123456789ABCDEF]
+    made = spark.createDataFrame([(f,) for f in fps], "fp long").withColumn("own", simhash._own_cell(F.col("fp")))
+    for fp, got in made.select("fp", simhash._cells(F.col("own"))).collect():
+        counts = [(fp >> 4 * i & 15).bit_count() for i in range(16)]
+        near = [counts] + [counts[:i] + [c + d] + counts[i + 1:] for i, c in enumerate(counts) for d in (-1, 1) if 0 <= c + d <= 4]
+        assert sorted(got) == sorted(sum(c << 4 * i for i, c in enumerate(x)) for x in near)
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

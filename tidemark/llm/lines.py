@@ -327,10 +327,12 @@ def _verified(groups: DataFrame, texts: DataFrame, least: float, block: int, sim
 
     What has the same root in ``settled(node, root)`` is not compared again.
     """
-    sizes = groups.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
     if chars:
-        held = groups.join(texts.select("id", F.length("line").cast("long").alias("held")), "id").groupBy("gid").agg(F.sum("held").alias("held"))
-        sizes = sizes.join(held, "gid").select("gid", F.greatest("n", F.ceil(F.col("held") * block / chars)).alias("n"))
+        held = groups.join(texts.select("id", F.length("line").cast("long").alias("held")), "id")
+        sizes = held.groupBy("gid").agg(F.count("*").alias("n"), F.sum("held").alias("held")).where("n > 1")
+        sizes = sizes.select("gid", F.greatest("n", F.ceil(F.col("held") * block / chars)).alias("n"))
+    else:
+        sizes = groups.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")
     cut = groups.join(sizes, "gid").withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     cut = cut.withColumn("own", own).select("id", F.col("gid"), "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
@@ -380,18 +382,19 @@ def linked(crowded: DataFrame, texts: DataFrame, least: float, chars: int | None
            known: DataFrame | None = None) -> DataFrame:
     """``(node, root)`` of what ``similar`` links among the ids of ``texts(id, line)`` that share a key of ``crowded(key, id)``.
 
-    ``known`` links ``(a, b)`` join in.
+    ``known`` links ``(a, b)`` join in. Groups are written before they are verified: the driver plans, and plans again after every stage,
+    what is read several times, so one plan of all steps would cost it more memory than the groups cost disk.
     """
     lows = crowded.groupBy("key").agg(F.min("id").alias("low"))
     nearest = crowded.join(lows, "key").groupBy("id").agg(F.min("low").alias("gid"))
-    clusters = nearest.select("gid", "id").unionByName(nearest.select("gid", F.col("gid").alias("id"))).distinct()
+    clusters = materialize(nearest.select("gid", F.explode(F.array("id", "gid")).alias("id")).distinct(), f"{name}-clusters")
     first = _verified(clusters, texts, least, block, similar, chars)
     settled = materialize(components(first if known is None else first.unionByName(known), f"{name}-first"), f"{name}-settled")
     rooted = crowded.join(settled, crowded["id"] == settled["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     # Keys of the same lines get the same group, which is verified once.
     same = F.xxhash64(F.bit_xor(F.xxhash64("id")), F.min("id"), F.max("id"), F.count("*")).alias("gid")
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), same).where("lo < hi").select("key", "gid")
-    rest = crowded.join(open_keys, "key").select("gid", "id").distinct()
+    rest = materialize(crowded.join(open_keys, "key").select("gid", "id").distinct(), f"{name}-rest")
     second = _verified(rest, texts, least, block, similar, chars, settled)
     return components(settled.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second), name)
 

@@ -60,17 +60,22 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _cells(fp: Column) -> Column:
-    """Keys of the grid cells within Manhattan distance 1 of the embedding; a count takes four bits of the key."""
-    counts = [F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * i).bitwiseAND(15)).cast("long") for i in range(SEGMENTS)]
+def _own_cell(fp: Column) -> Column:
+    """Key of the grid cell of the embedding; a count takes four bits of the key."""
     own = F.lit(0).cast("long")
-    for i, c in enumerate(counts):
-        own = own.bitwiseOR(F.shiftleft(c, SEGMENT_BITS * i))
+    for i in range(SEGMENTS):
+        count = F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * i).bitwiseAND(15)).cast("long")
+        own = own.bitwiseOR(F.shiftleft(count, SEGMENT_BITS * i))
+    return own
+
+
+def _cells(own: Column) -> Column:
+    """Keys of the grid cells within Manhattan distance 1 of the cell ``own``, a column of its own: an expression would be repeated in each key."""
     near = []
-    for i, c in enumerate(counts):
-        # Exclusive or with the changed count: no carry, no overflow in the top segment.
-        near += [F.when(c < SEGMENT_BITS, own.bitwiseXOR(F.shiftleft(c.bitwiseXOR(c + 1), SEGMENT_BITS * i))),
-                 F.when(c > 0, own.bitwiseXOR(F.shiftleft(c.bitwiseXOR(c - 1), SEGMENT_BITS * i)))]
+    for i in range(SEGMENTS):
+        # A count is 4 at most, so the last bit of its four, the sign in the top segment, stays free.
+        one = 1 << SEGMENT_BITS * i
+        near += [F.when(own.bitwiseAND(4 * one) == 0, own + one), F.when(own.bitwiseAND(7 * one) != 0, own - one)]
     return F.array_compact(F.array(own, *near))
 
 
@@ -135,7 +140,8 @@ def near_links(prints: DataFrame, distance: int = 2, crowd: int = CROWD) -> Data
     """``(a, b)`` links between distinct fingerprints of ``prints(fp)``, enough to connect all that differ in 2 bits or fewer."""
     if distance != 2:
         raise ValueError("cells of radius 1 serve a distance of 2")
-    cells = spread(prints.select(F.explode(_cells(F.col("fp"))).alias("cell"), "fp"), "cell").sortWithinPartitions("cell", "fp")
+    placed = prints.select("fp", _own_cell(F.col("fp")).alias("own"))
+    cells = spread(placed.select(F.explode(_cells(F.col("own"))).alias("cell"), "fp"), "cell").sortWithinPartitions("cell", "fp")
     found = materialize(_verified(cells, distance, crowd), "simhash-cells")
     # Members of crowded cells meet under every fingerprint one bit away instead: whoever shares such a key differs in at most
     # two bits, so a link to the smallest one of the key is exact and no cell has to be held.
